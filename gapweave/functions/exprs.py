@@ -42,9 +42,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def r6(c: Column) -> Column:
-    """Reported metrics carry six decimals; missing stays missing."""
-    return F.round(c, 6)
+def r6(c: Column, digits: int = 6) -> Column:
+    """Reported metrics carry six decimals; missing stays missing.
+
+    The small guard settles exact ties upward, so the order in which a cluster adds up a sum can
+    never decide a reported digit.
+    """
+    return F.round(c + F.lit(1e-9), digits)
 
 
 def calendar(ts) -> dict[str, Column]:

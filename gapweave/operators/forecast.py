@@ -127,6 +127,22 @@ def context_arrays(spans: DataFrame, panel: DataFrame, ctx: int, value: str = "v
     return d.withColumns({"left": F.coalesce("left", empty), "right": F.coalesce("right", empty)})
 
 
+def context_slices(spans: DataFrame, panel: DataFrame, lengths: Sequence[int], value: str = "value", size: int = CHUNK) -> DataFrame:
+    """Per case x variable x context length: what the last ``c`` positions before the run hold.
+
+    Filled inside the slice only: a missing cell never borrows from before the slice.
+    """
+    c = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in lengths]))
+    d = spans.select(*CASE_VAR, "run_start", "run_end").withColumn("context", c)
+    d = d.withColumns({"_lo": F.greatest(F.col("run_start") - F.col("context"), F.lit(0)), "_hi": F.col("run_start") - 1}).where("_lo <= _hi")
+    near = observed_neighbours(panel, SERIES, value, size).select(*SERIES, "pos", value, "prev_pos", "prev_val", "next_pos", "next_val")
+    rows = interval_join(d, near, "_lo", "_hi", SERIES)
+    f = F.when(F.col("prev_pos") >= F.col("_lo"), F.col("prev_val")).when(F.col("next_pos") <= F.col("_hi"), F.col("next_val"))
+    return rows.withColumn("_f", f).groupBy("case_id", "variable", "context").agg(
+        F.count(F.lit(1)).alias("actual"), F.avg("_f").alias("mean_context"), F.max_by("_f", "pos").alias("last_context"), F.count(value).alias("observed")
+    )
+
+
 def _horizon() -> Column:
     return (F.col("run_end") - F.col("run_start") + 1).cast("int")
 
@@ -418,3 +434,27 @@ def impute_windowed_overlap(panel: DataFrame, window: int, patch: int, season: i
     p = p.groupBy(*SERIES, "pos").agg(F.avg(F.col("_pm") + F.col("_bias")).alias("_y"))
     out = panel.join(p, [*SERIES, "pos"], "left").withColumn("_f", F.coalesce(F.col(value), F.col("_y")))
     return impute_linear(out.select(*panel.columns, "_f"), "_f", "filled", size=size).drop("_f")
+
+
+def reference_features(window: DataFrame, panel: DataFrame, chosen: DataFrame, series: DataFrame, variables: Sequence[str], k: int = 3, local_only: bool = False) -> DataFrame:
+    """Channels of every window position: sensors, calendar, and k references per variable with a presence count.
+
+    The local-only control keeps the shape and zeroes the reference channels.
+    """
+    ts = panel.select("site", "pos", "ts").distinct()
+    w = window.groupBy("case_id", "site", "pos").pivot("variable", list(variables)).agg(F.max("x"))
+    w = w.select("case_id", "site", "pos", *[F.col(v).alias(f"x_{v}") for v in variables])
+    span = window.select("case_id", "site", "variable", "pos").join(chosen.select(*CASE_VAR, "ref", "rank"), list(CASE_VAR))
+    vals = span.join(series.select(*SERIES, "ref", "pos", "ref_value"), [*SERIES, "ref", "pos"])
+    zero = F.lit(0.0)
+    cols = [
+        F.coalesce(F.max(F.when((F.col("variable") == v) & (F.col("rank") == i), F.col("ref_value"))), zero).alias(f"ref{i}_{v}")
+        for v in variables
+        for i in range(1, k + 1)
+    ]
+    r = vals.groupBy("case_id", "pos").agg(*cols, F.count("ref_value").alias("refs_present"))
+    names = [f"ref{i}_{v}" for v in variables for i in range(1, k + 1)]
+    d = w.join(ts, ["site", "pos"]).withColumns(calendar("ts")).join(r, ["case_id", "pos"], "left")
+    keep = [(zero if local_only else F.coalesce(n, zero)).alias(n) for n in names]
+    present = F.lit(0).cast("bigint") if local_only else F.coalesce("refs_present", F.lit(0))
+    return d.select("case_id", "site", "pos", *[f"x_{v}" for v in variables], "hour_sin", "hour_cos", "doy_sin", "doy_cos", *keep, present.alias("refs_present"))

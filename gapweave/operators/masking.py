@@ -375,8 +375,8 @@ def probe_gaps(panel: DataFrame, gaps: Sequence[int], ctx: int, repeats: int, ta
     n = panel.groupBy("site").agg((F.max("pos") + 1).alias("n"))
     g = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in gaps]))
     t = n.withColumn("gap_len", g).withColumn("room", F.col("n") - F.col("gap_len") - tail - ctx).where("room > 0")
-    t = t.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).cast("bigint"))
-    t = t.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).cast("bigint"))
+    t = t.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
+    t = t.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))))
     draw = hash_order(seed, F.col("site"), F.col("gap_len"), F.col("repeat"), F.col("attempt"))
     t = t.withColumn("pos", F.lit(ctx) + F.pmod(draw, F.col("room")))
     t = t.join(bad.where("ok").select("site", "pos", "bad"), ["site", "pos"])

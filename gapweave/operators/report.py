@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.functions.exprs import ratio
+from gapweave.functions.exprs import r6, ratio
 from gapweave.operators.masking import hidden_cells, interval_join
 from gapweave.operators.quality import abs_changes
 from gapweave.operators.shape import clip_to_bounds
@@ -288,7 +288,7 @@ def basic_summaries(scores: DataFrame, labels: Sequence[str]) -> DataFrame:
     lab = F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("label")) for c in labels])
     d = scores.withColumn("_l", F.explode(lab)).select("model", "_l.by", "_l.label", "MSE", "MAE", "NMAE", "n_eval")
     return d.groupBy("model", "by", "label").agg(
-        F.round(F.avg("MSE"), 5).alias("MSE"), F.round(F.avg("MAE"), 5).alias("MAE"), F.round(F.avg("NMAE"), 5).alias("NMAE"), F.sum("n_eval").alias("n_eval")
+        r6(F.avg("MSE"), 5).alias("MSE"), r6(F.avg("MAE"), 5).alias("MAE"), r6(F.avg("NMAE"), 5).alias("NMAE"), F.sum("n_eval").alias("n_eval")
     )
 
 

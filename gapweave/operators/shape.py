@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapweave.functions.exprs import r6
+
 # Valid sensor ranges, bounds inclusive.
 SENSOR_BOUNDS = {
     "Tin": (-30.0, 70.0),
@@ -91,7 +93,7 @@ def explode_vars(df: DataFrame, col: str = "masked_vars") -> DataFrame:
 
 
 def round6(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    fixed = {c: F.round(F.when(~F.isnan(c), F.col(c)), 6) for c in cols}
+    fixed = {c: r6(F.when(~F.isnan(c), F.col(c))) for c in cols}
     return df.withColumns(fixed)
 
 

@@ -27,11 +27,18 @@ def parse_timestamps(df: DataFrame, col: str, mode: str = "strict", out: str = "
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _site_of(path: Column) -> Column:
+    """Site of a file: its ``site=...`` folder when written by Spark, else the file stem."""
+    text = F.url_decode(path)
+    folder = F.regexp_extract(text, r"site=([^/]+)/", 1)
+    stem = F.regexp_replace(F.element_at(F.split(text, "/"), -1), r"\.[^.]+$", "")
+    return F.when(folder != "", folder).otherwise(stem)
+
+
 def list_sites(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Sorted site names (file stems) below a directory, from the file listing alone."""
+    """Site names below a directory with their file counts, from the file listing alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(F.url_decode(name), r"\.[^.]+$", "").alias("site"), F.col("length").alias("bytes")).orderBy("site")
+    return files.select(_site_of(F.col("path")).alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("files")).orderBy("site")
 
 
 def read_site_sheets(spark: SparkSession, path: str, pattern: str = "*.csv", mode: str = "strict") -> DataFrame:
@@ -40,20 +47,22 @@ def read_site_sheets(spark: SparkSession, path: str, pattern: str = "*.csv", mod
     Sheets may differ in columns and order, so lines are split by each file's own header. The
     header of a file is its line at byte 0; it is found by one aggregation per file and joined back.
     """
-    lines = spark.read.format("text").option("pathGlobFilter", pattern).load(path).select(
+    reader = spark.read.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    lines = reader.load(path).select(
         "value",
-        F.regexp_replace(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)), r"\.[^.]+$", "").alias("site"),
-        (F.col("_metadata.file_block_start") == 0).alias("_first_block"),
+        F.col("_metadata.file_path").alias("_file"),
+        (F.col("_metadata.file_block_start") == 0).alias("_first"),
         F.monotonically_increasing_id().alias("_i"),
     )
-    heads = lines.where("_first_block").groupBy("site").agg(F.min_by("value", "_i").alias("_header"), F.min("_i").alias("_hi"))
-    bom = F.regexp_replace("_header", "^﻿", "")
+    heads = lines.where("_first").groupBy("_file").agg(F.min_by("value", "_i").alias("_header"), F.min("_i").alias("_hi"))
     split = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
-    heads = heads.withColumn("_names", split(bom))
+    heads = heads.withColumn("_names", split(F.regexp_replace("_header", "^\ufeff", "")))
     marks = F.filter(F.col("_names"), lambda n: _is_date(n))
     heads = heads.withColumn("_date", F.coalesce(F.get(marks, F.lit(0)), F.get("_names", F.lit(0)))).drop("_header")
-    body = lines.join(heads, "site").where("value <> '' and not (_first_block and _i = _hi)")
-    cells = body.select("site", "_date", F.map_from_arrays("_names", split(F.col("value"))).alias("_m"))
+    body = lines.join(heads, "_file").where("value <> '' and not (_first and _i = _hi)")
+    cells = body.select(
+        _site_of(F.col("_file")).alias("site"), "_date", F.map_from_arrays("_names", F.slice(split(F.col("value")), F.lit(1), F.size("_names"))).alias("_m")
+    )
     cells = parse_timestamps(cells.withColumn("_raw", F.element_at("_m", F.col("_date"))), "_raw", mode)
     long = cells.select("site", "ts", "_date", F.explode("_m").alias("variable", "_text")).where("variable <> _date")
     num = F.col("_text").try_cast("double")
