@@ -121,7 +121,7 @@ def final_table(scores: DataFrame, variables: Sequence[str], scenarios: Sequence
     return out
 
 
-def residual_strata(cells: DataFrame, panel: DataFrame, thresholds: DataFrame, ranges: DataFrame, zero_variable: str) -> DataFrame:
+def residual_strata(cells: DataFrame, panel: DataFrame, thresholds: DataFrame, ranges: DataFrame, zero_variable: str, zero_level: float = 0.0) -> DataFrame:
     """Mean error where the truth changes little or much (training threshold) and at zero / positive truth."""
     ch = abs_changes(panel).select("site", "variable", "pos", F.abs("change").alias("delta"))
     d = cells.join(ch, ["site", "variable", "pos"], "left").join(thresholds.select("variable", "threshold"), "variable").join(ranges, ["site", "variable"])
@@ -130,8 +130,8 @@ def residual_strata(cells: DataFrame, panel: DataFrame, thresholds: DataFrame, r
         F.array(
             F.when(F.col("delta") <= F.col("threshold"), F.lit("change_low")),
             F.when(F.col("delta") > F.col("threshold"), F.lit("change_high")),
-            F.when(z & (F.col("value") <= 0.5), F.lit("level_zero")),
-            F.when(z & (F.col("value") > 0.5), F.lit("level_positive")),
+            F.when(z & (F.col("value") <= zero_level), F.lit("level_zero")),
+            F.when(z & (F.col("value") > zero_level), F.lit("level_positive")),
         )
     )
     err = F.abs(F.col("pred") - F.col("value"))

@@ -28,7 +28,8 @@ def sql(needs: str, select: str) -> str:
         visit(n)
     if not order:
         return select.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + select.strip()
+    body = select.strip()  # a body starting with a comma adds CTEs of its own
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 def r(expr: str, alias: str, digits: int = 6) -> str:
@@ -295,3 +296,63 @@ SELECT site, variable, pos, CASE WHEN f IS NOT NULL THEN f WHEN pp IS NULL THEN
   FROM (SELECT p.site, p.variable, p.pos, coalesce(p.value, y.y) AS f FROM panel3 p LEFT JOIN wo_y y ON y.site = p.site AND y.variable = p.variable AND y.pos = p.pos)
   WINDOW a AS (PARTITION BY site, variable ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          b AS (PARTITION BY site, variable ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+cte("mctx", "spans scaled", """
+SELECT case_id, variable, c AS context, pos, run_start, coalesce(last_value(z IGNORE NULLS) OVER a, first_value(z IGNORE NULLS) OVER b, 0) AS v FROM (
+  SELECT s.case_id, s.variable, s.run_start, k.c, p.pos, p.z FROM spans s, (SELECT unnest([4, 8, 16])::BIGINT AS c) k, scaled p
+  WHERE p.site = s.site AND p.variable = s.variable AND p.pos BETWEEN s.run_start - k.c AND s.run_start - 1)
+WINDOW a AS (PARTITION BY case_id, variable, c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       b AS (PARTITION BY case_id, variable, c ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+cte("mpred", "spans mctx scaled scaler", """
+SELECT q.model, q.context, q.case_id, q.site, q.variable, q.gap_len, t.value, q.y * (c.hi - c.lo) + c.lo AS pred FROM (
+  SELECT m.model, x.context, s.case_id, s.site, s.variable, s.gap_len, s.pos,
+         CASE m.model WHEN 'last' THEN arg_max(x.v, x.pos) ELSE coalesce(avg(x.v) FILTER (WHERE (x.pos - s.pos) % 4 = 0), arg_max(x.v, x.pos)) END AS y
+  FROM (SELECT *, unnest(range(start_pos, end_pos + 1)) AS pos FROM spans) s JOIN mctx x ON x.case_id = s.case_id AND x.variable = s.variable,
+       (SELECT unnest(['last', 'seasonal_mean']) AS model) m GROUP BY m.model, x.context, s.case_id, s.site, s.variable, s.gap_len, s.pos) q
+JOIN scaled t ON t.site = q.site AND t.variable = q.variable AND t.pos = q.pos AND t.value IS NOT NULL JOIN scaler c ON c.variable = q.variable""")
+cte("mscores", "mpred ranges", f"""
+SELECT model, context, case_id, site, variable, gap_len, {SCORE_COLS} FROM (
+  SELECT model, context, case_id, site, variable, gap_len, {METRICS} FROM mpred GROUP BY ALL) JOIN ranges USING (site, variable)""")
+cte("msite", "mscores", "SELECT model, context, site, sum(NMAE * n_eval) / sum(n_eval) AS NMAE FROM mscores WHERE NMAE IS NOT NULL GROUP BY 1, 2, 3")
+cte("msum", "msite", "SELECT model, context, avg(NMAE) AS mean, stddev_samp(NMAE) AS sd, count(*) AS n_sites FROM msite GROUP BY 1, 2")
+cte("mbest", "msum", "SELECT * FROM msum QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mean, 12), context) = 1")
+cte("rounds", "scores", """
+SELECT CASE model WHEN 'linear' THEN 0 WHEN 'bidir' THEN 1 WHEN 'ridge' THEN 2 ELSE 3 END AS round, site, case_id, variable, MAE AS mae, NMAE, n_eval FROM scores""")
+cte("coarse6", "panel6", "SELECT site, variable, pos, floor(value / 40) * 40 AS value FROM panel6")
+cte("const6", "coarse6", """
+SELECT * FROM (SELECT site, variable, min(pos) AS a, max(pos) AS b, count(*) AS c FROM (
+  SELECT *, sum(CASE WHEN prev = value THEN 0 ELSE 1 END) OVER (PARTITION BY site, variable ORDER BY pos) AS g
+  FROM (SELECT *, lag(value) OVER (PARTITION BY site, variable ORDER BY pos) AS prev FROM coarse6))
+WHERE value IS NOT NULL GROUP BY site, variable, g) WHERE c >= 4""")
+cte("flagged", "hid const6", "SELECT case_id, variable, count(*) AS flagged_steps FROM hid h WHERE EXISTS (SELECT 1 FROM const6 k WHERE k.site = h.site AND k.variable = h.variable AND h.pos BETWEEN k.a AND k.b) GROUP BY 1, 2")
+cte("norms", "panel6 cut6", """
+SELECT *, p99 - p01 AS robust_range, coalesce(full_range > 0 AND p99 - p01 > 0, false) AS common_valid FROM (
+SELECT site, variable, count(value) AS n_observations, max(value) - min(value) AS full_range, max(value) FILTER (WHERE pos < cut) - min(value) FILTER (WHERE pos < cut) AS prefix_range,
+       quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99 FROM panel6 JOIN cut6 USING (site) GROUP BY 1, 2)""")
+cte("nscores", "scores norms", """
+SELECT s.*, k.normalizer, s.MAE / CASE k.normalizer WHEN 'p01_p99_common' THEN n.robust_range ELSE n.full_range END AS score FROM scores s JOIN norms n USING (site, variable),
+(SELECT unnest(['full_range_all', 'full_range_common', 'p01_p99_common']) AS normalizer) k WHERE k.normalizer = 'full_range_all' OR n.common_valid""")
+cte("pairs", "", "SELECT * FROM (VALUES ('bidir', 'linear'), ('bidir', 'seasonal'), ('bidir', 'ridge'), ('ridge', 'linear')) t(model, reference)")
+cte("null_w", "", """
+SELECT n, w, count(*) AS c FROM (SELECT n, b, sum(CASE WHEN (b >> (i - 1)) & 1 = 1 THEN i ELSE 0 END) AS w FROM (
+  SELECT n, b, unnest(range(1, n + 1)) AS i FROM (SELECT n, unnest(range(CAST(pow(2, n) AS BIGINT))) AS b FROM (SELECT unnest(range(1, 9)) AS n))) GROUP BY 1, 2) GROUP BY 1, 2""")
+POLY = "t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
+
+
+def paired(xy: str, keys: str) -> str:
+    """Paired comparison of CTE ``xy`` (keys, site, x, y): bootstrap, signed-rank p (n <= 8, no ties) and base columns."""
+    j = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""SELECT b.*, ci.low, ci.high, coalesce(w.p, 1.0) AS p FROM (
+  SELECT {keys}, avg(x) AS mx, avg(y) AS my, count(*) AS n_sites, count(*) FILTER (WHERE x < y) AS sites_improved, 100 * (1 - avg(x) / avg(y)) AS reduction FROM {xy} GROUP BY {keys}) b
+JOIN (SELECT {keys}, quantile_cont(CAST(100 * (1 - x / y) AS DOUBLE), 0.025) AS low, quantile_cont(CAST(100 * (1 - x / y) AS DOUBLE), 0.975) AS high FROM ({boot(xy, keys, 'x, y')}) GROUP BY {keys}) ci USING ({keys})
+LEFT JOIN (SELECT {keys}, least(1.0, 2 * (SELECT sum(c) FROM null_w z WHERE z.n = q.n AND z.w <= least(q.wp, q.n * (q.n + 1) / 2 - q.wp)) / pow(2, q.n)) AS p FROM (
+  SELECT {keys}, count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0) AS wp FROM (
+    SELECT *, x - y AS d, rank() OVER (PARTITION BY {keys} ORDER BY abs(x - y)) AS rk FROM {xy} WHERE x <> y) GROUP BY {keys}) q) w USING ({keys})"""
+
+
+def holm_sql(inner: str, family: str = "") -> str:
+    part = f"PARTITION BY {family}" if family else ""
+    return f"""SELECT *, least(1.0, max(s) OVER ({part} ORDER BY p, model, reference ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS holm_p FROM (
+SELECT *, p * (count(*) OVER ({part}) - row_number() OVER ({part} ORDER BY p, model, reference) + 1) AS s FROM ({inner}))"""
+
+
+cte("xy", "pairs site_s", "SELECT p.model, p.reference, a.site, a.NMAE AS x, b.NMAE AS y FROM pairs p JOIN site_s a ON a.model = p.model JOIN site_s b ON b.model = p.reference AND b.site = a.site")

@@ -33,6 +33,7 @@ MIN_COVERAGE = 0.6
 MIN_PAIRS = 40
 MIN_SIDE = 8
 CONTEXT = 32
+CONTEXTS = (4, 8, 16)
 SCORED_MODELS = ("bidir", "linear", "ridge", "seasonal")
 
 _MEMO: dict[tuple[str, str], Stages] = {}
@@ -141,6 +142,23 @@ class Stages:
 
         return materialize(case_scores(self.cells, self.ranges), "scores", ("model",))
 
+    @cached_property
+    def context_scores(self) -> DataFrame:
+        """Variable-case scores of two forecasters at several context lengths (model, context, ...)."""
+        from gapweave.operators import forecast
+        from gapweave.operators.metrics import case_scores
+
+        out = None
+        for model, fc in (("last", forecast.last_value), ("seasonal_mean", forecast.seasonal_mean(SEASON))):
+            for c in CONTEXTS:
+                p = forecast.impute_forecast(self.spans, self.scaled, fc, c, value="z")
+                p = p.withColumns({"model": F.lit(model), "context": F.lit(c).cast("bigint")})
+                out = p if out is None else out.unionByName(p)
+        truth = self.scaled.where("value is not null").select("site", "variable", "pos", "value")
+        d = scaling.inverse_minmax(out.join(truth, ["site", "variable", "pos"]), self.scaler, "y_hat", "pred")
+        d = d.join(self.manifest.select("case_id", "gap_len"), "case_id")
+        return materialize(case_scores(d, self.ranges, ("model", "context", "case_id", "site", "variable", "gap_len")), "context_scores")
+
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
     key = (spark.sparkContext.applicationId, sf_dir)
