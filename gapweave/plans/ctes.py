@@ -356,3 +356,51 @@ SELECT *, p * (count(*) OVER ({part}) - row_number() OVER ({part} ORDER BY p, mo
 
 
 cte("xy", "pairs site_s", "SELECT p.model, p.reference, a.site, a.NMAE AS x, b.NMAE AS y FROM pairs p JOIN site_s a ON a.model = p.model JOIN site_s b ON b.model = p.reference AND b.site = a.site")
+KEY = "site, variable, pos"
+cte("inj", "panel6", f"""
+SELECT p.site, p.variable, p.pos, p.ts, p.value IS NOT NULL AND rk <= 6 AS injected, CASE WHEN p.value IS NOT NULL AND rk <= 6 THEN p.value END AS true_value,
+       CASE WHEN p.value IS NOT NULL AND rk <= 6 THEN p.value + (CASE WHEN {hsh('42', "'sign'", 'site', 'variable', 'pos')} % 2 = 0 THEN 1 ELSE -1 END)
+            * (4 + 4 * {unit('42', "'size'", 'site', 'variable', 'pos')}) * sd ELSE p.value END AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY site, variable, value IS NULL ORDER BY {hsh('42', 'site', 'variable', 'pos')}, pos) AS rk,
+             stddev_samp(value) OVER (PARTITION BY site, variable) AS sd FROM panel6) p""")
+cte("ph", "inj", "SELECT *, CASE WHEN (pos // 4) % 2 <> phase THEN value END AS masked FROM (SELECT *, unnest([0, 1]) AS phase FROM inj)")
+cte("phn", "ph", """
+SELECT *, last_value(CASE WHEN masked IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS pp, last_value(masked IGNORE NULLS) OVER a AS pv,
+       first_value(CASE WHEN masked IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS np, first_value(masked IGNORE NULLS) OVER b AS nv, max(pos) OVER (PARTITION BY site, variable) + 1 AS n
+FROM ph WINDOW a AS (PARTITION BY site, variable, phase ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               b AS (PARTITION BY site, variable, phase ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+L2 = LINE.format(p="pos", lp="pp", lv="pv", rp="np", rv="nv")
+cte("res_linear", "phn", f"SELECT site, variable, pos, value, injected, {L2} AS recon FROM phn WHERE (pos // 4) % 2 = phase")
+cte("phs", "phn", """
+SELECT h.site, h.variable, h.phase, h.pos, h.value, h.injected, coalesce(h.masked,
+  arg_max(q.masked, q.pos) FILTER (WHERE q.pos < h.pos AND q.pos >= greatest(0, coalesce(h.pp + 1, 0) - 16)),
+  arg_min(q.masked, q.pos) FILTER (WHERE q.pos > h.pos AND q.pos < least(h.n, coalesce(h.np - 1, h.n - 1) + 1 + 16))) AS f
+FROM phn h LEFT JOIN ph q ON q.site = h.site AND q.variable = h.variable AND q.phase = h.phase AND q.masked IS NOT NULL AND q.pos % 4 = h.pos % 4 AND h.masked IS NULL
+GROUP BY h.site, h.variable, h.phase, h.pos, h.value, h.injected, h.masked, h.pp, h.np, h.n""")
+cte("res_seasonal", "phs", f"""
+SELECT site, variable, pos, value, injected, coalesce(f, {L2}) AS recon FROM (
+  SELECT *, last_value(CASE WHEN f IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS pp, last_value(f IGNORE NULLS) OVER a AS pv,
+         first_value(CASE WHEN f IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS np, first_value(f IGNORE NULLS) OVER b AS nv
+  FROM phs WINDOW a AS (PARTITION BY site, variable, phase ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  b AS (PARTITION BY site, variable, phase ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+WHERE (pos // 4) % 2 = phase""")
+cte("resid", "res_linear res_seasonal", "SELECT 'linear' AS model, *, value - recon AS residual FROM res_linear UNION ALL SELECT 'seasonal', *, value - recon FROM res_seasonal")
+cte("zs", "resid", """
+SELECT r.*, CASE WHEN n >= 5 AND mad >= 1e-9 THEN abs(residual - med) / mad END AS z FROM resid r
+JOIN (SELECT model, site, variable, quantile_cont(residual, 0.5) AS med, count(residual) AS n FROM resid GROUP BY 1, 2, 3) m USING (model, site, variable)
+JOIN (SELECT r.model, r.site, r.variable, quantile_cont(abs(r.residual - q.med), 0.5) * 1.4826::DOUBLE AS mad FROM resid r
+      JOIN (SELECT model, site, variable, quantile_cont(residual, 0.5) AS med FROM resid GROUP BY 1, 2, 3) q USING (model, site, variable) GROUP BY 1, 2, 3) d USING (model, site, variable)""")
+cte("flags", "zs", "SELECT *, coalesce(z > 3.5, false) AS flag FROM zs")
+cte("restored", "inj flags", f"""
+SELECT m.model, {', '.join('m.' + k for k in ('site', 'variable', 'pos', 'value', 'injected', 'true_value'))}, m.fl, CASE WHEN m.mk IS NOT NULL THEN m.mk ELSE {L2.replace('pos', 'm.pos')} END AS restored FROM (
+  SELECT *, last_value(CASE WHEN mk IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS pp, last_value(mk IGNORE NULLS) OVER a AS pv,
+         first_value(CASE WHEN mk IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS np, first_value(mk IGNORE NULLS) OVER b AS nv
+  FROM (SELECT f.model, i.*, f.flag AS fl, CASE WHEN NOT f.flag THEN i.value END AS mk FROM inj i JOIN flags f ON f.site = i.site AND f.variable = i.variable AND f.pos = i.pos WHERE f.model = 'linear')
+  WINDOW a AS (PARTITION BY model, site, variable ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         b AS (PARTITION BY model, site, variable ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) m""")
+PRF = """count(*) FILTER (WHERE {f} AND injected) AS tp, count(*) FILTER (WHERE {f} AND NOT injected) AS fp, count(*) FILTER (WHERE NOT {f} AND injected) AS fn, count(*) FILTER (WHERE injected) AS n_injected"""
+PRF_OUT = (
+    "tp, fp, fn, n_injected, " + r("tp / nullif(tp + fp, 0)", "precision") + ", " + r("tp / nullif(tp + fn, 0)", "recall") + ", "
+    + r("CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END", "f1")
+)
+cte("scr6", "lin6", "SELECT site, variable, pos, CASE WHEN value IS NOT NULL OR pos - prev_pos <= 3 OR next_pos - pos <= 3 THEN filled END AS value FROM lin6")

@@ -141,12 +141,12 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "H11_rank_changes",
-    sql("scores", f""", k AS (SELECT model, scenario, rank() OVER (PARTITION BY scenario ORDER BY m) AS rk FROM (SELECT model, scenario, avg(NMAE) AS m FROM ({site_sql('model, site, scenario')}) GROUP BY 1, 2))
-SELECT a.model, a.scenario, b.rk AS base_rank, a.rk AS rank FROM k a JOIN k b ON a.model = b.model AND b.scenario = 'A' WHERE a.scenario <> 'A' AND a.rk <> b.rk"""),
+    sql("scores", f""", k AS (SELECT model, variable, rank() OVER (PARTITION BY variable ORDER BY m) AS rk FROM (SELECT model, variable, avg(NMAE) AS m FROM ({site_sql('model, site, variable')}) GROUP BY 1, 2))
+SELECT a.model, a.variable, b.rk AS base_rank, a.rk AS rank FROM k a JOIN k b ON a.model = b.model AND b.variable = 'click' WHERE a.variable <> 'click' AND a.rk <> b.rk"""),
 )
 def _(s: Stages) -> DataFrame:
-    m = stats.site_scores(s.scores, "NMAE", ["scenario"]).groupBy("model", "scenario").agg(F.avg("NMAE").alias("mean"))
-    return report.rank_changes(report.rank_models(m, SUBSET, ["scenario"]), "scenario", "A")
+    m = stats.site_scores(s.scores, "NMAE", ["variable"]).groupBy("model", "variable").agg(F.avg("NMAE").alias("mean"))
+    return report.rank_changes(report.rank_models(m, SUBSET, ["variable"]), "variable", "click")
 
 
 @query(
@@ -407,8 +407,8 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "H29_basic_summaries",
-    sql("scores", "SELECT model, by, label, " + ", ".join(r(f"avg({m})", m, 5) for m in ("MSE", "MAE", "NMAE")) + """, CAST(sum(n_eval) AS BIGINT) AS n_eval FROM (
-SELECT *, 'scenario' AS by, scenario AS label FROM scores UNION ALL SELECT *, 'variable', variable FROM scores UNION ALL SELECT *, 'gap_len', gap_len::VARCHAR FROM scores) GROUP BY 1, 2, 3"""),
+    sql("scores", 'SELECT model, "by", label, ' + ", ".join(r(f"avg({m})", m, 5) for m in ("MSE", "MAE", "NMAE")) + """, CAST(sum(n_eval) AS BIGINT) AS n_eval FROM (
+SELECT *, 'scenario' AS "by", scenario AS label FROM scores UNION ALL SELECT *, 'variable', variable FROM scores UNION ALL SELECT *, 'gap_len', gap_len::VARCHAR FROM scores) GROUP BY 1, 2, 3"""),
 )
 def _(s: Stages) -> DataFrame:
     return report.basic_summaries(s.scores, ["scenario", "variable", "gap_len"])
