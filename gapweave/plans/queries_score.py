@@ -141,12 +141,12 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "H11_rank_changes",
-    sql("scores", f""", k AS (SELECT model, variable, rank() OVER (PARTITION BY variable ORDER BY m) AS rk FROM (SELECT model, variable, avg(NMAE) AS m FROM ({site_sql('model, site, variable')}) GROUP BY 1, 2))
-SELECT a.model, a.variable, b.rk AS base_rank, a.rk AS rank FROM k a JOIN k b ON a.model = b.model AND b.variable = 'click' WHERE a.variable <> 'click' AND a.rk <> b.rk"""),
+    sql("scores", f""", k AS (SELECT model, site || '|' || variable AS setting, rank() OVER (PARTITION BY site, variable ORDER BY NMAE) AS rk FROM ({site_sql('model, site, variable')}))
+SELECT a.model, a.setting, b.rk AS base_rank, a.rk AS rank FROM k a JOIN k b ON a.model = b.model AND b.setting = 's4|click' WHERE a.setting <> 's4|click' AND a.rk <> b.rk"""),
 )
 def _(s: Stages) -> DataFrame:
-    m = stats.site_scores(s.scores, "NMAE", ["variable"]).groupBy("model", "variable").agg(F.avg("NMAE").alias("mean"))
-    return report.rank_changes(report.rank_models(m, SUBSET, ["variable"]), "variable", "click")
+    m = stats.site_scores(s.scores, "NMAE", ["variable"]).withColumn("setting", F.concat_ws("|", "site", "variable")).withColumnRenamed("NMAE", "mean")
+    return report.rank_changes(report.rank_models(m, SUBSET, ["setting"]), "setting", "s4|click")
 
 
 @query(
