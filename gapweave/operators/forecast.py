@@ -149,7 +149,8 @@ def _horizon() -> Column:
 
 def _emit(d: DataFrame, values: Column, keys: Sequence[str] = CASE_VAR) -> DataFrame:
     """Run arrays -> one row per cell of the run, with the hidden bounds when present."""
-    e = d.withColumn("_y", values).where("_y is not null").select("*", F.posexplode("_y").alias("_i", "y_hat"))
+    # exploding a NULL array gives no row, so no filter has to evaluate the forecast a second time
+    e = d.withColumn("_y", values).select("*", F.posexplode("_y").alias("_i", "y_hat"))
     e = e.withColumn("pos", F.col("run_start") + F.col("_i"))
     return e.select(*keys, "pos", *[c for c in ("start_pos", "end_pos") if c in d.columns], "y_hat")
 

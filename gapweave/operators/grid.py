@@ -24,48 +24,46 @@ def grid_violations(obs: DataFrame, step_us: int = HOUR) -> DataFrame:
 def regularize(obs: DataFrame, step_us: int = HOUR, size: int = CHUNK) -> DataFrame:
     """Observations (site, variable, ts, value) -> panel on each site's complete grid.
 
-    Grid slots and observations are unioned and folded per cell in one exchange. A null, duplicate
-    or off-grid stamp fails the job: duplicates are errors, never averaged.
+    Grid slots and observations meet in one aggregation keyed by the absolute slot number, so the
+    observations are shuffled once and never joined to the site table. A null, duplicate or
+    off-grid stamp fails the job: duplicates are errors, never averaged.
     """
-    checked = obs.withColumn(
-        "ts",
-        F.when(F.col("ts").isNull(), F.raise_error(F.lit("null timestamp")).cast("timestamp_ntz"))
-        .when(
-            F.pmod(micros("ts"), F.lit(step_us)) != 0,
-            F.raise_error(F.concat(F.lit("off-grid timestamp at "), F.col("site"))).cast("timestamp_ntz"),
-        )
-        .otherwise(F.col("ts")),
-    )
-    span = site_span(checked, step_us)
-    slots = (
-        span.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {size}"))))
-        .join(obs.select("site", "variable").distinct(), "site")
-        .repartition("site", "variable", "_ck")
-        .withColumn("pos", F.explode(F.sequence(F.col("_ck") * size, F.least((F.col("_ck") + 1) * size, F.col("n")) - 1)))
-        .select("site", "variable", "pos", "lo_us", F.lit(None).cast("double").alias("value"), F.lit(0).alias("_obs"))
-    )
-    seen = checked.join(span.select("site", "lo_us"), "site").select(
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("site"))).cast("bigint")
+    us = micros("ts")
+    slot = F.when(F.col("ts").isNull(), fail("null timestamp at ")).when(
+        F.pmod(us, F.lit(step_us)) != 0, fail("off-grid timestamp at ")
+    ).otherwise(F.floor(us / step_us))
+    seen = obs.select(
         "site",
         "variable",
-        F.expr(f"(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) - lo_us) div {step_us}").alias("pos"),
-        "lo_us",
+        slot.alias("slot"),
         F.when(~F.isnan("value"), F.col("value")).alias("value"),
+        F.lit(None).cast("bigint").alias("lo"),
         F.lit(1).alias("_obs"),
     )
     cells = (
-        slots.unionByName(seen)
-        .groupBy("site", "variable", "pos")
-        .agg(F.max("value").alias("value"), F.sum("_obs").alias("_obs"), F.max("lo_us").alias("lo_us"))
+        grid_slots(obs, step_us, size)
+        .unionByName(seen)
+        .groupBy("site", "variable", "slot")
+        .agg(F.max("value").alias("value"), F.sum("_obs").alias("_obs"), F.max("lo").alias("lo"))
+    )
+    value = F.when(F.col("_obs") > 1, fail("duplicate timestamp at ").cast("double")).otherwise(F.col("value"))
+    ts = from_micros(F.col("slot") * F.lit(step_us))
+    return cells.select("site", "variable", (F.col("slot") - F.col("lo")).alias("pos"), ts.alias("ts"), value.alias("value"))
+
+
+def grid_slots(obs: DataFrame, step_us: int, size: int = CHUNK) -> DataFrame:
+    """Every slot of every (site, variable), generated chunk by chunk so no site is one task's work."""
+    slot = F.floor(micros("ts") / step_us)
+    series = obs.groupBy("site", "variable").agg(F.min(slot).alias("_a"), F.max(slot).alias("_b"))
+    span = series.groupBy("site").agg(F.min("_a").alias("lo"), F.max("_b").alias("hi"))
+    chunks = series.select("site", "variable").join(span, "site")
+    chunks = chunks.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(hi - lo) div {size}"))))
+    first = F.col("lo") + F.col("_ck") * size
+    cells = F.sequence(first, F.least(first + size - 1, F.col("hi")))
+    return chunks.repartition("site", "variable", "_ck").select(
+        "site", "variable", F.explode(cells).alias("slot"), F.lit(None).cast("double").alias("value"), "lo", F.lit(0).alias("_obs")
     )
-    value = F.when(
-        F.col("_obs") > 1, F.raise_error(F.concat(F.lit("duplicate timestamp at "), F.col("site"))).cast("double")
-    ).otherwise(F.col("value"))
-    return cells.select("site", "variable", "pos", from_micros(F.col("lo_us") + F.col("pos") * step_us).alias("ts"), value.alias("value"))
-
-
-def site_span(obs: DataFrame, step_us: int = HOUR) -> DataFrame:
-    s = obs.groupBy("site").agg(F.min(micros("ts")).alias("lo_us"), F.max(micros("ts")).alias("hi_us"))
-    return s.withColumn("n", F.expr(f"(hi_us - lo_us) div {step_us} + 1"))
 
 
 def regularize_report(obs: DataFrame, step_us: int = HOUR) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gapweave.functions.exprs import hash_order, hash_unit, micros
+from gapweave.functions.exprs import from_micros, hash_order, hash_unit, micros
 from gapweave.operators.series import CHUNK, SERIES, carry, lowest_per_group, prefix_sums
 
 
@@ -76,15 +76,23 @@ def manifest_rows(panel: DataFrame, combos: DataFrame, gaps: Sequence[int], ctx:
     """Chosen intervals of every site x combination x gap, without case ids."""
     picks = select_nonoverlapping(feasible_starts(panel, combos, gaps, ctx, size, extra), k, seed)
     end = F.col("start_pos") + F.col("gap_len") - 1
-    stamps = panel.select("site", "pos", "ts").distinct()
-    a = stamps.select("site", F.col("pos").alias("start_pos"), F.col("ts").alias("start_ts"))
-    b = stamps.select("site", F.col("pos").alias("end_pos"), F.col("ts").alias("end_ts"))
-    d = picks.withColumn("end_pos", end).join(a, ["site", "start_pos"]).join(b, ["site", "end_pos"])
+    d = picks.withColumn("end_pos", end).join(site_clock(panel), "site")
+    d = d.withColumns({"start_ts": _stamp("start_pos"), "end_ts": _stamp("end_pos")})
     return d.select(
         "site", "scenario", "vars_key", F.split("vars_key", ",").alias("masked_vars"), "gap_len", "repeat", "start_pos", "end_pos", "start_ts", "end_ts"
     )
 
 
+def site_clock(panel: DataFrame) -> DataFrame:
+    """First stamp and step of each site, read from its first two positions only."""
+    us = lambda p: F.min(F.when(F.col("pos") == p, micros("ts")))
+    return panel.where("pos in (0, 1)").groupBy("site").agg(us(0).alias("_t0"), F.coalesce(us(1) - us(0), F.lit(0)).alias("_dt"))
+
+
+def _stamp(pos: str) -> Column:
+    return from_micros(F.col("_t0") + F.col(pos) * F.col("_dt"))
+
+
 MANIFEST_ORDER = ["site", "scenario", "vars_key", "gap_len", "repeat"]
 
 
@@ -128,8 +136,8 @@ def build_validation_manifest(
     bad = seen.where(F.col("_hi") - F.coalesce("_lo", F.lit(0)) < 1)
     cand = cand.join(bad, ["site", "scenario", "vars_key", "gap_len", "start_pos"], "left_anti")
     picks = select_nonoverlapping(cand, k, seed)
-    stamps = panel.select("site", F.col("pos").alias("start_pos"), F.col("ts").alias("start_ts")).distinct()
-    d = picks.join(stamps, ["site", "start_pos"]).join(n.withColumnRenamed("cut", "validation_start"), "site")
+    d = picks.join(site_clock(panel), "site").withColumn("start_ts", _stamp("start_pos"))
+    d = d.join(n.withColumnRenamed("cut", "validation_start"), "site")
     d = d.withColumn("end_pos", F.col("start_pos") + F.col("gap_len") - 1)
     d = d.select("site", "scenario", "vars_key", F.split("vars_key", ",").alias("masked_vars"), "gap_len", "repeat", "start_pos", "end_pos", "start_ts", "validation_start")
     return sequential_ids(d, MANIFEST_ORDER, "case_id", "validation")

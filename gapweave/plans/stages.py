@@ -7,13 +7,14 @@ the whole lineage.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.operators import grid, impute, masking, scaling
-from gapweave.plans.storage import materialize
+from gapweave.plans.storage import materialize, materialize_all
 from gapweave.sources.events import event_observations
 
 VARIABLES = ("click", "error", "purchase", "signup", "view")
@@ -46,13 +47,14 @@ class Stages:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def obs6(self) -> DataFrame:
-        return event_observations(self.table("events"), SITES, STEP6)
+        """Step means per site and variable: the one pass over the raw events, pre-aggregated map-side."""
+        return materialize(event_observations(self.table("events"), SITES, STEP6), "obs6")
 
-    @property
+    @cached_property
     def obs3(self) -> DataFrame:
-        return event_observations(self.table("events"), SITES, STEP3)
+        return materialize(event_observations(self.table("events"), SITES, STEP3), "obs3")
 
     @cached_property
     def panel6(self) -> DataFrame:
@@ -108,20 +110,31 @@ class Stages:
         """case_id, model, site, variable, pos, y_hat (scaled units)."""
         from gapweave.operators import forecast, references as refs
 
+        self.warm()
+        refs_of = lambda: refs.case_ridge(self.spans, self.references, self.scaled, "z", 1.0, MIN_PAIRS)
+        init = lambda: forecast.bidirectional_init(
+            self.spans, self.filled, forecast.seasonal_mean(SEASON), CONTEXT, MIN_SIDE, "zf"
+        )
         linear = impute.case_linear(self.spans)
-        parts = {
-            "linear": linear,
-            "seasonal": impute.case_seasonal(self.spans, self.scaled, SEASON, SEASON_CTX, "z"),
-            "ridge": impute.final_fill(refs.case_ridge(self.spans, self.references, self.scaled, "z", 1.0, MIN_PAIRS), linear),
-            "bidir": impute.final_fill(
-                forecast.bidirectional_init(self.spans, self.filled, forecast.seasonal_mean(SEASON), CONTEXT, MIN_SIDE, "zf"), linear
-            ),
+        fills = {
+            "linear": lambda: linear,
+            "seasonal": lambda: impute.case_seasonal(self.spans, self.scaled, SEASON, SEASON_CTX, "z"),
+            "ridge": lambda: impute.final_fill(refs_of(), linear),
+            "bidir": lambda: impute.final_fill(init(), linear),
         }
-        out = None
-        for model, p in parts.items():
-            p = p.select("case_id", F.lit(model).alias("model"), "site", "variable", "pos", "y_hat")
-            out = p if out is None else out.unionByName(p)
-        return materialize(out, "predictions", ("model",))
+        label = lambda m, fn: lambda: fn().select("case_id", F.lit(m).alias("model"), "site", "variable", "pos", "y_hat")
+        parts = materialize_all({m: label(m, fn) for m, fn in fills.items()}, "predictions")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def warm(self) -> None:
+        """Build the inputs of the imputers side by side."""
+        self.scaled, self.manifest  # noqa: B018
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            for job in [pool.submit(lambda: self.filled), pool.submit(lambda: self.references)]:
+                job.result()
 
     @cached_property
     def cells(self) -> DataFrame:

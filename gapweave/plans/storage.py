@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(builders: Mapping[str, Callable[[], DataFrame]], name: str) -> list[DataFrame]:
+    """Write independent stages at the same time, so their small shuffles overlap on the cluster."""
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        jobs = [pool.submit(lambda k=k, fn=fn: materialize(fn(), f"{name}-{k}")) for k, fn in builders.items()]
+        return [j.result() for j in jobs]
+
+
 def sequential_ids(df: DataFrame, order: list[str], id_col: str, name: str = "ordered") -> DataFrame:
     """Global 0-based ids in ``order`` without a one-task sort.
 
