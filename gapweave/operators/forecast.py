@@ -266,17 +266,20 @@ def ridge_forecaster(alpha: float = 1.0) -> CovForecaster:
 
 
 def covariate_cells(
-    spans: DataFrame, panel: DataFrame, ctx: int, value: str, variables: Sequence[str], refs: DataFrame | None = None, use_calendar: bool = True,
+    spans: DataFrame, panel: DataFrame, ctx: int, value: str, refs: DataFrame | None = None, use_calendar: bool = True, max_horizon: int = 1024,
 ) -> DataFrame:
     """Static design rows: every position of a run and its two contexts, with covariates as an array.
 
+    Runs beyond the horizon get no rows; they keep the estimate they came with.
+
     Columns: case_id, site, variable, pos, side (L, G, R), y, others (map variable -> value), fixed
     (calendar and reference values).
     """
     wide = panel.groupBy("site", "pos", "ts").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable", value)))).alias("vals")
     )
-    iv = spans.select(*CASE_VAR, "run_start", "run_end").withColumns(
+    short = spans.where(_horizon() <= max_horizon)
+    iv = short.select(*CASE_VAR, "run_start", "run_end").withColumns(
         {"_lo": F.greatest(F.col("run_start") - ctx, F.lit(0)), "_hi": F.col("run_end") + ctx}
     )
     d = interval_join(iv, wide, "_lo", "_hi", ("site",))
@@ -345,17 +348,22 @@ def covariate_pass(
         return pd.DataFrame({"case_id": key[0], "site": key[1], "variable": key[2], "pos": pdf["pos"].to_numpy()[gap], "y_hat": y})
 
     schema = "case_id long, site string, variable string, pos long, y_hat double"
-    # a group is one run with its two bounded contexts (at most 2 * ctx positions plus the run)
-    return d.groupBy(*CASE_VAR).applyInPandas(solve, schema)
+    # a group is one run with its two contexts: at most 2 * ctx + max_horizon positions
+    new = d.groupBy(*CASE_VAR).applyInPandas(solve, schema)
+    keys = [*CASE_VAR, "pos"]
+    old = snapshot.select(*keys, F.col("y_hat").alias("_old"))
+    return old.join(new, keys, "left").select(*keys, F.coalesce("y_hat", "_old").alias("y_hat"))
 
 
 def refine_sync(
     init: DataFrame, cells: DataFrame, variables: Sequence[str], fc: CovForecaster, passes: int, min_side: int = 48, bidirectional: bool = True,
 ) -> DataFrame:
     """``passes`` synchronous refinement passes; 0 returns the initial estimate. Each pass is written out."""
-    from gapweave.plans.storage import materialize
+    from gapweave.plans.storage import materialize, materialize_all
 
-    cur = init
+    if passes == 0:
+        return init
+    cur, cells = materialize_all({"init": lambda: init, "cells": lambda: cells}, "refine")
     for i in range(passes):
         cur = materialize(covariate_pass(cells, cur, variables, fc, min_side, bidirectional), f"pass{i + 1}")
     return cur
@@ -370,9 +378,10 @@ def refine_until_converged(
     Only scalars come back per pass: the relative change and which variables still move. A variable
     whose last RMS change fell below ``var_tol`` keeps its estimate and is not forecast again.
     """
-    from gapweave.plans.storage import materialize
+    from gapweave.plans.storage import materialize, materialize_all
 
     spark = init.sparkSession
+    init, linear, cells = materialize_all({"init": lambda: init, "linear": lambda: linear, "cells": lambda: cells}, "converge")
     keys = [*CASE_VAR, "pos"]
     lin = linear.select(*keys, F.col("y_hat").alias("_l"))
     rms = lambda a, b: F.sqrt(F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))))
@@ -381,9 +390,7 @@ def refine_until_converged(
     before = score(cur)
     for i in range(1, max_passes + 1):
         moving = cells.where(F.col("variable").isin(active))
-        new = covariate_pass(moving, cur, variables, fc, min_side, bidirectional=False)
-        kept = cur.where(~F.col("variable").isin(active)).select(*keys, "y_hat")
-        nxt = materialize(new.select(*keys, "y_hat").unionByName(kept), f"round{i}")
+        nxt = materialize(covariate_pass(moving, cur, variables, fc, min_side, bidirectional=False), f"round{i}")
         delta = nxt.join(cur.select(*keys, F.col("y_hat").alias("_o")), keys).groupBy("variable").agg(rms("y_hat", "_o").alias("rms"))
         per_var = {r["variable"]: r["rms"] for r in delta.collect()}  # one row per variable name
         after = score(nxt)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import calendar, from_micros, micros, season, time_of_day
+from gapweave.functions.ranks import exact_quantiles
 from gapweave.operators.series import CHUNK, SERIES, shift
 
 HOUR = 3_600_000_000
@@ -97,7 +98,7 @@ def detect_freq(stamps: DataFrame) -> DataFrame:
     within = d.select("site", "ts", F.lead("ts").over(w).alias("next_ts"))
     gaps = within.unionByName(across).where("next_ts is not null")
     minutes = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts")) / 60e6
-    med = gaps.groupBy("site").agg(F.percentile(minutes, F.lit(0.5)).alias("median_minutes"))
+    med = exact_quantiles(gaps, ["site"], minutes, {"median_minutes": 0.5}).drop("_n")
     freq = (
         F.when(F.col("median_minutes") <= 1.5, "1min")
         .when(F.col("median_minutes") <= 6, "5min")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import metric_columns, r6, ratio, season, time_of_day
+from gapweave.functions.ranks import exact_quantiles
 
 CASE_KEYS = ("case_id", "model", "site", "scenario", "vars_key", "gap_len", "repeat", "variable")
 
@@ -46,14 +47,12 @@ def norm_ranges(panel: DataFrame, frac: float = 0.8) -> DataFrame:
     n = panel.groupBy("site").agg(F.floor(F.lit(frac) * (F.max("pos") + 1)).cast("bigint").alias("cut"))
     d = panel.join(n, "site")
     v, pre = F.col("value"), F.when(F.col("pos") < F.col("cut"), F.col("value"))
-    q = lambda p: F.percentile(v, F.lit(p))
     g = d.groupBy("site", "variable").agg(
         F.count(v).alias("n_observations"),
         (F.max(v) - F.min(v)).alias("full_range"),
         (F.max(pre) - F.min(pre)).alias("prefix_range"),
-        q(0.01).alias("p01"),
-        q(0.99).alias("p99"),
     )
+    g = g.join(exact_quantiles(panel, ("site", "variable"), v, {"p01": 0.01, "p99": 0.99}).drop("_n"), ["site", "variable"], "left")
     g = g.withColumn("robust_range", F.col("p99") - F.col("p01"))
     ok = F.coalesce((F.col("full_range") > 0) & (F.col("robust_range") > 0), F.lit(False))
     return g.withColumns({"ratio": F.when(F.col("robust_range") > 0, F.col("full_range") / F.col("robust_range")), "common_valid": ok})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import hash_order, pearson, ratio
+from gapweave.functions.ranks import exact_quantiles
 from gapweave.operators.series import CHUNK, SERIES, carry, lowest_per_group, observed_neighbours, prefix_sums, shift
 
 
@@ -151,7 +152,7 @@ def change_thresholds(panel: DataFrame, roles: DataFrame, frac: float = 0.8, q:
     n = panel.groupBy("site").agg(F.floor(F.lit(frac) * (F.max("pos") + 1)).cast("bigint").alias("cut"))
     d = abs_changes(panel, size=size).join(n, "site").where("pos < cut")
     d = d.join(roles.where("role = 'train'").select("site"), "site", "left_semi")
-    return d.groupBy("variable").agg(F.percentile(F.abs("change"), F.lit(q)).alias("threshold"), F.count("change").alias("n_changes"))
+    return exact_quantiles(d, ["variable"], F.abs("change"), {"threshold": q}).withColumnRenamed("_n", "n_changes")
 
 
 def site_profile(
@@ -241,13 +242,14 @@ def variability(panel: DataFrame, scaled: str = "z", size: int = CHUNK) -> DataF
     d = shift(panel, {"_prev": ("value", -1), "_zprev": (scaled, -1)}, size=size)
     step = F.abs(F.col("value") - F.col("_prev"))
     span = F.max("value") - F.min("value")
-    return d.groupBy(*SERIES).agg(
+    med = exact_quantiles(d, SERIES, step, {"median_change": 0.5}).drop("_n")
+    g = d.groupBy(*SERIES).agg(
         F.avg(step).alias("mean_change"),
-        F.percentile(step, F.lit(0.5)).alias("median_change"),
         ratio(F.avg(step), span).alias("scaled_change"),
         F.stddev_samp(F.col(scaled) - F.col("_zprev")).alias("sd_scaled_change"),
         span.alias("range"),
     )
+    return g.join(med, list(SERIES), "left")
 
 
 def _pair_sums(panel: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -285,8 +287,7 @@ def distribution_summary(panel: DataFrame, cap: int = 3000, seed: int = 42) -> D
     h = hash_order(seed, F.col("site"), F.col("variable"), F.col("pos"))
     d = panel.where("value is not null").select(*SERIES, "pos", "value", h.alias("_h"))
     d = lowest_per_group(d, SERIES, ["_h", "pos"], cap)
-    q = lambda p, a: F.percentile("value", F.lit(p)).alias(a)
-    return d.groupBy("variable").agg(q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.count("value").alias("n"))
+    return exact_quantiles(d, ["variable"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("_n", "n")
 
 
 def role_missing_means(panel: DataFrame, roles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import r6, ratio
+from gapweave.functions.ranks import exact_quantiles
 from gapweave.operators.masking import hidden_cells, interval_join
 from gapweave.operators.quality import abs_changes
 from gapweave.operators.shape import clip_to_bounds
@@ -210,13 +211,12 @@ def prediction_bounds(cells: DataFrame, bounds: Mapping[str, tuple[float, float]
         F.count_if(p < F.col("_lo") - 10).alias("below_by_10"),
         (F.count_if(F.col("_b") | F.col("_a")) / F.count(F.lit(1))).alias("pooled_fraction"),
         F.coalesce(F.avg("_x"), F.lit(0.0)).alias("mean_excess"),
-        F.coalesce(F.percentile("_x", F.lit(0.5)), F.lit(0.0)).alias("median_excess"),
-        F.coalesce(F.percentile("_x", F.lit(0.95)), F.lit(0.0)).alias("p95_excess"),
         F.coalesce(F.max("_x"), F.lit(0.0)).alias("max_excess"),
     )
     site = d.groupBy("model", "variable", "site").agg((F.count_if(F.col("_b") | F.col("_a")) / F.count(F.lit(1))).alias("_r"))
     rate = site.groupBy("model", "variable").agg(F.avg("_r").alias("site_equal_fraction"))
-    return g.join(rate, ["model", "variable"])
+    size = exact_quantiles(d, ["model", "variable"], F.col("_x"), {"median_excess": 0.5, "p95_excess": 0.95}).drop("_n")
+    return g.join(rate, ["model", "variable"]).join(size, ["model", "variable"], "left").fillna(0.0, ["median_excess", "p95_excess"])
 
 
 def clipping_scores(cells: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import hash_order, hash_unit, ratio
+from gapweave.functions.ranks import exact_quantiles
 from gapweave.operators.masking import _global_rank
 from gapweave.operators.series import SERIES
 
@@ -32,10 +33,10 @@ def scan_residuals(panel: DataFrame, imputer: PanelImputer, block: int = 6, targ
 
 def mad_zscore(res: DataFrame, keys: Sequence[str] = SERIES, col: str = "residual") -> DataFrame:
     """|r - median| / (1.4826 MAD); NULL with fewer than five values or a vanishing MAD."""
-    med = res.groupBy(*keys).agg(F.percentile(col, F.lit(0.5)).alias("_med"), F.count(col).alias("_n"))
-    d = res.join(med, list(keys))
-    mad = d.groupBy(*keys).agg((F.percentile(F.abs(F.col(col) - F.col("_med")), F.lit(0.5)) * 1.4826).alias("_mad"))
-    d = d.join(mad, list(keys))
+    med = exact_quantiles(res, keys, F.col(col), {"_med": 0.5})
+    d = res.join(med, list(keys), "left")
+    mad = exact_quantiles(d, keys, F.abs(F.col(col) - F.col("_med")), {"_m": 0.5})
+    d = d.join(mad.select(*keys, (F.col("_m") * 1.4826).alias("_mad")), list(keys), "left")
     ok = (F.col("_n") >= 5) & (F.col("_mad") >= 1e-9)
     return d.withColumn("z", F.when(ok, F.try_divide(F.abs(F.col(col) - F.col("_med")), F.col("_mad")))).drop("_med", "_n", "_mad")
 

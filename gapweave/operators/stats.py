@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import hash_order, pearson, ratio
+from gapweave.functions.ranks import running_counts
 
 
 def site_scores(d: DataFrame, metric: str = "NMAE", extra: Sequence[str] = (), site: str = "site", model: str = "model") -> DataFrame:
@@ -50,13 +51,12 @@ def summarize_sites(s: DataFrame, metric: str = "NMAE", extra: Sequence[str] = (
 def _signed_rank(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wilcoxon sums on (keys, diff): zero differences dropped, average ranks for ties.
 
-    Ranks come from counts of distinct absolute differences, so the data itself is never ordered
-    in one task; only its distinct values are, in blocks.
+    Ranks come from running counts of the distinct absolute differences, taken slice by slice, so no
+    group is ordered in one task.
     """
     nz = d.where("diff <> 0").select(*keys, F.round(F.abs("diff"), 12).alias("a"), F.signum("diff").alias("sg"))
     t = nz.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("sg") > 0).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("avg_rank", F.sum("c").over(w) - (F.col("c") - 1) / 2.0)
+    t = running_counts(t, keys, "a", "c").withColumn("avg_rank", F.col("upto") - (F.col("c") - 1) / 2.0)
     c = F.col("c").cast("double")
     return t.groupBy(*keys).agg(
         F.sum("c").alias("n"),

@@ -125,7 +125,7 @@ def _cells(s: Stages, use_refs: bool = True, use_calendar: bool = True) -> DataF
     if use_refs:
         series = references.reference_series(s.references, s.scaled, "z")
         vals = forecast.case_reference_values(s.references, series, s.spans, st.CONTEXT)
-    return forecast.covariate_cells(s.spans, s.filled, st.CONTEXT, "zf", st.VARIABLES, vals, use_calendar)
+    return forecast.covariate_cells(s.spans, s.filled, st.CONTEXT, "zf", vals, use_calendar)
 
 
 RIDGE = forecast.ridge_forecaster(1.0)

@@ -131,10 +131,11 @@ class Stages:
 
     def warm(self) -> None:
         """Build the inputs of the imputers side by side."""
-        self.scaled, self.manifest  # noqa: B018
+        self.panel6  # noqa: B018
         with ThreadPoolExecutor(max_workers=2) as pool:
-            for job in [pool.submit(lambda: self.filled), pool.submit(lambda: self.references)]:
+            for job in [pool.submit(lambda: self.manifest), pool.submit(lambda: self.filled)]:
                 job.result()
+        self.references  # noqa: B018
 
     @cached_property
     def cells(self) -> DataFrame:

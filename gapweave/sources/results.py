@@ -66,23 +66,21 @@ def patch_results(base: DataFrame, fix: DataFrame, key: str = "case_id") -> Data
 
 
 def write_split(roles: DataFrame, path: str, meta: dict[str, object]) -> None:
-    """One JSON row per role with its sites, and the run's settings beside them.
-
-    Site names are an id list of the site dimension (one name per site, never per record).
-    """
-    names = roles.groupBy("role").agg(F.array_sort(F.collect_list("site")).alias("sites"))
+    """One JSON line per site with its role and the run's settings; no list of sites is ever gathered."""
     fields = F.struct(*[F.lit(v).alias(k) for k, v in meta.items()])
-    names.withColumn("meta", fields).write.json(path)
+    roles.select("site", "role").withColumn("meta", fields).write.json(path)
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """site, role rows of a stored split; accepts {train: [...], test: [...]} or one row per role."""
+    """site, role rows of a stored split: one line per site, or one {train: [...], test: [...]} document."""
     raw = spark.read.option("multiLine", False).json(path)
     if "role" not in raw.columns:
         raw = spark.read.option("multiLine", True).json(path)
         pairs = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("sites")) for r in ("train", "test")])
         raw = raw.select(F.explode(pairs).alias("p")).select("p.*")
-    return raw.select(F.explode("sites").alias("site"), "role")
+    if "site" not in raw.columns:
+        raw = raw.select(F.explode("sites").alias("site"), "role")
+    return raw.select("site", "role")
 
 
 def normalise_name(c):

@@ -114,7 +114,7 @@ def numpy_pass(est, fixed, x_names, alpha=1.0):
 def test_refinement_reads_one_snapshot_per_pass(spark, site):
     _, filled, spans, x = site
     init = forecast.bidirectional_init(spans, filled, forecast.seasonal_mean(24), CTX, SIDE, "zf", whole_run=True).drop("start_pos", "end_pos")
-    cells = forecast.covariate_cells(spans, filled, CTX, "zf", VARS)
+    cells = forecast.covariate_cells(spans, filled, CTX, "zf")
     got = table(forecast.refine_sync(init, cells, VARS, forecast.ridge_forecaster(), 2, SIDE), "variable", "pos")
     est = np.column_stack([pd.Series(x[("s", v)]).interpolate() for v in VARS])
     est[A : B + 1] = table(init, "variable", "pos").y_hat.to_numpy().reshape(5, -1).T
@@ -129,7 +129,7 @@ def test_refinement_reads_one_snapshot_per_pass(spark, site):
 def test_convergence_stops_and_freezes_variables(spark, site):
     _, filled, spans, _ = site
     init = forecast.bidirectional_init(spans, filled, forecast.seasonal_mean(24), CTX, SIDE, "zf", False, whole_run=True).drop("start_pos", "end_pos")
-    cells = forecast.covariate_cells(spans, filled, CTX, "zf", VARS)
+    cells = forecast.covariate_cells(spans, filled, CTX, "zf")
     cur, log = forecast.refine_until_converged(init, impute.case_linear(spans), cells, VARS, forecast.ridge_forecaster(), SIDE, max_passes=3)
     rounds = log.orderBy("round").collect()
     assert 1 <= len(rounds) <= 3 and rounds[0].active_variables == 5
@@ -142,7 +142,7 @@ def test_run_at_position_zero_keeps_the_univariate_fill(spark):
     sp = impute.merged_spans(cases(spark, [(0, "s", ["a"], 0, 5), (1, "s", ["a"], 100, 105)]), p)
     filled = impute.impute_linear(p, "value", "zf")
     init = impute.case_linear(sp)
-    cells = forecast.covariate_cells(sp, filled, 60, "zf", ["a", "b"])
+    cells = forecast.covariate_cells(sp, filled, 60, "zf")
     d = forecast.impute_covariate_once(init, cells, sp, ["a", "b"], forecast.ridge_forecaster(), 48).join(init.withColumnRenamed("y_hat", "i"), ["case_id", "site", "variable", "pos"])
     diff = {r.case_id: r.m for r in d.groupBy("case_id").agg(F.max(F.abs(F.col("y_hat") - F.col("i"))).alias("m")).collect()}
     assert diff[0] == 0 and diff[1] > 1e-3
