@@ -32,7 +32,7 @@ def local_session(cores: str = "8", app: str = "gapweave") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local-mode session may fall back to a scratch folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
