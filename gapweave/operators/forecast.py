@@ -193,7 +193,7 @@ def natural_forecast(panel: DataFrame, fc: Forecaster, ctx: int, value: str = "v
 
     runs = find_gaps(panel, value, size).withColumnsRenamed({"start_pos": "run_start", "end_pos": "run_end"})
     keys = (*SERIES, "run_start")
-    d = context_arrays(runs, panel, ctx, value, size, (*keys, "run_end")).withColumn("run_start", F.col("run_start"))
+    d = context_arrays(runs, panel, ctx, value, size, (*keys, "run_end"))
     src = F.when(F.size("left") > 0, F.col("left")).when(F.size("right") > 0, F.col("right"))
     y = fc(src, _horizon())
     y = F.when(F.size("left") > 0, y).otherwise(F.reverse(y))

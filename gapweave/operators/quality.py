@@ -104,8 +104,8 @@ def raw_value_diagnostics(
     )
 
 
-def constant_run_flags(panel: DataFrame, min_len: int = 48, size: int = CHUNK) -> DataFrame:
-    """Per position: start of the equal-value run it belongs to, its length and the constant flag."""
+def constant_run_flags(panel: DataFrame, min_len: int = 48, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The panel with the start of each cell's equal-value run, and the runs of at least ``min_len``."""
     d = shift(panel, {"_prev": ("value", -1)}, size=size)
     begins = F.col("value").isNotNull() & ~F.coalesce(F.col("value") == F.col("_prev"), F.lit(False))
     d = carry(d, prev={"run_start": F.when(begins, F.col("pos"))}, size=size)

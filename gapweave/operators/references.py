@@ -6,7 +6,7 @@ over the whole series are computed once and the sums inside the interval are sub
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions.exprs import pearson
@@ -79,12 +79,9 @@ def select_references(
 ) -> DataFrame:
     """The ``k`` best references per case x variable, ordered by (|r|, name) descending."""
     d = reference_correlations(spans, panel, roles, value, min_coverage, min_pairs)
-    d = d.withColumn("_nr", -F.round("abs_r", 9))
-    # names sort descending: order on the negated rank is not possible for strings, so use desc()
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*CASE_VAR).orderBy(F.col("_nr"), F.col("ref").desc())
-    return d.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).drop("_nr")
+    # rounding keeps the order independent of the summation order; the name settles ties
+    w = Window.partitionBy(*CASE_VAR).orderBy(F.round("abs_r", 9).desc(), F.col("ref").desc())
+    return d.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def reference_series(chosen: DataFrame, panel: DataFrame, value: str = "value", size: int = CHUNK) -> DataFrame:
@@ -170,8 +167,6 @@ def reference_audit(spans: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def reference_concentration(chosen: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
     """Slots per reference with rank and share, overall ('all') and per variable; and the top-n share."""
-    from pyspark.sql import Window
-
     scopes = chosen.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("variable"))))
     c = scopes.groupBy("scope", "ref").agg(F.count(F.lit(1)).alias("slots"))
     total = Window.partitionBy("scope")

@@ -64,3 +64,17 @@ def test_lowest_per_group_is_exact_for_a_hot_group(spark):
     src = d.toPandas()
     for g in ("hot", "cold"):
         assert sorted(got[got.g == g].o) == sorted(src[src.g == g].o)[:5]
+
+
+def test_quantiles_are_exact_for_skewed_and_tied_groups(spark):
+    from gapweave.functions.ranks import exact_quantiles, running_counts
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": ["hot"] * 3000 + ["one"], "v": [*np.round(rng.exponential(10, 3000), 1), 4.5]})
+    d = spark.createDataFrame(pdf)
+    got = exact_quantiles(d, ["g"], F.col("v"), {"p05": 0.05, "p50": 0.5, "p99": 0.99}, slices=7).toPandas().set_index("g")
+    for name, p in (("p05", 0.05), ("p50", 0.5), ("p99", 0.99)):
+        assert got[name]["hot"] == pytest.approx(np.quantile(pdf.v[:3000], p)) and got[name]["one"] == 4.5
+    counts = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_counts(counts, ["g"], "v", "c", slices=7).where("g = 'hot'").toPandas()
+    assert all(r.upto == (pdf.v[:3000] <= r.v).sum() for r in upto.itertuples())
