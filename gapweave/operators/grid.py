@@ -91,12 +91,13 @@ def detect_freq(stamps: DataFrame) -> DataFrame:
     """
     bucket = F.expr(f"{_us()} div {HOUR}")
     d = stamps.select("site", "ts").distinct().withColumn("_b", bucket)
-    edges = d.groupBy("site", "_b").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    w = Window.partitionBy("site", "_b").orderBy("ts")
+    within = d.select("site", "_b", "ts", F.lead("ts").over(w).alias("next_ts"))
+    # the bucket edges come from the same shuffled rows, so the stamps are read once
+    edges = within.groupBy("site", "_b").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     nxt = Window.partitionBy("site").orderBy("_b")
     across = edges.select("site", F.col("last_ts").alias("ts"), F.lead("first_ts").over(nxt).alias("next_ts"))
-    w = Window.partitionBy("site", "_b").orderBy("ts")
-    within = d.select("site", "ts", F.lead("ts").over(w).alias("next_ts"))
-    gaps = within.unionByName(across).where("next_ts is not null")
+    gaps = within.drop("_b").unionByName(across).where("next_ts is not null")
     minutes = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts")) / 60e6
     med = exact_quantiles(gaps, ["site"], minutes, {"median_minutes": 0.5}).drop("_n")
     freq = (
@@ -105,7 +106,7 @@ def detect_freq(stamps: DataFrame) -> DataFrame:
         .when(F.col("median_minutes") <= 11, "10min")
         .otherwise("1H")
     )
-    sites = stamps.select("site").distinct()
+    sites = edges.select("site").distinct()
     return sites.join(med, "site", "left").select("site", "median_minutes", freq.alias("freq"))
 
 
