@@ -1,6 +1,8 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
+from gapweave.llm.mixing import OP1_SQL, op1_mix_sources
 from gapweave.llm.pieces import op9_sentencepiece
+from gapweave.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op9_sentencepiece,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op9_sentencepiece)}
+ORACLES = {"op1_mix_sources": OP1_SQL}
