@@ -2,7 +2,8 @@
 
 from gapweave.llm.mixing import OP1_SQL, op1_mix_sources
 from gapweave.llm.pieces import op9_sentencepiece
+from gapweave.llm.secrets import OP7_SQL, op7_secrets
 from gapweave.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op9_sentencepiece)}
-ORACLES = {"op1_mix_sources": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op7_secrets, op9_sentencepiece)}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op7_secrets": OP7_SQL}
