@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
+from gapweave.llm.caps import op4_near_vectors
 from gapweave.llm.mixing import OP1_SQL, op1_mix_sources
+from gapweave.llm.neighbours import op10_nearest
 from gapweave.llm.pieces import op9_sentencepiece
-from gapweave.llm.secrets import OP7_SQL, op7_secrets
+from gapweave.llm.secret_scan import OP7_SQL, op7_secrets
 from gapweave.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op7_secrets, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op4_near_vectors, op7_secrets, op9_sentencepiece, op10_nearest)}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op7_secrets": OP7_SQL}

@@ -22,13 +22,15 @@ def deal(rows: DataFrame, size: str, item: Sequence[str], chunk: int = CHUNK) ->
 
 
 def scan(rows: DataFrame, keys: Sequence[str], fn: Callable[[dict], Iterator[list]], schema: T.StructType) -> DataFrame:
-    """``fn`` over every group of ``keys``: rows are dealt by key, sorted, and streamed, so a task holds one group (a dict of numpy columns) at a time."""
+    """``fn`` over every group of ``keys``: rows are dealt by key, sorted, and streamed, so a task holds one group (a dict of numpy columns; lists of one length are matrices, others stay Arrow) at a time."""
     names = rows.columns
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
     out_names, out_types = schema.names, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def column(c: pa.Array) -> np.ndarray:
+            if pa.types.is_list(c.type) and (c.value_lengths().to_numpy() != len(c[0])).any():
+                return c
             if pa.types.is_list(c.type):
                 return np.asarray(c.flatten().to_numpy(zero_copy_only=False)).reshape(len(c), -1) if len(c) else np.zeros((0, 0))
             return c.to_numpy(zero_copy_only=False)
