@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
+from gapweave.llm.blocks import op8_main_text
 from gapweave.llm.caps import op4_near_vectors
 from gapweave.llm.language import op3_language
 from gapweave.llm.mixing import OP1_SQL, op1_mix_sources
@@ -10,5 +11,5 @@ from gapweave.llm.secret_scan import OP7_SQL, op7_secrets
 from gapweave.llm.simhash import op2_simhash
 from gapweave.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_language, op4_near_vectors, op5_quality, op6_toxicity, op7_secrets, op9_sentencepiece, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_language, op4_near_vectors, op5_quality, op6_toxicity, op7_secrets, op8_main_text, op9_sentencepiece, op10_nearest)}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op7_secrets": OP7_SQL}

@@ -63,13 +63,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every row; a NULL text has no words and fingerprint zero."""
-    src = docs.select("doc_id", "text")
-    schema = T.StructType([src.schema["doc_id"], T.StructField("fp", T.LongType())])
+    """``docs`` without its text and with ``fp``; a NULL text has no words and fingerprint zero."""
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "fp")], "text")
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())], names=schema.names)
+            fp = [fingerprint(t.as_py(), words) for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -116,21 +117,37 @@ def links(fps: DataFrame, bits: int = BITS, refs: list[int] | None = None, chunk
     return two.unionByName(tiles.scan(dealt, ["t", "key", "_a", "_b"], tile, schema))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row: components of fingerprints within ``bits`` bits, named by their smallest doc_id.
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
+    """Rows of ``docs`` without their text, with ``fp``, ``component_id`` and ``root``: components of fingerprints within ``bits`` bits.
 
-    A NULL or blank text has fingerprint zero and is linked like any other. Rows of equal id stay rows. A NULL doc_id never names a
-    component unless all ids in it are NULL, then component_id is NULL. An empty table gives an empty result.
+    A component is named by its smallest doc_id (``root``, one of its fingerprints, tells components apart where ids are missing). A
+    NULL or blank text has fingerprint zero and is linked like any other. Rows of equal id stay rows. A NULL doc_id never names a component
+    unless all ids in it are NULL, then component_id is NULL. An empty table gives an empty result.
     """
-    rows = materialize(fingerprints(docs, words), "simhash-fp")
+    rows = materialize(fingerprints(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("component_id", "root")]), words), "simhash-fp")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     comps = connected(links(fps, bits)).withColumnsRenamed({"node": "fp", "component": "root"})
     named = fps.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(materialize(named.join(lowest, "root").select("fp", "component_id"), "simhash-components"), "fp")
+    return rows.join(materialize(named.join(lowest, "root").select("fp", "root", "component_id"), "simhash-components"), "fp")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
+    """One row of each near-duplicate component: the smallest doc_id; among rows of that id the smallest digest of the row, once.
+
+    A component whose ids are all NULL keeps one row too. Columns stay as they are.
+    """
+    same = common.unique_name(docs, "_digest")
+    whole = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    rows = docs.withColumn(same, F.struct(F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b")))
+    found = near_duplicates(rows.select("doc_id", "text", same), words, bits)
+    # ids and digests only; a component is reduced before the shuffle however many rows it has
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(same)))
+    chosen = materialize(found.groupBy("root").agg(first.alias("first")).select(F.col(f"first.{same}").alias(same)), "simhash-kept")
+    return rows.join(chosen, same, "left_semi").dropDuplicates([same]).drop(same)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = near_duplicates(common.table(spark, sf_dir, "documents"))
+    found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
