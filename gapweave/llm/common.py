@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gapweave.plans.storage import materialize
+
 #: A word is a run without ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,3 +53,16 @@ def usable_vector(v: Column) -> Column:
     """True for a non-empty vector without NULL or non-finite components that is not all zero."""
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ok & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def first_of_each(rows: DataFrame, by: str, n: int, seed: int) -> DataFrame:
+    """A written sample of ``rows(doc_id, by)``: of each group the first ``n`` in hash order, with the hash as ``key``.
+
+    Only rows whose hash falls below four times the share that is wanted meet in the ordering, so a group of any size costs about
+    4 n rows there; a group of up to 4 n rows is ordered whole. The table is small and written, so joins can broadcast it by its known size.
+    """
+    rows = rows.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    sizes = materialize(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "sample-sizes")
+    near = rows.join(sizes, by).where(F.col("key") / 2.0**64 + 0.5 <= 4.0 * n / F.col("_n")).drop("_n")
+    order = Window.partitionBy(by).orderBy("key", "doc_id")
+    return materialize(near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r"), "sample")

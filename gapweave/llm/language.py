@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapweave.llm import common
 
 #: Labelled documents of a language that training reads at most, spans cut from each, buckets, n-gram lengths, vector size.
-SAMPLE, SPANS, BITS, GRAMS, WIDTH = 800, 3, 15, (2, 3, 4), 16
+SAMPLE, SPANS, BITS, GRAMS, WIDTH = 500, 3, 15, (2, 3, 4), 16
 #: Letters read at a time, and accuracy that accepted texts shall reach.
 PIECE, ACCURACY = 1 << 18, 0.99
 UNKNOWN = "und"
@@ -125,7 +125,7 @@ def train_rows(rows: pd.DataFrame, epochs: int = 6, rate: float = 0.5, seed: int
         return LanguageModel(langs, np.zeros((1 << BITS, max(len(langs), 1)), np.float32), np.zeros(max(len(langs), 1)), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    bucket, weight = rows["bucket"].to_list(), [np.asarray(c) / np.sum(c) for c in rows["count"]]
+    bucket, weight = rows["bucket"].to_list(), [(c / np.sum(c)).astype(np.float32) for c in rows["count"]]
     held = (rows["doc"].to_numpy() % 5) == 0
     if held.all() or not held.any():
         held = np.zeros(len(rows), bool)
@@ -135,7 +135,7 @@ def train_rows(rows: pd.DataFrame, epochs: int = 6, rate: float = 0.5, seed: int
     for k in range(epochs):
         lr = rate * (1 - k / epochs)
         for i in rng.permutation(train):
-            b, c = bucket[i], weight[i].astype(np.float32)
+            b, c = bucket[i], weight[i]
             x = c @ e[b]
             d = _softmax(x @ w + bias)
             d[y[i]] -= 1
@@ -159,12 +159,9 @@ def train_rows(rows: pd.DataFrame, epochs: int = 6, rate: float = 0.5, seed: int
 
 def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> LanguageModel:
     """Model from the rows of ``docs(doc_id, text, lang)`` where ``learnable`` holds: the first ``sample`` of each language in hash order."""
-    key = F.xxhash64("doc_id", F.lit(17))
-    first = Window.partitionBy("lang").orderBy("key", "doc_id")
-    slim = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", key.alias("key"))
-    chosen = slim.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("doc_id", "key").distinct()
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(chosen, "doc_id").select("text", "lang", "key")
-    return train_rows(_features(rows, SPANS).toPandas().sort_values(["doc", "lang"], kind="stable"))
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = common.first_of_each(known.select("doc_id", "lang"), "lang", sample, 17).select("doc_id", "key").distinct()
+    return train_rows(_features(known.join(chosen, "doc_id").select("text", "lang", "key"), SPANS).toPandas().sort_values(["doc", "lang"], kind="stable"))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

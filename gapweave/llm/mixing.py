@@ -22,25 +22,39 @@ from gapweave.plans.storage import materialize
 BUCKETS, SHARD_DOCS, SEED, MOST = 4096, 1024, "mix", 3
 
 
+def _level(amount: Column, group: Sequence[str], party: Sequence[str], weight: str, cap: str) -> Column:
+    """Level at which the sum of least(cap, level x weight) over a group is ``amount``; NULL if the caps do not hold so much.
+
+    Parties fill in order of cap / weight; the first whose share of what is left fits below its cap sets the level.
+    """
+    ratio = F.col(cap) / F.col(weight)
+    order = Window.partitionBy(*group).orderBy(ratio, *party)
+    before = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = (amount - before) / F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return F.when(ratio >= own, F.struct(F.row_number().over(order).alias("at"), own.alias("level")))
+
+
+def _with_level(df: DataFrame, name: str, amount: Column, group: Sequence[str], party: Sequence[str], weight: str, cap: str) -> DataFrame:
+    df = df.withColumn(name, _level(amount, group, party, weight, cap))
+    return df.withColumn(name, F.min(name).over(Window.partitionBy(*group))["level"])
+
+
 def highest_quotients(parties: DataFrame, group: Sequence[str], party: Sequence[str], weight: str, cap: str, seats: str) -> DataFrame:
     """Sainte-Laguë seats of each party: the ``seats`` of its group go to the highest weight / (2s + 1), s < cap; ties to the first party.
 
-    A divisor for n/2 + 1 seats fewer and one for as many more bound every party's seats from both sides; only the quotients
-    between them are ranked. Adds ``won``. Parties without weight or cap win nothing.
+    The levels at which n/2 + 1 seats fewer and as many more would be shared out exactly bound every party's seats from both sides;
+    only the quotients between them are ranked. Adds ``won``. Parties without weight or cap win nothing.
     """
     w = Window.partitionBy(*group)
-    live = parties.where((F.col(weight) > 0) & (F.col(cap) > 0))
-    n, total = F.count(F.lit(1)).over(w), F.sum(weight).over(w)
-    live = live.withColumns({"_n": n / 2 + 1, "_w": total})
-    at = lambda s: F.floor(F.col(weight) * s / F.col("_w") + 0.5)
-    few = F.greatest(F.col(seats) - F.col("_n"), F.lit(0.0))
-    live = live.withColumn("_lo", F.when(few > 0, F.least(F.col(cap), at(few))).otherwise(0).cast("long"))
-    live = live.withColumn("_hi", F.greatest(F.least(F.col(cap), at(F.col(seats) + F.col("_n"))), F.col("_lo")).cast("long"))
-    live = live.withColumn("_left", F.col(seats) - F.sum("_lo").over(w))
+    live = parties.where((F.col(weight) > 0) & (F.col(cap) > 0)).withColumn("_n", F.count(F.lit(1)).over(w) / 2 + 1)
+    live = _with_level(live, "_few", F.col(seats) - F.col("_n"), group, party, weight, cap)
+    live = _with_level(live, "_many", F.col(seats) + F.col("_n"), group, party, weight, cap)
+    at = lambda level: F.coalesce(F.least(F.col(cap), F.greatest(F.floor(F.col(level) * F.col(weight) + 0.5), F.lit(0))), F.col(cap)).cast("long")
+    live = live.withColumns({"_lo": at("_few"), "_hi": at("_many")}).withColumn("_left", F.col(seats) - F.sum("_lo").over(w))
     band = live.where("_hi > _lo").withColumn("_s", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
     order = Window.partitionBy(*group).orderBy(F.desc(F.col(weight) / (2 * F.col("_s") + 1)), *party, "_s")
-    more = band.withColumn("_r", F.row_number().over(order)).where("_r <= _left").groupBy(*group, *party).agg(F.count(F.lit(1)).alias("_more"))
     keys = [*group, *party]
+    more = band.withColumn("_r", F.row_number().over(order)).where("_r <= _left").groupBy(*keys).agg(F.count(F.lit(1)).alias("_more"))
     won = live.select(*keys, "_lo").join(more, keys, "left").select(*keys, (F.col("_lo") + F.coalesce("_more", F.lit(0))).cast("long").alias("won"))
     return parties.join(won, keys, "left").withColumn("won", F.coalesce("won", F.lit(0).cast("long")))
 
@@ -48,20 +62,14 @@ def highest_quotients(parties: DataFrame, group: Sequence[str], party: Sequence[
 def source_targets(sources: DataFrame, weights: Sequence[int], most: int = MOST) -> DataFrame:
     """Adds ``target``: weights repeat over sources by code point (NULL last) and share all words; none passes ``most`` x its size.
 
-    Sources fill in order of limit / weight; the first whose share of what is left fits below its limit sets the level for the rest.
     One row per source, so the windows here run over sources, never over documents.
     """
-    one = Window.partitionBy(F.lit(0))
-    pos = F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1
-    df = sources.withColumn("_pos", pos)
+    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
+    df = sources.withColumn("_pos", pos).withColumn("_all", F.lit(0)).withColumn("_cap", most * F.col("source_size"))
     df = df.withColumn("_weight", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), F.pmod("_pos", F.lit(len(weights))) + 1))
-    df = df.withColumns({"_cap": most * F.col("source_size"), "_ratio": most * F.col("source_size") / F.col("_weight")})
-    order = one.orderBy("_ratio", "_pos")
-    before = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("_weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("_level", (F.sum("source_size").over(one) - before) / onward).withColumn("_at", F.row_number().over(order))
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_at", "_level"))).over(one)["_level"]
-    return df.withColumn("target", F.least(F.col("_cap").cast("double"), level * F.col("_weight"))).drop("_ratio", "_level", "_at")
+    df = df.withColumn("_sum", F.sum("source_size").over(Window.partitionBy("_all")))
+    df = _with_level(df, "_level", F.col("_sum"), ["_all"], ["_pos"], "_weight", "_cap")
+    return df.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_weight"))).drop("_level", "_sum", "_all")
 
 
 def _hash_order(doc_id: Column, seed: str) -> Column:

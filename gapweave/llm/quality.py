@@ -90,8 +90,7 @@ def _feature_rows(docs: DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the log likelihood ratio, from the first ``sample`` labelled documents of each class in hash order."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("y"))
-    first = Window.partitionBy("y").orderBy("key", "doc_id")
-    chosen = known.withColumn("key", F.xxhash64("doc_id", F.lit(31))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).drop("r")
+    chosen = common.first_of_each(known, "y", sample, 31)
     rows = _feature_rows(docs.join(chosen, "doc_id").select("text", "y", "key"))
     x = np.array(rows["x"].to_list(), dtype=np.float64).reshape(-1, N_FEATURES)
     return fit(x, rows["y"].to_numpy(dtype=np.float64))
