@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gapweave.llm import common
 
 #: Pages that training reads at most, blocks of a training page at most, re-arranged copies of each, sizes of the vectors and of the hidden state.
-SAMPLE, TRAIN_BLOCKS, COPIES, PATH_DIM, WORD_DIM, HIDDEN = 120, 80, 4, 96, 16, 16
+SAMPLE, TRAIN_BLOCKS, COPIES, PATH_DIM, WORD_DIM, HIDDEN = 100, 80, 8, 192, 16, 16
 #: Cells (pages x blocks) that the network reads at a time.
 CELLS = 65_536
 
@@ -248,7 +248,13 @@ def rearranged(blocks: list[tuple[str, str, float]], strangers: list[str], rng:
         deep = (outer + ">" + holder.strip(">")).rstrip(">") if rng.random() < 0.25 else outer
         return [(f"{deep}>{tag}{inside}", take(), link, False) for _ in range(int(rng.integers(1, 6)))]
 
-    body = [((outer + ">" + holder).rstrip(">") + ">" + tag, t, 0.0, True) for tag, t in main]
+    kinds = ["p", "h", "ul>li", "ul>li", "ul>li", "ol>li", "ol>li", "blockquote>p", "pre", "table>tr>td", "div", "div>p", "dl>dd", "figure>figcaption", "section>p"]
+    body = []
+    for tag, t in main:
+        if rng.random() < 0.5:
+            tag = str(rng.choice(kinds)) if rng.random() < 0.8 else "h" + str(rng.integers(1, 5))
+            t = t[: int(rng.integers(3, 80))].strip() or t if rng.random() < 0.4 else t
+        body.append(((outer + ">" + holder).rstrip(">") + ">" + tag, t, float(rng.random() < 0.05), True))
     cut = int(rng.integers(0, len(body) + 1))
     inner = other() if rng.random() < 0.4 else []
     before = [b for _ in range(int(rng.integers(0, 4))) for b in other()]
@@ -256,7 +262,7 @@ def rearranged(blocks: list[tuple[str, str, float]], strangers: list[str], rng:
     return before + body[:cut] + inner + body[cut:] + after
 
 
-def train_pages(pages: list[str], epochs: int = 10, rate: float = 0.02, seed: int = 6) -> BiLstm:
+def train_pages(pages: list[str], epochs: int = 16, rate: float = 0.01, seed: int = 6) -> BiLstm:
     rng, feats = np.random.default_rng(seed), Features()
     model = BiLstm(PATH_DIM + WORD_DIM + 3)
     cut = [b[:TRAIN_BLOCKS] for p in pages if (b := leaf_blocks(p))]

@@ -37,13 +37,21 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return best, np.take_along_axis(scores, best, axis=1)
 
 
+def cap_share(dim: int, angle: float = 0.4) -> float:
+    """Share of the sphere within ``angle`` of a direction (a little more than the angle of vectors at cosine 0.95)."""
+    at = np.linspace(0, np.pi, 20_001)
+    ring = np.sin(at) ** max(dim - 2, 0)
+    return max(float(ring[at <= angle].sum() / ring.sum()), 1e-300)
+
+
 class ProductCode:
     """Codes for vectors of ``dim`` components in a table of ``n``; everything follows from the arguments."""
 
     def __init__(self, dim: int, n: int, rotations: int = ROTATIONS, listed: int = LIST, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
         self.blocks, self.listed = 4 if dim >= 16 else 2 if dim >= 4 else 1, listed
-        self.size = ceil(max(SPARE * n, 4096) ** (1 / self.blocks)) if self.blocks > 1 else 64
+        most = max(64.0, listed / cap_share(dim))  # finer than that, the directions listed would lie closer than the vectors to be linked
+        self.size = ceil(min(max(SPARE * n, 4096), most) ** (1 / self.blocks))
         self.cuts = np.array_split(np.arange(dim), self.blocks)
         self.codes = []
         for _ in range(rotations):

@@ -49,6 +49,15 @@ def stack_vectors(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(col), -1)
 
 
+def list_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its flat values: no copy for each."""
+    out: list[np.ndarray] = []
+    for c in column.chunks:
+        flat, at = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def usable_vector(v: Column) -> Column:
     """True for a non-empty vector without NULL or non-finite components that is not all zero."""
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))

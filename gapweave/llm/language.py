@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +104,8 @@ class LanguageModel:
 
     def scores(self, text: str | None, letters: Letters) -> tuple[int, float]:
         """Index of the likeliest language and its probability; -1 for a text without letters."""
+        if not self.langs:
+            return -1, 0.0
         total, n = np.zeros(len(self.langs)), 0
         for p in pieces(text or ""):
             b = buckets(letters.of(p))
@@ -112,30 +113,32 @@ class LanguageModel:
             n += len(b)
         if not n:
             any_letter = any((letters.of(p) > 0).any() for p in pieces(text or ""))
-            if not any_letter or not self.langs:
+            if not any_letter:
                 return -1, 0.0
         p = _softmax((total / max(n, 1) + self.bias) / self.temperature)
         return int(p.argmax()), float(p.max())
 
 
-def train_rows(rows: pd.DataFrame, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> LanguageModel:
+def train_rows(rows: pa.Table, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> LanguageModel:
     """Stochastic gradient descent over feature rows, one text at a time; a fifth of the documents calibrates."""
-    langs = sorted(rows["lang"].unique())
+    tags, docs = np.array(rows["lang"].to_pylist(), dtype=object), rows["doc"].to_numpy()
+    langs = sorted(set(tags))
     if len(langs) < 2:
         return LanguageModel(langs, np.zeros((1 << BITS, max(len(langs), 1)), np.float32), np.zeros(max(len(langs), 1)), 1.0, 0.0)
+    bucket, weight = common.list_views(rows["bucket"]), common.list_views(rows["count"])
+    order = sorted(range(len(docs)), key=lambda i: (docs[i], tags[i], len(bucket[i]), bucket[i].tobytes()))  # the same whatever task came first
+    y = np.array([langs.index(t) for t in tags])
     rng = np.random.default_rng(seed)
-    y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    bucket, weight = rows["bucket"].to_list(), [(c / np.sum(c)).astype(np.float32) for c in rows["count"]]
-    held = (rows["doc"].to_numpy() % 5) == 0
+    held = docs % 5 == 0
     if held.all() or not held.any():
-        held = np.zeros(len(rows), bool)
+        held = np.zeros(len(docs), bool)
     e = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (WIDTH, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    train = np.flatnonzero(~held)
+    train = np.array([i for i in order if not held[i]])
     for k in range(epochs):
         lr = rate * (1 - k / epochs)
         for i in rng.permutation(train):
-            b, c = bucket[i], weight[i]
+            b, c = bucket[i], weight[i] / weight[i].sum()
             x = c @ e[b]
             d = _softmax(x @ w + bias)
             d[y[i]] -= 1
@@ -144,16 +147,16 @@ def train_rows(rows: pd.DataFrame, epochs: int = 6, rate: float = 0.5, seed: int
             bias -= 0.1 * lr * d
             e[b] -= (lr * min(len(b), 50)) * np.outer(c, g)
     logits = e @ w
-    check = np.flatnonzero(held) if held.any() else train
-    z = np.array([weight[i] @ logits[bucket[i]] + bias for i in check])
+    check = np.array([i for i in order if held[i]]) if held.any() else train
+    z = np.array([weight[i] / weight[i].sum() @ logits[bucket[i]] + bias for i in check])
     own = y[check]
     grid = np.geomspace(0.1, 10, 41)
     temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean()))
     p = _softmax(z / temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == own
-    order = np.argsort(-top)
-    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= ACCURACY
-    level = float(top[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
+    best = np.argsort(-top, kind="stable")
+    good = np.cumsum(right[best]) / np.arange(1, len(best) + 1) >= ACCURACY
+    level = float(top[best][np.flatnonzero(good)[-1]]) if good.any() else 1.0
     return LanguageModel(langs, logits, bias, temperature, level)
 
 
@@ -161,7 +164,7 @@ def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> LanguageM
     """Model from the rows of ``docs(doc_id, text, lang)`` where ``learnable`` holds: the first ``sample`` of each language in hash order."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = common.first_of_each(known.select("doc_id", "lang"), "lang", sample, 17).select("doc_id", "key").distinct()
-    return train_rows(_features(known.join(chosen, "doc_id").select("text", "lang", "key"), SPANS).toPandas().sort_values(["doc", "lang"], kind="stable"))
+    return train_rows(_features(known.join(chosen, "doc_id").select("text", "lang", "key"), SPANS).toArrow())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

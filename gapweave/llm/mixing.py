@@ -49,7 +49,8 @@ def highest_quotients(parties: DataFrame, group: Sequence[str], party: Sequence[
     live = parties.where((F.col(weight) > 0) & (F.col(cap) > 0)).withColumn("_n", F.count(F.lit(1)).over(w) / 2 + 1)
     live = _with_level(live, "_few", F.col(seats) - F.col("_n"), group, party, weight, cap)
     live = _with_level(live, "_many", F.col(seats) + F.col("_n"), group, party, weight, cap)
-    at = lambda level: F.coalesce(F.least(F.col(cap), F.greatest(F.floor(F.col(level) * F.col(weight) + 0.5), F.lit(0))), F.col(cap)).cast("long")
+    rounded = lambda level: F.greatest(F.least(F.col(cap), F.floor(F.col(level) * F.col(weight) + 0.5)), F.lit(0))
+    at = lambda level: F.when(F.col(level).isNull(), F.col(cap)).otherwise(rounded(level)).cast("long")
     live = live.withColumns({"_lo": at("_few"), "_hi": at("_many")}).withColumn("_left", F.col(seats) - F.sum("_lo").over(w))
     band = live.where("_hi > _lo").withColumn("_s", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
     order = Window.partitionBy(*group).orderBy(F.desc(F.col(weight) / (2 * F.col("_s") + 1)), *party, "_s")

@@ -116,9 +116,9 @@ def _search(k: int, quantile: float):
         p, qs = np.flatnonzero(~ask), np.flatnonzero(ask)
         if not len(p) or not len(qs):
             return
-        y, x, rid, vid = g["y"][p], np.asarray(g["v"][p], dtype=np.float64), g["rid"][p], g["vec_id"][p]
+        y, x, rid, vid, none = g["y"][p], np.asarray(g["v"][p], dtype=np.float64), g["rid"][p], g["vec_id"][p], g["none"][p]
         tree = KdTree(y, LEAF)
-        found: list[list] = [[], [], [], []]
+        found: list[list] = [[], [], [], [], []]
         for q in qs:
             box, qx, me = tree.distances(g["y"][q]).tolist(), np.asarray(g["v"][q], dtype=np.float64), g["rid"][q]
             limit = g["bound"][q]
@@ -148,14 +148,15 @@ def _search(k: int, quantile: float):
             found[0].append(np.full(n, me))
             found[1].append(rid[best])
             found[2].append(vid[best])
-            found[3].append(near)
+            found[3].append(none[best])
+            found[4].append(near)
         yield [np.concatenate(c) for c in found]
 
     return group
 
 
 def nearest(rows: DataFrame, is_query, k: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for every row of ``rows(vec_id, embedding)`` where ``is_query`` holds, its k nearest other rows.
+    """``(query_id, rank, vec_id, score)``: for every row of ``rows(vec_id, embedding)`` with an id where ``is_query`` (on vec_id) holds, its k nearest other rows.
 
     Euclidean distance in double precision on the original vectors, ties to the smaller vec_id (NULL last). Vectors that are NULL,
     empty, zero or hold NULL or non-finite components take no part; only vectors of one length are compared. Rows of equal id stay rows, and
@@ -163,6 +164,7 @@ def nearest(rows: DataFrame, is_query, k: int = 10, confidence: float = CONFIDEN
     """
     quantile = chi_square_quantile(confidence, DIMS)
     rows = rows.where(common.usable_vector(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.withColumns({"none": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(2**63 - 1))})  # NULL ids come last among ties
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "ann-rows")
     n = rows.count()
     # the sample only fits the cells' planes: at most SAMPLE rows reach the driver, every row is indexed
@@ -178,9 +180,9 @@ def nearest(rows: DataFrame, is_query, k: int = 10, confidence: float = CONFIDEN
     boxes = indexed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.array(*box).alias("box")).toPandas()
     chunks = {(int(r.dim), int(r.cell)): max(1, math.ceil(r.n / CHUNK)) for r in boxes.itertuples()}
     per_dim = {d: (p["cell"].to_numpy(), np.array(p["box"].tolist()).reshape(-1, DIMS, 2)) for d, p in boxes.groupby("dim")} if len(boxes) else {}
-    queries = indexed.where(is_query)
+    queries = indexed.where(is_query & ~F.col("none"))
     schema_asks = T.StructType([*indexed.schema.fields, T.StructField("bound", T.DoubleType()), T.StructField("chunk", T.IntegerType())])
-    schema_found = T.StructType([T.StructField("asker", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("d", T.DoubleType())])
+    schema_found = T.StructType([T.StructField("asker", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("none", T.BooleanType()), T.StructField("d", T.DoubleType())])
 
     def to_cells(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,18 +218,18 @@ def nearest(rows: DataFrame, is_query, k: int = 10, confidence: float = CONFIDEN
         blocks = routed.groupBy("dim", "cell", "chunk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         own = routed.join(blocks, ["dim", "cell", "chunk"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(True))
         there = points.join(blocks, ["dim", "cell", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
-        cols = [*keys, "asks", "rid", "vec_id", "v", "y", "bound"]
+        cols = [*keys, "asks", "rid", "vec_id", "none", "v", "y", "bound"]
         both = own.select(*cols).unionByName(there.select(*cols))
         return tiles.scan(both, keys, _search(k, quantile), schema_found)
 
-    order = Window.partitionBy("asker").orderBy("d", F.col("vec_id").asc_nulls_last(), "rid")
+    order = Window.partitionBy("asker").orderBy("d", "vec_id", "rid")
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     first = materialize(top(search(queries.withColumn("bound", F.lit(math.inf)), True)), "ann-first")
     bound = first.groupBy("asker").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("far"))
     again = queries.join(bound, queries["rid"] == bound["asker"], "left").drop("asker").withColumn("bound", F.coalesce("far", F.lit(math.inf))).drop("far")
     found = top(first.drop("rank").unionByName(search(again, False)))
     names = queries.select(F.col("rid").alias("asker"), F.col("vec_id").alias("query_id"))
-    return found.join(names, "asker").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d").alias("score"))
+    return found.join(names, "asker").select("query_id", F.col("rank").cast("int").alias("rank"), F.when(~F.col("none"), F.col("vec_id")).alias("vec_id"), F.sqrt("d").alias("score"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,13 +77,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> np
     return raw
 
 
-def _feature_rows(docs: DataFrame) -> pd.DataFrame:
+def _feature_rows(docs: DataFrame) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "key", "x"])
 
-    return docs.mapInArrow(run, "y int, key long, x array<double>").toPandas().sort_values(["key", "y"], kind="stable")
+    return docs.mapInArrow(run, "y int, key long, x array<double>").toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -92,8 +91,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("y"))
     chosen = common.first_of_each(known, "y", sample, 31)
     rows = _feature_rows(docs.join(chosen, "doc_id").select("text", "y", "key"))
-    x = np.array(rows["x"].to_list(), dtype=np.float64).reshape(-1, N_FEATURES)
-    return fit(x, rows["y"].to_numpy(dtype=np.float64))
+    order = np.lexsort((rows["y"].to_numpy(), rows["key"].to_numpy()))  # the same whatever task came first
+    x = np.array(common.list_views(rows["x"]), dtype=np.float64).reshape(-1, N_FEATURES)
+    return fit(x[order], rows["y"].to_numpy().astype(np.float64)[order])
 
 
 def with_evidence(docs: DataFrame, weights: np.ndarray, name: str) -> DataFrame:
