@@ -201,7 +201,7 @@ def natural_forecast(panel: DataFrame, fc: Forecaster, ctx: int, value: str = "v
 
 
 def repredict_hidden_only(
-    spans: DataFrame, panel: DataFrame, base: DataFrame, fc: Forecaster, ctx: int, margin: int = 4, value: str = "value", size: int = CHUNK
+    spans: DataFrame, panel: DataFrame, base: DataFrame, fc: Forecaster, ctx: int, margin: int, value: str = "value", size: int = CHUNK
 ) -> DataFrame:
     """Merged runs are forecast afresh; every other cell around the case reuses the base fill."""
     fresh = impute_forecast(spans, panel, fc, ctx, value=value, whole_run=True, size=size)
@@ -222,6 +222,12 @@ def _weights(h: Column) -> Column:
     return F.transform(_steps(h), lambda i: F.when(h > 1, F.lit(1.0) - F.try_divide(i.cast("double"), (h - 1).cast("double"))).otherwise(F.lit(0.5)))
 
 
+def fuse_cell(fwd: Column, bwd: Column, i: Column, n: Column) -> Column:
+    """``fuse`` for one cell: the ``i``-th of a run of ``n``."""
+    w = F.when(n > 1, F.lit(1.0) - F.try_divide(i.cast("double"), (n - 1).cast("double"))).otherwise(F.lit(0.5))
+    return F.coalesce(w * fwd + (1 - w) * bwd, fwd, bwd)
+
+
 def fuse(fwd: Column, bwd: Column, h: Column) -> Column:
     both = F.transform(F.arrays_zip(_weights(h).alias("w"), fwd.alias("f"), bwd.alias("b")), lambda s: s["w"] * s["f"] + (1 - s["w"]) * s["b"])
     return F.when(fwd.isNull(), bwd).when(bwd.isNull(), fwd).otherwise(both)
@@ -229,12 +235,12 @@ def fuse(fwd: Column, bwd: Column, h: Column) -> Column:
 
 def bidirectional_init(
     spans: DataFrame, panel: DataFrame, fc: Forecaster, ctx: int, min_side: int = 48, value: str = "value", bidirectional: bool = True,
-    max_horizon: int = 1024, whole_run: bool = False, size: int = CHUNK,
+    max_horizon: int | None = None, whole_run: bool = False, size: int = CHUNK,
 ) -> DataFrame:
     """Forward and time-reversed forecasts, each from a long enough side, fused by position.
 
-    If neither side is long enough, whichever is not empty is used (left first). Runs beyond the
-    horizon give no rows, so the caller's linear fill takes over.
+    If neither side is long enough, whichever is not empty is used (left first). ``max_horizon`` is for a forecaster
+    that cannot go further: longer runs then give no rows and are left to the caller's fill.
     """
     d = context_arrays(spans, panel, ctx, value, size)
     h = _horizon()
@@ -243,7 +249,9 @@ def bidirectional_init(
     use_l = left_ok | (none & (F.size("left") > 0))
     use_r = right_ok | (none & (F.size("left") == 0) & (F.size("right") > 0))
     d = d.withColumns({"_fw": F.when(use_l, fc(F.col("left"), h)), "_bw": F.when(use_r, F.reverse(fc(F.col("right"), h)))})
-    y = F.when(h <= max_horizon, fuse(F.col("_fw"), F.col("_bw"), h))
+    y = fuse(F.col("_fw"), F.col("_bw"), h)
+    if max_horizon is not None:
+        y = F.when(h <= max_horizon, y)
     e = _emit(d, y)
     return e if whole_run else _hidden_only(e)
 
@@ -266,11 +274,11 @@ def ridge_forecaster(alpha: float = 1.0) -> CovForecaster:
 
 
 def covariate_cells(
-    spans: DataFrame, panel: DataFrame, ctx: int, value: str, refs: DataFrame | None = None, use_calendar: bool = True, max_horizon: int = 1024,
+    spans: DataFrame, panel: DataFrame, ctx: int, value: str, refs: DataFrame | None = None, use_calendar: bool = True, max_horizon: int | None = None,
 ) -> DataFrame:
     """Static design rows: every position of a run and its two contexts, with covariates as an array.
 
-    Runs beyond the horizon get no rows; they keep the estimate they came with.
+    ``max_horizon`` is for a forecaster that cannot go further: longer runs then get no rows and keep the estimate they came with.
 
     Columns: case_id, site, variable, pos, side (L, G, R), y, others (map variable -> value), fixed
     (calendar and reference values).
@@ -278,8 +286,8 @@ def covariate_cells(
     wide = panel.groupBy("site", "pos", "ts").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable", value)))).alias("vals")
     )
-    short = spans.where(_horizon() <= max_horizon)
-    iv = short.select(*CASE_VAR, "run_start", "run_end").withColumns(
+    within = spans if max_horizon is None else spans.where(_horizon() <= max_horizon)
+    iv = within.select(*CASE_VAR, "run_start", "run_end").withColumns(
         {"_lo": F.greatest(F.col("run_start") - ctx, F.lit(0)), "_hi": F.col("run_end") + ctx}
     )
     d = interval_join(iv, wide, "_lo", "_hi", ("site",))
@@ -338,18 +346,16 @@ def covariate_pass(
         if bidirectional and right.sum() >= min_side:
             bwd = fc(e[right, t][::-1], x[right][::-1], xg[::-1])[::-1]
         n = int(gap.sum())
-        if fwd is None and bwd is None:
-            y = e[gap, t]
-        elif fwd is None or bwd is None:
-            y = fwd if bwd is None else bwd
-        else:
-            w = np.linspace(1.0, 0.0, n) if n > 1 else np.array([0.5])
-            y = w * fwd + (1 - w) * bwd
-        return pd.DataFrame({"case_id": key[0], "site": key[1], "variable": key[2], "pos": pdf["pos"].to_numpy()[gap], "y_hat": y})
-
-    schema = "case_id long, site string, variable string, pos long, y_hat double"
-    # a group is one run with its two contexts: at most 2 * ctx + max_horizon positions
+        none = [None] * n
+        return pd.DataFrame(
+            {"case_id": key[0], "site": key[1], "variable": key[2], "pos": pdf["pos"].to_numpy()[gap], "i": np.arange(n), "n": n,
+             "fwd": none if fwd is None else fwd, "bwd": none if bwd is None else bwd}
+        )
+
+    schema = "case_id long, site string, variable string, pos long, i long, n long, fwd double, bwd double"
+    # a group is one run with its two contexts
     new = d.groupBy(*CASE_VAR).applyInPandas(solve, schema)
+    new = new.select(*CASE_VAR, "pos", fuse_cell(F.col("fwd"), F.col("bwd"), F.col("i"), F.col("n")).alias("y_hat"))
     keys = [*CASE_VAR, "pos"]
     old = snapshot.select(*keys, F.col("y_hat").alias("_old"))
     return old.join(new, keys, "left").select(*keys, F.coalesce("y_hat", "_old").alias("y_hat"))
@@ -373,34 +379,38 @@ def refine_until_converged(
     init: DataFrame, linear: DataFrame, cells: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48,
     tol: float = 1e-3, var_tol: float = 5e-4, max_passes: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
-    """Forward-only passes until the pseudo-RMSE against the linear fill stops moving.
+    """Forward-only passes, for each case until its pseudo-RMSE against the linear fill stops moving.
 
-    Only scalars come back per pass: the relative change and which variables still move. A variable
-    whose last RMS change fell below ``var_tol`` keeps its estimate and is not forecast again.
+    A variable of a case whose last RMS change fell below ``var_tol`` keeps its estimate and is not forecast again; a case stops when its
+    relative change falls below ``tol`` or no variable moves, whatever other cases do. Only the number of moving
+    (case, variable) pairs comes back to the driver. The log has one row per case and round.
     """
     from gapweave.plans.storage import materialize, materialize_all
 
-    spark = init.sparkSession
     init, linear, cells = materialize_all({"init": lambda: init, "linear": lambda: linear, "cells": lambda: cells}, "converge")
     keys = [*CASE_VAR, "pos"]
     lin = linear.select(*keys, F.col("y_hat").alias("_l"))
     rms = lambda a, b: F.sqrt(F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))))
-    score = lambda d: d.join(lin, keys).agg(rms("y_hat", "_l")).first()[0]
-    cur, active, trail = init, list(variables), []
-    before = score(cur)
+    score = lambda d, name: d.join(lin, keys).groupBy("case_id").agg(rms("y_hat", "_l").alias(name))
+    cur, active = init, cells.select(*CASE_VAR).distinct()
+    before = materialize(score(cur, "before"), "converge-score")
+    logs = []
     for i in range(1, max_passes + 1):
-        moving = cells.where(F.col("variable").isin(active))
+        moving = cells.join(active, list(CASE_VAR), "left_semi")
         nxt = materialize(covariate_pass(moving, cur, variables, fc, min_side, bidirectional=False), f"round{i}")
-        delta = nxt.join(cur.select(*keys, F.col("y_hat").alias("_o")), keys).groupBy("variable").agg(rms("y_hat", "_o").alias("rms"))
-        per_var = {r["variable"]: r["rms"] for r in delta.collect()}  # one row per variable name
-        after = score(nxt)
-        change = abs(after - before) / before if before else 0.0
-        trail.append((i, len(active), float(after), float(change)))
-        cur, before = nxt, after
-        active = [v for v in active if per_var.get(v, 0.0) >= var_tol]
-        if change < tol or not active:
+        delta = nxt.join(cur.select(*keys, F.col("y_hat").alias("_o")), keys).groupBy(*CASE_VAR).agg(rms("y_hat", "_o").alias("rms"))
+        change = F.coalesce(F.try_divide(F.abs(F.col("after") - F.col("before")), F.col("before")), F.lit(0.0))
+        case = before.join(score(nxt, "after"), "case_id").withColumn("rel_change", change)
+        pairs = active.join(case, "case_id").join(delta, list(CASE_VAR))
+        pairs = materialize(pairs.select(*CASE_VAR, "after", "rel_change", "rms"), f"converge{i}")
+        logs.append(pairs.groupBy("case_id").agg(F.lit(i).alias("round"), F.count(F.lit(1)).cast("int").alias("active_variables"), F.max("after").alias("pseudo_rmse"), F.max("rel_change").alias("rel_change")))
+        cur, before = nxt, materialize(case.select("case_id", F.col("after").alias("before")), "converge-score")
+        active = pairs.where((F.col("rel_change") >= tol) & (F.col("rms") >= var_tol)).select(*CASE_VAR)
+        if active.count() == 0:
             break
-    log = spark.createDataFrame(trail, "round int, active_variables int, pseudo_rmse double, rel_change double")
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
     return cur, log
 
 

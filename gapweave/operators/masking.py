@@ -156,7 +156,7 @@ def interval_join(intervals: DataFrame, panel: DataFrame, lo: str, hi: str, keys
     return iv.join(rows, [*keys, "_bk"]).where(F.col("pos").between(F.col(lo), F.col(hi))).drop("_bk")
 
 
-def apply_case(cases: DataFrame, panel: DataFrame, before: int = 0, after: int = 0, value: str = "value") -> DataFrame:
+def apply_case(cases: DataFrame, panel: DataFrame, before: int, after: int, value: str = "value") -> DataFrame:
     """Flags and masked values over each case's window, all variables of the site.
 
     artificial: not hidden by the case; effective: also naturally observed; eval: hidden and observed.
@@ -376,22 +376,22 @@ def pick_middle_case(cases: DataFrame, panel: DataFrame, scenario: str, gap: int
     return ids.join(count, F.expr("_i = _n div 2")).select("case_id", "site", "start_pos", "end_pos", "coverage", F.col("_n").alias("n_eligible"))
 
 
-def probe_gaps(panel: DataFrame, gaps: Sequence[int], ctx: int, repeats: int, tail: int = 24, tries: int = 50, seed: int = 42, size: int = CHUNK) -> DataFrame:
-    """First feasible of up to ``tries`` hash-drawn starts in [ctx, n-h-tail) per site, gap and repeat."""
-    ok = panel.groupBy("site", "pos").agg((F.count("value") == F.count(F.lit(1))).alias("ok"))
+def probe_gaps(panel: DataFrame, gaps: Sequence[int], ctx: int, repeats: int, masked: Sequence[str], tail: int = 24, seed: int = 42, size: int = CHUNK) -> DataFrame:
+    """Per site, gap and repeat the first start in hash order, of all in [ctx, n - h - tail) where every masked variable is observed throughout.
+
+    Every feasible start takes part, so a site that has one is never left out.
+    """
+    ok = panel.where(F.col("variable").isin(list(masked))).groupBy("site", "pos").agg((F.count("value") == len(masked)).alias("ok"))
     bad = carry(ok, ("site",), next={"bad": F.when(~F.col("ok"), F.col("pos"))}, size=size)
     n = panel.groupBy("site").agg((F.max("pos") + 1).alias("n"))
     g = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in gaps]))
-    t = n.withColumn("gap_len", g).withColumn("room", F.col("n") - F.col("gap_len") - tail - ctx).where("room > 0")
+    t = bad.where("ok").select("site", "pos", "bad").join(n, "site").withColumn("gap_len", g)
+    t = t.where((F.col("pos") >= ctx) & (F.col("pos") < F.col("n") - F.col("gap_len") - tail) & (F.col("pos") + F.col("gap_len") <= F.coalesce(F.col("bad"), F.col("n"))))
     t = t.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
-    t = t.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))))
-    draw = hash_order(seed, F.col("site"), F.col("gap_len"), F.col("repeat"), F.col("attempt"))
-    t = t.withColumn("pos", F.lit(ctx) + F.pmod(draw, F.col("room")))
-    t = t.join(bad.where("ok").select("site", "pos", "bad"), ["site", "pos"])
-    t = t.where(F.col("pos") + F.col("gap_len") <= F.coalesce(F.col("bad"), F.col("n")))
-    return t.groupBy("site", "gap_len", "repeat").agg(
-        F.min("attempt").alias("attempt"), F.min_by("pos", "attempt").alias("start_pos")
-    ).withColumn("end_pos", F.col("start_pos") + F.col("gap_len") - 1)
+    draw = hash_order(seed, F.col("site"), F.col("gap_len"), F.col("repeat"), F.col("pos"))
+    first = t.groupBy("site", "gap_len", "repeat").agg(F.min(F.struct(draw.alias("h"), F.col("pos"))).alias("first"))
+    names = F.lit(",".join(sorted(masked)))
+    return first.select("site", names.alias("masked_vars"), "gap_len", "repeat", F.col("first.pos").alias("start_pos"), (F.col("first.pos") + F.col("gap_len") - 1).alias("end_pos"))
 
 
 def content_hash(panel: DataFrame) -> DataFrame:

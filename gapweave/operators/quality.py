@@ -282,11 +282,12 @@ def corr_matrix(panel: DataFrame, variables: Sequence[str], mode: str = "site_me
     return r.select("var_a", "var_b", "r", F.col("n").cast("bigint").alias("n_pairs"))
 
 
-def distribution_summary(panel: DataFrame, cap: int = 3000, seed: int = 42) -> DataFrame:
-    """Quartiles per variable over at most ``cap`` hash-ordered values of each series (a sampling operator)."""
-    h = hash_order(seed, F.col("site"), F.col("variable"), F.col("pos"))
-    d = panel.where("value is not null").select(*SERIES, "pos", "value", h.alias("_h"))
-    d = lowest_per_group(d, SERIES, ["_h", "pos"], cap)
+def distribution_summary(panel: DataFrame, per_series: int | None = None, seed: int = 42) -> DataFrame:
+    """Quartiles per variable over all values, or (a sampling operator) over ``per_series`` values of each series in hash order."""
+    d = panel.where("value is not null").select(*SERIES, "pos", "value")
+    if per_series is not None:
+        h = hash_order(seed, F.col("site"), F.col("variable"), F.col("pos"))
+        d = lowest_per_group(d.withColumn("_h", h), SERIES, ["_h", "pos"], per_series)
     return exact_quantiles(d, ["variable"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("_n", "n")
 
 

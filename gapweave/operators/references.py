@@ -93,34 +93,45 @@ def reference_series(chosen: DataFrame, panel: DataFrame, value: str = "value",
     return impute_linear(d, "y", "ref_value", (*SERIES, "ref"), size).drop("y")
 
 
-def _ridge3(g: dict[str, Column], alpha: float) -> list[Column]:
-    """Coefficients of a centred 3x3 ridge system by cofactors. An absent reference is all zeros."""
-    a, b, c = g["c11"] + alpha, g["c12"], g["c13"]
-    d, e, f = g["c22"] + alpha, g["c23"], g["c33"] + alpha
-    u, v, w = g["b1"], g["b2"], g["b3"]
-    det = a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
-    return [
-        (u * (d * f - e * e) - b * (v * f - w * e) + c * (v * e - w * d)) / det,
-        (a * (v * f - w * e) - u * (b * f - c * e) + c * (b * w - c * v)) / det,
-        (a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det,
-    ]
-
-
-_GRAM = {
-    "m": "1.0", "sy": "x", "s1": "x1", "s2": "x2", "s3": "x3",
-    "q11": "x1*x1", "q12": "x1*x2", "q13": "x1*x3", "q22": "x2*x2", "q23": "x2*x3", "q33": "x3*x3",
-    "p1": "x1*x", "p2": "x2*x", "p3": "x3*x",
-}
+def _solve(a: dict[tuple[int, int], Column], b: dict[int, Column], k: int, alpha: float, d: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Coefficients of a centred k x k ridge system by LDL' factors, one column each. An absent reference (all zeros) gets 0."""
+    safe = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    for j in range(k):
+        piv = a[j, j] + alpha
+        for m in range(j):
+            piv = piv - F.col(f"_l{j}_{m}") * F.col(f"_l{j}_{m}") * F.col(f"_d{m}")
+        d = d.withColumn(f"_d{j}", piv)
+        rows = {}
+        for i in range(j + 1, k):
+            x = a[j, i]
+            for m in range(j):
+                x = x - F.col(f"_l{i}_{m}") * F.col(f"_l{j}_{m}") * F.col(f"_d{m}")
+            rows[f"_l{i}_{j}"] = safe(x, F.col(f"_d{j}"))
+        d = d.withColumns(rows) if rows else d
+    for j in range(k):  # forward, then backward substitution
+        x = b[j]
+        for m in range(j):
+            x = x - F.col(f"_l{j}_{m}") * F.col(f"_z{m}")
+        d = d.withColumn(f"_z{j}", x)
+    for j in reversed(range(k)):
+        x = safe(F.col(f"_z{j}"), F.col(f"_d{j}"))
+        for m in range(j + 1, k):
+            x = x - F.col(f"_l{m}_{j}") * F.col(f"w{m + 1}")
+        d = d.withColumn(f"w{j + 1}", x)
+    return d, [F.col(f"w{j + 1}") for j in range(k)]
 
 
 def case_ridge(
     spans: DataFrame, chosen: DataFrame, panel: DataFrame, value: str = "value", alpha: float = 1.0, min_fit: int = 500, size: int = CHUNK
 ) -> DataFrame:
-    """Ridge of the target on its (at most three) references, fitted outside the gap, intercept free.
+    """Ridge of the target on all its chosen references, fitted outside the gap, intercept free.
 
     The Gram sums belong to a (target, reference set); cases sharing a set share them and subtract
-    their own hidden interval. The 3x3 solve is a column expression.
+    their own hidden interval. The solve is a chain of column expressions, as long as the largest rank asks.
     """
+    k = int(chosen.agg(F.max("rank")).first()[0] or 0)
+    ids = range(1, k + 1)
+    gram = {"m": "1.0D", "sy": "x", **{f"s{i}": f"x{i}" for i in ids}, **{f"q{i}_{j}": f"x{i}*x{j}" for i in ids for j in ids if j >= i}, **{f"p{i}": f"x{i}*x" for i in ids}}
     sets = chosen.groupBy(*CASE_VAR).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref"))), lambda s: s["ref"]).alias("refs")
     )
@@ -129,30 +140,31 @@ def case_ridge(
     wide = (
         slots.join(reference_series(chosen, panel, value, size), [*SERIES, "ref"])
         .groupBy(*SERIES, "refs", "pos")
-        .agg(*[F.coalesce(F.max(F.when(F.col("_i") == i, F.col("ref_value"))), F.lit(0.0)).alias(f"x{i + 1}") for i in range(3)])
+        .agg(F.count(F.lit(1)).alias("_refs"), *[F.coalesce(F.max(F.when(F.col("_i") == i - 1, F.col("ref_value"))), F.lit(0.0)).alias(f"x{i}") for i in ids])
         .join(panel.select(*SERIES, "pos", F.col(value).alias("x")), [*SERIES, "pos"])
     )
     seen = wide.where("x is not null")
-    full = seen.groupBy(*SERIES, "refs").agg(*[F.sum(F.expr(e)).alias(k) for k, e in _GRAM.items()])
+    full = seen.groupBy(*SERIES, "refs").agg(*[F.sum(F.expr(e)).alias(n) for n, e in gram.items()])
     hidden = (
         spans.join(sets, list(CASE_VAR))
         .select(*CASE_VAR, "refs", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
         .join(wide, [*SERIES, "refs", "pos"])
     )
     inside = hidden.groupBy(*CASE_VAR, "refs").agg(
-        *[F.sum(F.when(F.col("x").isNotNull(), F.expr(e))).alias(f"h_{k}") for k, e in _GRAM.items()]
+        *[F.sum(F.when(F.col("x").isNotNull(), F.expr(e))).alias(f"h_{n}") for n, e in gram.items()]
     )
     g = inside.join(full, [*SERIES, "refs"]).select(
-        *CASE_VAR, *[(F.col(k) - F.coalesce(F.col(f"h_{k}"), F.lit(0.0))).alias(k) for k in _GRAM]
+        *CASE_VAR, *[(F.col(n) - F.coalesce(F.col(f"h_{n}"), F.lit(0.0))).alias(n) for n in gram]
     ).where(F.col("m") >= min_fit)
     m = F.col("m")
-    cent = {f"c{i}{j}": F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / m for i, j in ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3))}
-    cent |= {f"b{i}": F.col(f"p{i}") - F.col(f"s{i}") * F.col("sy") / m for i in (1, 2, 3)}
-    g = g.withColumns(cent)
-    beta = _ridge3({k: F.col(k) for k in cent}, alpha)
-    g = g.withColumns({f"w{i + 1}": b for i, b in enumerate(beta)})
-    g = g.withColumn("w0", (F.col("sy") - F.expr("w1*s1 + w2*s2 + w3*s3")) / m).select(*CASE_VAR, "w0", "w1", "w2", "w3")
-    return hidden.join(g, list(CASE_VAR)).select(*CASE_VAR, "pos", F.expr("w0 + w1*x1 + w2*x2 + w3*x3").alias("y_hat"))
+    cent = {f"c{i}_{j}": F.col(f"q{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / m for i in ids for j in ids if j >= i}
+    cent |= {f"b{i}": F.col(f"p{i}") - F.col(f"s{i}") * F.col("sy") / m for i in ids}
+    g = g.withColumns(cent) if cent else g
+    a = {(i - 1, j - 1): F.col(f"c{i}_{j}") for i in ids for j in ids if j >= i}
+    g, w = _solve(a, {i - 1: F.col(f"b{i}") for i in ids}, k, alpha, g)
+    dot = lambda names: sum((x * F.col(n) for x, n in zip(w, names, strict=True)), F.lit(0.0))
+    g = g.withColumn("w0", (F.col("sy") - dot([f"s{i}" for i in ids])) / m).select(*CASE_VAR, "w0", *w)
+    return hidden.join(g, list(CASE_VAR)).select(*CASE_VAR, "pos", (F.col("w0") + dot([f"x{i}" for i in ids])).alias("y_hat"))
 
 
 def reference_audit(spans: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _signed_rank(d: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _normal_cdf(z: Column) -> Column:
-    """Abramowitz-Stegun 7.1.26 style rational approximation of the normal CDF for z <= 0."""
+    """Rational approximation 26.2.17 of Abramowitz and Stegun for z <= 0; absolute error up to 7.5e-8, so smaller values only mean "below 1e-7"."""
     a = -z
     t = 1.0 / (1.0 + 0.2316419 * a)
     # fixed values: the polynomial's published coefficients
@@ -74,12 +74,15 @@ def _normal_cdf(z: Column) -> Column:
     return F.exp(-a * a / 2.0) * 0.3989422804014327 * poly
 
 
-def wilcoxon_p(d: DataFrame, keys: Sequence[str], exact_limit: int = 50) -> DataFrame:
-    """Two-sided signed-rank p per key.
+def wilcoxon_p(d: DataFrame, keys: Sequence[str], method: str = "auto") -> DataFrame:
+    """Two-sided signed-rank p per key and the ``method`` that gave it.
 
-    Exact (subset-sum counts of the null) without ties and n <= ``exact_limit``; otherwise the
-    normal approximation with tie correction. No non-zero difference gives p = 1.
+    ``exact`` uses subset-sum counts of the null (groups with ties have none and get a NULL p; counts grow as n squared), ``approx`` the
+    normal approximation with tie correction, ``auto`` the exact test up to 50 differences without ties and
+    the approximation otherwise. No non-zero difference gives p = 1.
     """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}")
     s = _signed_rank(d, keys)
     total = F.col("n") * (F.col("n") + 1) / 2.0
     stat = F.least("w_plus", total - F.col("w_plus"))
@@ -87,7 +90,8 @@ def wilcoxon_p(d: DataFrame, keys: Sequence[str], exact_limit: int = 50) -> Data
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties") / 48.0
     z = ratio(F.col("_w") - F.col("_t") / 2, F.sqrt(var))
     approx = F.least(F.lit(1.0), 2.0 * _normal_cdf(z))
-    s = s.withColumn("_exact", (F.col("ties") == 0) & (F.col("n") <= exact_limit))
+    exactly = {"exact": F.col("ties") == 0, "approx": F.lit(False), "auto": (F.col("ties") == 0) & (F.col("n") <= 50)}[method]
+    s = s.withColumn("_exact", exactly)
     null = signed_rank_null(s.where("_exact").select("n").distinct())
     s = s.join(null, "n", "left")
     upto = F.aggregate(
@@ -95,12 +99,14 @@ def wilcoxon_p(d: DataFrame, keys: Sequence[str], exact_limit: int = 50) -> Data
     )
     exact = F.least(F.lit(1.0), 2.0 * upto / F.pow(F.lit(2.0), F.col("n")))
     keysdf = d.select(*keys).distinct()
-    p = F.when(F.col("n").isNull(), F.lit(1.0)).when(F.col("_exact"), exact).otherwise(approx)
-    return keysdf.join(s, list(keys), "left").select(*keys, p.alias("p"))
+    p = F.when(F.col("n").isNull(), F.lit(1.0)).when(F.col("_exact"), exact)
+    p = p if method == "exact" else p.otherwise(approx)
+    used = F.when(F.col("n").isNull(), "none").when(F.col("_exact"), "exact").otherwise("none" if method == "exact" else "approx")
+    return keysdf.join(s, list(keys), "left").select(*keys, p.alias("p"), used.alias("method"))
 
 
 def signed_rank_null(ns: DataFrame) -> DataFrame:
-    """counts[w] = number of sign patterns of ranks 1..n with positive-rank sum w (n <= 50, so <= 1276 entries)."""
+    """counts[w] = number of sign patterns of ranks 1..n with positive-rank sum w (n (n + 1) / 2 + 1 entries)."""
 
     def add(acc: Column, r: Column) -> Column:
         # new[w] = old[w] + old[w - r]
@@ -143,7 +149,7 @@ def paired_compare(s: DataFrame, pairs: DataFrame, metric: str = "NMAE", extra:
     base = base.withColumn("reduction", reduction(F.col("mean_model"), F.col("mean_reference")))
     boots = bootstrap_means(xy, keys, ["x", "y"], draws, seed).withColumn("_r", reduction(F.col("x"), F.col("y")))
     ci = boots.groupBy(*keys).agg(F.percentile("_r", F.lit(0.025)).alias("low"), F.percentile("_r", F.lit(0.975)).alias("high"))
-    p = wilcoxon_p(xy.withColumn("diff", F.col("x") - F.col("y")), keys)
+    p = wilcoxon_p(xy.withColumn("diff", F.col("x") - F.col("y")), keys).drop("method")
     d = base.join(ci, keys).join(p, keys)
     d = holm(d, family=extra)
     return d.select(*keys, "reduction", "low", "high", "p", "holm_p", "n_sites", "sites_improved", "mean_model", "mean_reference")
@@ -158,7 +164,7 @@ def cell_level_compare(cells: DataFrame, pairs: DataFrame, keys: Sequence[str] =
     g = xy.groupBy("model", "reference").agg(
         F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_difference"), F.avg(F.when(F.col("diff") < 0, 1.0).otherwise(0.0)).alias("win_rate")
     )
-    return g.join(wilcoxon_p(xy, ["model", "reference"]), ["model", "reference"])
+    return g.join(wilcoxon_p(xy, ["model", "reference"]).drop("method"), ["model", "reference"])
 
 
 def average_rank(d: DataFrame, col: str, keys: Sequence[str], out: str) -> DataFrame:

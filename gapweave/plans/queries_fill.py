@@ -173,7 +173,7 @@ def _(s: Stages) -> DataFrame:
 @query("G12_refine_until_converged")
 def _(s: Stages) -> DataFrame:
     lin = impute.case_linear(s.spans)
-    cur, _log = forecast.refine_until_converged(_init(s, False), lin, _cells(s, False), st.VARIABLES, RIDGE, st.MIN_SIDE)
+    cur, _ = forecast.refine_until_converged(_init(s, False), lin, _cells(s, False), st.VARIABLES, RIDGE, st.MIN_SIDE)
     return rounded(_hidden(s, cur))
 
 
@@ -195,7 +195,7 @@ def _tabular(s: Stages, kind: str) -> DataFrame:
     cut = train.groupBy("site").agg(F.floor(0.8 * (F.max("pos") + 1)).cast("bigint").alias("cut"))
     rows = tabular.lag_table(train, lags, st.SEASON, "zf").join(cut, "site").where("pos < cut")
     model = tabular.fit_tabular(rows, lags, "zf", kind)
-    p = tabular.impute_tabular(s.spans, s.filled, model, lags, st.SEASON, 48, "zf")
+    p = tabular.impute_tabular(s.spans, s.filled, model, lags, st.SEASON, "zf")
     return rounded(impute.final_fill(p, impute.case_linear(s.spans)))
 
 
@@ -254,11 +254,11 @@ def _(s: Stages) -> DataFrame:
     return rounded(d)
 
 
-@query("G19_final_fill", sql("p_linear refs", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM p_linear"))
+@query("G19_final_fill", sql("p_ridge", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM p_ridge"))
 def _(s: Stages) -> DataFrame:
-    """Nothing predicted: every hidden cell takes the linear fill."""
-    lin = impute.case_linear(s.spans)
-    return rounded(impute.final_fill(lin.where("false"), lin))
+    """A partial prediction (the ridge skips cases with too few pairs): what it leaves takes the linear fill."""
+    partial = references.case_ridge(s.spans, s.references, s.scaled, "z", 1.0, st.MIN_PAIRS)
+    return rounded(impute.final_fill(partial, impute.case_linear(s.spans)))
 
 
 @query("G20_windowed_overlap", sql("wo_fill", f"SELECT site, variable, pos, {r('filled', 'filled')} FROM wo_fill"))

@@ -165,13 +165,16 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "F15_probe_gaps",
-    sql("panel6 span6", f"""SELECT site, gap_len, repeat, min(attempt) AS attempt, arg_min(p, attempt) AS start_pos, arg_min(p, attempt) + gap_len - 1 AS end_pos FROM (
-SELECT t.*, 24 + {hsh('42', 'site', 'gap_len', 'repeat', 'attempt')} % (n - gap_len - 4 - 24) AS p FROM (
-SELECT site, n, unnest([2, 4])::BIGINT AS gap_len, r.repeat, a.attempt FROM span6, (SELECT unnest(range(3)) AS repeat) r, (SELECT unnest(range(50)) AS attempt) a) t) t
-WHERE (SELECT count(q.value) = count(*) FROM panel6 q WHERE q.site = t.site AND q.pos BETWEEN t.p AND t.p + t.gap_len - 1) GROUP BY 1, 2, 3"""),
+    sql("panel6 span6", f"""SELECT site, masked_vars, gap_len, repeat, arg_min(pos, h) AS start_pos, arg_min(pos, h) + gap_len - 1 AS end_pos FROM (
+SELECT t.*, {hsh('42', 'site', 'gap_len', 'repeat', 'pos')} * 4096 + pos AS h FROM (
+SELECT site, n, m.v AS masked_vars, g.gap_len, r.repeat, q.pos FROM span6, (SELECT unnest(['click,view', 'click,error,login,purchase,view']) AS v) m, (SELECT unnest([2, 4])::BIGINT AS gap_len) g,
+(SELECT unnest(range(3)) AS repeat) r, (SELECT unnest(range(4096)) AS pos) q WHERE q.pos BETWEEN 24 AND n - g.gap_len - 4 - 1) t
+WHERE (SELECT count(q.value) = t.gap_len * len(string_split(t.masked_vars, ',')) FROM panel6 q WHERE q.site = t.site AND list_contains(string_split(t.masked_vars, ','), q.variable)
+AND q.pos BETWEEN t.pos AND t.pos + t.gap_len - 1)) GROUP BY 1, 2, 3, 4"""),
 )
 def _(s: Stages) -> DataFrame:
-    return masking.probe_gaps(s.panel6, (2, 4), st.LEFT_CTX, 3, 4, 50, st.SEED)
+    probe = lambda masked: masking.probe_gaps(s.panel6, (2, 4), st.LEFT_CTX, 3, masked, 4, st.SEED)
+    return probe(["click", "view"]).unionByName(probe(st.VARIABLES))
 
 
 @query(
@@ -192,10 +195,9 @@ SELECT *, count(*) OVER (PARTITION BY case_id, variable, c) AS actual, max(pos)
 coalesce(last_value(o IGNORE NULLS) OVER (PARTITION BY case_id, variable, c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
 first_value(o IGNORE NULLS) OVER (PARTITION BY case_id, variable, c ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS f FROM (
 SELECT s.case_id, s.variable, k.c, p.pos, p.value AS o FROM spans s, (SELECT unnest([8, 16, 32])::BIGINT AS c) k, panel6 p
-WHERE s.scenario = 'A' AND s.repeat < 2 AND p.site = s.site AND p.variable = s.variable AND p.pos BETWEEN s.run_start - k.c AND s.run_start - 1)) GROUP BY ALL"""),
+WHERE p.site = s.site AND p.variable = s.variable AND p.pos BETWEEN s.run_start - k.c AND s.run_start - 1)) GROUP BY ALL"""),
 )
 def _(s: Stages) -> DataFrame:
-    spans = s.spans.where("scenario = 'A' and repeat < 2")
-    d = forecast.context_slices(spans, s.panel6, (8, 16, 32))
+    d = forecast.context_slices(s.spans, s.panel6, (8, 16, 32))
     return rounded(d)
 

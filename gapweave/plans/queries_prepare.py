@@ -94,21 +94,21 @@ def _(s: Stages) -> DataFrame:
     return _model_counts(results.reset_models(s.spark, path, new_path(s.spark, "backup"), ["seasonal"]))
 
 
-@query("A7_merge_shards", sql("scores", f"SELECT case_id, model, variable, {r('NMAE', 'NMAE')}, n_eval FROM scores WHERE model = 'linear'"))
+@query("A7_merge_shards", sql("scores", f"SELECT case_id, model, variable, {r('NMAE', 'NMAE')}, n_eval FROM scores"))
 def _(s: Stages) -> DataFrame:
-    rows = s.scores.where("model = 'linear'").select("case_id", "model", "variable", "NMAE", "n_eval")
-    want = shape.explode_vars(s.manifest).select("case_id", "variable")
-    return results.merge_shards([results.shard(rows, 3, i) for i in range(3)], ["case_id", "variable"], want)
+    rows = s.scores.select("case_id", "model", "variable", "NMAE", "n_eval")
+    want = shape.explode_vars(s.manifest).select("case_id", "variable").crossJoin(rows.select("model").distinct())
+    return results.merge_shards([results.shard(rows, 3, i) for i in range(3)], ["case_id", "model", "variable"], want)
 
 
 @query(
     "A8_patch_results",
-    sql("scores", f"SELECT case_id, model, variable, {r('CASE WHEN case_id % 5 = 0 THEN NMAE / 2 ELSE NMAE END', 'NMAE')} FROM scores WHERE model = 'seasonal'"),
+    sql("scores", f"SELECT case_id, model, variable, {r('CASE WHEN case_id % 5 = 0 THEN NMAE / 2 ELSE NMAE END', 'NMAE')} FROM scores"),
 )
 def _(s: Stages) -> DataFrame:
-    rows = s.scores.where("model = 'seasonal'").select("case_id", "model", "variable", "NMAE")
+    rows = s.scores.select("case_id", "model", "variable", "NMAE")
     fix = rows.where("case_id % 5 = 0").withColumn("NMAE", F.col("NMAE") / 2)
-    return rounded(results.patch_results(rows, fix))
+    return rounded(results.patch_results(rows, fix, ["model", "case_id", "variable"]))
 
 
 @query(
@@ -145,12 +145,12 @@ def _(s: Stages) -> DataFrame:
 @query(
     "B1_select_targets",
     f"""WITH o AS (SELECT 's' || (user_id % 1000000)::VARCHAR AS site, event_type, time_bucket(INTERVAL '6 hours', ts) AS ts,
-  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS value FROM events WHERE value >= 150 GROUP BY 1, 2, 3)
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3)
 SELECT site, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SENSORS.items())} END AS variable, ts, {r('value', 'value')}
 FROM o WHERE site IN (SELECT site FROM o GROUP BY 1 HAVING count(DISTINCT event_type) = 5)""",
 )
 def _(s: Stages) -> DataFrame:
-    obs = event_observations(s.table("events").where("value >= 150"), 1_000_000, st.STEP6)
+    obs = event_observations(s.table("events"), 1_000_000, st.STEP6)
     return rounded(shape.select_targets(obs, SENSORS))
 
 
@@ -481,11 +481,10 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "D13_distribution_summary",
-    sql("panel3", f"""SELECT variable, {r('quantile_cont(value, 0.25)', 'q1')}, {r('quantile_cont(value, 0.5)', 'median')}, {r('quantile_cont(value, 0.75)', 'q3')}, count(*) AS n FROM (
-SELECT * FROM panel3 WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site, variable ORDER BY {hsh('42', 'site', 'variable', 'pos')}, pos) <= 60) GROUP BY 1"""),
+    sql("panel3", f"""SELECT variable, {r('quantile_cont(value, 0.25)', 'q1')}, {r('quantile_cont(value, 0.5)', 'median')}, {r('quantile_cont(value, 0.75)', 'q3')}, count(*) AS n FROM panel3 WHERE value IS NOT NULL GROUP BY 1"""),
 )
 def _(s: Stages) -> DataFrame:
-    return rounded(quality.distribution_summary(s.panel3, 60))
+    return rounded(quality.distribution_summary(s.panel3))
 
 
 @query("D14_role_missing_means", sql("panel3 roles3", f"SELECT role, variable, {r('avg(m)', 'mean_missing_rate')}, count(*) AS n_sites FROM (SELECT site, variable, avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS m FROM panel3 GROUP BY 1, 2) JOIN roles3 USING (site) GROUP BY 1, 2"))

@@ -60,9 +60,9 @@ def merge_shards(shards: Sequence[DataFrame], key: Sequence[str], expected: Data
     return out.join(chk.where("_ok = 1").select(*key), list(key), "inner")
 
 
-def patch_results(base: DataFrame, fix: DataFrame, key: str = "case_id") -> DataFrame:
-    """All rows of the case ids present in ``fix`` are replaced."""
-    return base.join(fix.select(key).distinct(), key, "left_anti").unionByName(fix)
+def patch_results(base: DataFrame, fix: DataFrame, key: Sequence[str] = ("case_id",)) -> DataFrame:
+    """All rows whose key is present in ``fix`` are replaced."""
+    return base.join(fix.select(*key).distinct(), list(key), "left_anti").unionByName(fix)
 
 
 def write_split(roles: DataFrame, path: str, meta: dict[str, object]) -> None:

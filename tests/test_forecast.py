@@ -1,32 +1,29 @@
-"""Contexts, forecasters, bidirectional fusion and synchronous refinement on a five-sine site."""
+"""Contexts, forecasters, bidirectional fusion and synchronous refinement on one site of four uneven series."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.operators import forecast, impute
+from gapweave.operators import forecast, impute, tabular
 from helpers import cases, panel, table
 
-N, A, B, CTX, SIDE = 600, 250, 321, 96, 48
-VARS = ["v0", "v1", "v2", "v3", "v4"]
+N, A, B, CTX, SIDE = 432, 181, 229, 80, 40
+VARS = ["flow", "level", "power", "temp"]
 
 
-def toy():
-    """Toy forecaster: the mean of the context."""
-
-    def probe(ctx, h):
-        return np.full(h, np.mean(ctx))
-
-    return forecast.user_forecaster(probe)
+def middle_of_context():
+    """A plug-in forecaster: the context's median, held over the horizon."""
+    return forecast.user_forecaster(lambda past, steps: [float(np.median(past))] * steps)
 
 
 @pytest.fixture(scope="module")
 def site(spark):
-    t = np.arange(N)
-    x = {("s", v): 0.4 + 0.1 * np.sin(t / 9 + i) for i, v in enumerate(VARS)}
-    x[("s", "v1")] = x[("s", "v1")].copy()
-    x[("s", "v1")][200:210] = np.nan
+    rng = np.random.default_rng(77)
+    hours = np.arange(N)
+    daily = np.where(hours % 24 < 9, 1.0, 3.0)
+    x = {("s", v): np.round(10 * k + daily * (k + 1) + np.cumsum(rng.normal(0, 0.3, N)), 4) for k, v in enumerate(VARS)}
+    x["s", "level"][[150, 151, 152, 300]] = np.nan
     p = panel(spark, x)
     spans = impute.merged_spans(cases(spark, [(0, "s", VARS, A, B)]), p)
     return p, impute.impute_linear(p, "value", "zf"), spans.cache(), x
@@ -34,10 +31,10 @@ def site(spark):
 
 def test_user_forecaster_sees_the_left_context(site):
     p, _, spans, x = site
-    got = table(forecast.impute_forecast(spans, p, toy(), CTX), "variable", "pos")
+    got = table(forecast.impute_forecast(spans, p, middle_of_context(), CTX), "variable", "pos")
     for v in VARS:
         ctx = pd.Series(x[("s", v)][A - CTX : A]).ffill().bfill()
-        np.testing.assert_allclose(got[got.variable == v].y_hat, ctx.mean())
+        np.testing.assert_allclose(got[got.variable == v].y_hat, ctx.median())
 
 
 def test_leading_run_uses_the_reversed_right_context(spark):
@@ -69,21 +66,21 @@ def test_rolling_matches_a_loop(site):
     def one(c, h):
         return [np.mean([c[j] for j in range(len(c)) if (j - len(c) - i) % 7 == 0]) for i in range(h)]
 
-    c, out = list(x[("s", "v0")][A - 30 : A]), []
+    c, out = list(x[("s", "flow")][A - 30 : A]), []
     while len(out) < B - A + 1:
         y = one(c, 10)
         out += y
         c = (c + y)[-30:]
-    np.testing.assert_allclose(got[got.variable == "v0"].y_hat, out[: B - A + 1])
+    np.testing.assert_allclose(got[got.variable == "flow"].y_hat, out[: B - A + 1])
 
 
 def test_bidirectional_weights(site):
     _, filled, spans, x = site
-    got = table(forecast.bidirectional_init(spans, filled, toy(), CTX, SIDE, "zf"), "variable", "pos")
+    got = table(forecast.bidirectional_init(spans, filled, middle_of_context(), CTX, SIDE, "zf"), "variable", "pos")
     w = np.linspace(1, 0, B - A + 1)
     for v in VARS:
         f = pd.Series(x[("s", v)]).interpolate()
-        np.testing.assert_allclose(got[got.variable == v].y_hat, w * f[A - CTX : A].mean() + (1 - w) * f[B + 1 : B + 1 + CTX].mean())
+        np.testing.assert_allclose(got[got.variable == v].y_hat, w * f[A - CTX : A].median() + (1 - w) * f[B + 1 : B + 1 + CTX].median())
 
 
 def test_single_point_and_one_sided_runs(spark):
@@ -117,7 +114,7 @@ def test_refinement_reads_one_snapshot_per_pass(spark, site):
     cells = forecast.covariate_cells(spans, filled, CTX, "zf")
     got = table(forecast.refine_sync(init, cells, VARS, forecast.ridge_forecaster(), 2, SIDE), "variable", "pos")
     est = np.column_stack([pd.Series(x[("s", v)]).interpolate() for v in VARS])
-    est[A : B + 1] = table(init, "variable", "pos").y_hat.to_numpy().reshape(5, -1).T
+    est[A : B + 1] = table(init, "variable", "pos").y_hat.to_numpy().reshape(len(VARS), -1).T
     hour, doy = np.arange(N) % 24, np.arange(N) // 24 + 1
     fixed = np.column_stack([np.sin(2 * np.pi * hour / 24), np.cos(2 * np.pi * hour / 24), np.sin(2 * np.pi * doy / 365.25), np.cos(2 * np.pi * doy / 365.25)])
     for _ in range(2):
@@ -132,8 +129,8 @@ def test_convergence_stops_and_freezes_variables(spark, site):
     cells = forecast.covariate_cells(spans, filled, CTX, "zf")
     cur, log = forecast.refine_until_converged(init, impute.case_linear(spans), cells, VARS, forecast.ridge_forecaster(), SIDE, max_passes=3)
     rounds = log.orderBy("round").collect()
-    assert 1 <= len(rounds) <= 3 and rounds[0].active_variables == 5
-    assert cur.groupBy("variable").count().where(F.col("count") == B - A + 1).count() == 5
+    assert 1 <= len(rounds) <= 3 and rounds[0].active_variables == len(VARS)
+    assert cur.groupBy("variable").count().where(F.col("count") == B - A + 1).count() == len(VARS)
 
 
 def test_run_at_position_zero_keeps_the_univariate_fill(spark):
@@ -146,3 +143,60 @@ def test_run_at_position_zero_keeps_the_univariate_fill(spark):
     d = forecast.impute_covariate_once(init, cells, sp, ["a", "b"], forecast.ridge_forecaster(), 48).join(init.withColumnRenamed("y_hat", "i"), ["case_id", "site", "variable", "pos"])
     diff = {r.case_id: r.m for r in d.groupBy("case_id").agg(F.max(F.abs(F.col("y_hat") - F.col("i"))).alias("m")).collect()}
     assert diff[0] == 0 and diff[1] > 1e-3
+
+
+def test_convergence_of_a_case_does_not_depend_on_others(spark, site):
+    p, filled, _, _ = site
+    both = impute.merged_spans(cases(spark, [(0, "s", VARS, 100, 120), (1, "s", ["flow"], 250, 330)]), p)
+
+    def run(spans):
+        init = forecast.bidirectional_init(spans, filled, forecast.seasonal_mean(24), CTX, SIDE, "zf", False, whole_run=True).drop("start_pos", "end_pos")
+        cells = forecast.covariate_cells(spans, filled, CTX, "zf")
+        cur, log = forecast.refine_until_converged(init, impute.case_linear(spans), cells, VARS, forecast.ridge_forecaster(), SIDE, tol=0.02, max_passes=4)
+        return table(cur, "case_id", "variable", "pos"), table(log, "case_id", "round")
+
+    together = run(both)
+    for c in (0, 1):
+        alone = run(both.where(f"case_id = {c}"))
+        for a, b in zip(alone, together):
+            pd.testing.assert_frame_equal(a, b[b.case_id == c].reset_index(drop=True), check_exact=False, rtol=1e-9)
+
+
+def test_convergence_of_nothing(spark, site):
+    _, filled, spans, _ = site
+    none = spans.where("false")
+    init = forecast.bidirectional_init(none, filled, forecast.seasonal_mean(24), CTX, SIDE, "zf", False, whole_run=True).drop("start_pos", "end_pos")
+    cur, log = forecast.refine_until_converged(init, impute.case_linear(none), forecast.covariate_cells(none, filled, CTX, "zf"), VARS, forecast.ridge_forecaster(), SIDE)
+    assert cur.count() == 0 and log.count() == 0
+
+
+def test_runs_longer_than_a_thousand_steps_are_forecast(spark):
+    t = np.arange(1500)
+    p = panel(spark, {("s", "a"): np.where((t >= 100) & (t < 1200), np.nan, t % 7 + 1.0), ("s", "b"): t % 5 + 0.5})
+    spans = impute.merged_spans(cases(spark, [(0, "s", ["a"], 100, 1199)]), p)
+    filled = impute.impute_linear(p, "value", "zf")
+    got = table(forecast.bidirectional_init(spans, filled, forecast.seasonal_mean(7), 98, 48, "zf"), "pos")
+    assert len(got) == 1100 and got.y_hat.notna().all()
+    cells = forecast.covariate_cells(spans, filled, 60, "zf")
+    assert table(forecast.covariate_pass(cells, got.pipe(spark.createDataFrame), ["a", "b"], forecast.ridge_forecaster(), 48), "pos").y_hat.notna().sum() == 1100
+
+
+def test_tree_forecasts_roll_to_the_end_of_a_run(spark):
+    """70 steps against the model applied to its own output row by row; a short context is padded."""
+    from pyspark.ml.linalg import Vectors
+
+    t = np.arange(300)
+    x = np.round(5 + 2 * np.sin(t / 5) + t / 100, 4)
+    p = panel(spark, {("s", "v"): x, ("s", "w"): x[::-1].copy()})
+    lags, season = 4, 24
+    filled = impute.impute_linear(p, "value", "zf")
+    model = tabular.fit_tabular(tabular.lag_table(filled, lags, season, "zf"), lags, "zf", rounds=5)
+    spans = impute.merged_spans(cases(spark, [(0, "s", ["v"], 150, 219), (1, "s", ["v"], 2, 9), (2, "s", ["w"], 0, 4)]), p)
+    got = table(tabular.impute_tabular(spans, filled, model, lags, season, "zf", steps=16), "case_id", "pos")
+    for case, series, a, b, hist in ((0, x, 150, 219, list(x[146:150])), (1, x, 2, 9, [x[0], x[0], x[0], x[1]]), (2, x[::-1], 0, 4, [x[::-1][5]] * 4)):
+        want = []
+        for k in range(b - a + 1):
+            y = model.predict(Vectors.dense([*hist[::-1], float((a + k) % season)]))
+            want.append(y)
+            hist = [*hist[1:], y]
+        np.testing.assert_allclose(got[got.case_id == case].y_hat, want, rtol=1e-9)
