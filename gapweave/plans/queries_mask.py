@@ -167,7 +167,7 @@ def _(s: Stages) -> DataFrame:
     "F15_probe_gaps",
     sql("panel6 span6", f"""SELECT site, masked_vars, gap_len, repeat, arg_min(pos, h) AS start_pos, arg_min(pos, h) + gap_len - 1 AS end_pos FROM (
 SELECT t.*, {hsh('42', 'site', 'gap_len', 'repeat', 'pos')} * 4096 + pos AS h FROM (
-SELECT site, n, m.v AS masked_vars, g.gap_len, r.repeat, q.pos FROM span6, (SELECT unnest(['click,view', 'click,error,login,purchase,view']) AS v) m, (SELECT unnest([2, 4])::BIGINT AS gap_len) g,
+SELECT site, n, m.v AS masked_vars, g.gap_len, r.repeat, q.pos FROM span6, (SELECT unnest(['click,view', '{",".join(sorted(st.VARIABLES))}']) AS v) m, (SELECT unnest([2, 4])::BIGINT AS gap_len) g,
 (SELECT unnest(range(3)) AS repeat) r, (SELECT unnest(range(4096)) AS pos) q WHERE q.pos BETWEEN 24 AND n - g.gap_len - 4 - 1) t
 WHERE (SELECT count(q.value) = t.gap_len * len(string_split(t.masked_vars, ',')) FROM panel6 q WHERE q.site = t.site AND list_contains(string_split(t.masked_vars, ','), q.variable)
 AND q.pos BETWEEN t.pos AND t.pos + t.gap_len - 1)) GROUP BY 1, 2, 3, 4"""),
