@@ -72,12 +72,14 @@ def seasonal_mean(m: int) -> Forecaster:
     return fc
 
 
-def user_forecaster(fn: Callable[[np.ndarray, int], np.ndarray]) -> Forecaster:
+def user_forecaster(fn: Callable[[np.ndarray, int], np.ndarray], on_error: str = "null") -> Forecaster:
     """Wrap ``fn(context, horizon) -> values`` as an Arrow-batched forecaster.
 
-    Output shorter than the horizon is padded with its last value; a failing call yields NULL,
-    which the caller's final fill replaces by the linear fill.
+    Output shorter than the horizon is padded with its last value. With ``on_error="null"`` a failing call gives no rows, which the
+    caller's final fill replaces by the linear fill (cells of the spans without a forecast count them); with ``"raise"`` it ends the job.
     """
+    if on_error not in ("null", "raise"):
+        raise ValueError(f"unknown on_error {on_error!r}")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(ctx: pd.Series, h: pd.Series) -> pd.Series:
@@ -86,7 +88,9 @@ def user_forecaster(fn: Callable[[np.ndarray, int], np.ndarray]) -> Forecaster:
             try:
                 y = np.asarray(fn(np.asarray(c, dtype=float), int(k)), dtype=float).ravel()[: int(k)]
                 out.append(np.pad(y, (0, int(k) - len(y)), mode="edge") if len(y) else None)
-            except Exception:  # noqa: BLE001 - a failed forecast falls back, it does not end the job
+            except Exception:  # noqa: BLE001 - a failed forecast falls back unless asked otherwise
+                if on_error == "raise":
+                    raise
                 out.append(None)
         return pd.Series(out)
 

@@ -182,8 +182,9 @@ def mask_individual(panel: DataFrame, rate: float, seed: int = 42) -> DataFrame:
     """Hide exactly int(n_valid * rate) observed points of each series."""
     h = hash_order(seed, F.col("site"), F.col("variable"), F.col("pos"))
     # threshold search by hash bucket: ranks are only computed inside the one bucket the cut falls in
-    d = panel.withColumn("_h", F.when(F.col("value").isNotNull(), h)).withColumn("_b", F.shiftright("_h", 16))
-    counts = d.where("_h is not null").groupBy(*SERIES, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # missing cells take no part, so they never meet in one window however many there are
+    d = panel.where(F.col("value").isNotNull()).withColumn("_h", h).withColumn("_b", F.shiftright("_h", 16))
+    counts = d.groupBy(*SERIES, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*SERIES).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     all_rows = Window.partitionBy(*SERIES)
     counts = counts.select(
@@ -192,10 +193,10 @@ def mask_individual(panel: DataFrame, rate: float, seed: int = 42) -> DataFrame:
         (F.sum("_c").over(w) - F.col("_c")).alias("_before"),
         F.floor(F.sum("_c").over(all_rows) * F.lit(float(rate))).cast("bigint").alias("_want"),
     )
-    d = d.join(counts, [*SERIES, "_b"], "left")
+    d = d.join(counts, [*SERIES, "_b"])
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(*SERIES, "_b").orderBy("_h", "pos"))
-    hidden = F.col("_h").isNotNull() & (rank <= F.col("_want"))
-    return d.select(*panel.columns, F.coalesce(hidden, F.lit(False)).alias("hidden"))
+    seen = d.select(*panel.columns, (rank <= F.col("_want")).alias("hidden"))
+    return seen.unionByName(panel.where(F.col("value").isNull()).withColumn("hidden", F.lit(False)))
 
 
 def block_points(block_hours: float, step_us: int) -> int:

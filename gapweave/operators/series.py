@@ -125,10 +125,6 @@ def observed_neighbours(panel: DataFrame, keys: Sequence[str] = SERIES, value: s
     )
 
 
-def series_length(panel: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    return panel.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
-
-
 def lowest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, salts: int = 64) -> DataFrame:
     """Exactly the ``k`` first rows of each group in ``order``, with rank ``rn``.
 

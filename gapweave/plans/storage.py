@@ -68,13 +68,13 @@ def sequential_ids(df: DataFrame, order: list[str], id_col: str, name: str = "or
     """Global 0-based ids in ``order`` without a one-task sort.
 
     The rows are range-sorted and written once; an id is the row's index in its file plus the row
-    counts of the files before it. Only one row per file is ordered globally.
+    counts of the files before it, in the order of their part numbers. Only one row per file is ordered globally.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.orderBy(*order).write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
     files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)

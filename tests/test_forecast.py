@@ -54,6 +54,8 @@ def test_short_output_is_padded_and_failures_fall_back(spark, site):
         raise RuntimeError("no model")
 
     lin = impute.case_linear(spans)
+    with pytest.raises(Exception, match="no model"):
+        forecast.impute_forecast(spans, p, forecast.user_forecaster(boom, "raise"), CTX).collect()
     d = impute.final_fill(forecast.impute_forecast(spans, p, forecast.user_forecaster(boom), CTX), lin)
     assert d.join(lin.withColumnRenamed("y_hat", "l"), ["case_id", "site", "variable", "pos"]).where("abs(y_hat - l) > 1e-12").count() == 0
 
