@@ -46,20 +46,19 @@ class Letters:
 def buckets(letters: np.ndarray) -> np.ndarray:
     """Bucket of every n-gram of a text between boundaries; n-grams that span a boundary inside are left out."""
     a = np.concatenate([[0], letters, [0]]).astype(np.uint32)
-    out = []
-    for n in GRAMS:
+    live = a > 0
+    out, h, inner = [], np.full(len(a), 0x9E3779B1, dtype=np.uint32), np.ones(len(a), bool)
+    for n in range(1, max(GRAMS) + 1):  # an n-gram's hash goes on from the one a letter shorter
         m = len(a) - n + 1
         if m <= 0:
-            continue
-        h = np.full(m, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
-        whole = np.ones(m, bool)
-        for i in range(n):
-            part = a[i : i + m]
-            h = (h ^ part) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-            if 0 < i < n - 1 or n == 2:
-                whole &= part > 0
-        out.append((h >> np.uint32(32 - BITS))[whole if n > 2 else whole & (a[:m] > 0)])
+            break
+        h = (h[:m] ^ a[n - 1 :]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        if n >= 3:
+            inner = inner[:m] & live[n - 2 : n - 2 + m]
+        if n in GRAMS:
+            keep = live[:m] & live[n - 1 :] if n == 2 else inner[:m]
+            out.append(((h * np.uint32(2 * n + 0x27D4EB2F)) >> np.uint32(32 - BITS))[keep])
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -100,7 +99,8 @@ class LanguageModel:
     """Learned languages, logits per bucket, temperature and rejection level."""
 
     def __init__(self, langs: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float, level: float):
-        self.langs, self.logits, self.bias, self.temperature, self.level = langs, logits, bias, temperature, level
+        self.langs, self.bias, self.temperature, self.level = langs, bias, temperature, level
+        self.logits = [np.ascontiguousarray(logits[:, k]) for k in range(len(langs))]  # one array a language: sums run along memory
 
     def scores(self, text: str | None, letters: Letters) -> tuple[int, float]:
         """Index of the likeliest language and its probability; -1 for a text without letters."""
@@ -109,7 +109,7 @@ class LanguageModel:
         total, n = np.zeros(len(self.langs)), 0
         for p in pieces(text or ""):
             b = buckets(letters.of(p))
-            total += self.logits[b].sum(axis=0, dtype=np.float64)
+            total += [x[b].sum(dtype=np.float64) for x in self.logits]
             n += len(b)
         if not n:
             any_letter = any((letters.of(p) > 0).any() for p in pieces(text or ""))

@@ -44,7 +44,6 @@ def test_links_span_all_near_pairs(spark, chunk):
             at = at if rng.random() < 0.6 else centre
     fps = sorted(fps)
     found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), chunk=chunk).collect()
-    assert all(bin(r.u ^ r.v).count("1") <= 3 or True for r in found)
     where = {f: i for i, f in enumerate(fps)}
     label = list(range(len(fps)))
     for r in found:
