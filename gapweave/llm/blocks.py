@@ -5,7 +5,7 @@ Every block has a tag-path vector (the sum of fixed random vectors of its path's
 a bidirectional LSTM in numpy reads the whole sequence and labels each block as main text or not. It is trained here on a
 bounded sample of the pages and on re-arranged copies of them, in which the same texts are placed under other
 layouts; the labels of both come from where a block was put (article, or a named part around it). Script, style and the like
-never become blocks. Main blocks are joined in page order.
+never become blocks; text inside svg and math belongs to the block around it. Main blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -29,7 +29,13 @@ SAMPLE, TRAIN_BLOCKS, COPIES, PATH_DIM, WORD_DIM, HIDDEN = 100, 80, 8, 192, 16,
 CELLS = 65_536
 
 # HTML element names.
-RAW = "script|style|noscript|template|title|svg|math|iframe|object|canvas|textarea"
+RAW = "script|style|template|title|iframe|textarea"  # their content is not text of the page
+FOREIGN = frozenset(("svg", "math"))
+# Start tags that end svg and math, and elements that stand inside a paragraph.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+PHRASING = frozenset("noscript object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names of page parts that are not main text, and of those that hold it.
@@ -41,7 +47,8 @@ OTHER = frozenset(
 MAIN = frozenset("article main content post entry story body text page".split())
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>""", re.S | re.I)
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>""", re.S | re.I)
+EMPTY = re.compile(r"""<[a-z]+(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>""", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -58,7 +65,7 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
     stack: list[tuple[str, str]] = []
     out: list[tuple[str, str, float]] = []
     text: list[str] = []
-    linked = in_link = pos = 0
+    linked = in_link = pos = foreign = 0
 
     def flush() -> None:
         nonlocal linked
@@ -77,12 +84,20 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
             if in_link:
                 linked += len(piece)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, pos):
         add(page[pos : m.start()])
         pos = m.end()
         if m[3] is None:
+            if m[1] and foreign and (empty := EMPTY.match(page, m.start())):  # <title/> of an svg has no end tag
+                pos = empty.end()
             continue
         tag, closing = m[3].lower(), m[2] == "/"
+        if tag in FOREIGN:
+            foreign = max(foreign - 1, 0) if closing else foreign + (not m[4].endswith("/"))
+            continue
+        if foreign and not (any(t == tag for t, _ in stack) if closing else tag in BREAKOUT):
+            continue
+        foreign = 0
         if tag == "br":
             text.append(" ")
         elif tag == "a":
@@ -99,7 +114,8 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
         else:
             flush()
             in_link = 0
-            if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+            inside = tag in PHRASING or "-" in tag
+            if stack and (stack[-1][0] == "p" and not inside or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 stack.pop()
             if tag not in VOID and not m[4].endswith("/"):
                 stack.append((tag, _tokens(tag, m[4])))

@@ -108,6 +108,21 @@ def test_leaf_blocks_and_other_layouts(spark):
     assert blocks.extract(df.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("piece", "text"),
+    [
+        ('<svg-icon name="x"></svg-icon>', ""), ("<math-field>f</math-field>", "f"), ("<title-bar>t</title-bar>", "t"), ("<template-card>c</template-card>", "c"),
+        ('<svg viewBox="0 0"/>', ""), ("<math/>", ""), ("<svg><title/><path d='M0 /'/></svg>", ""), ("<svg><title>T</title><text>L</text></svg>", "L"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("<object>o</object>", "o"), ("<canvas>v</canvas>", "v"), ("<noscript>n</noscript>", "n"),
+        ("<svg>", ""), ("<script >var a</script>", ""), ("<STYLE\n>p{}</STYLE>", ""), ("<iframe src=x/>i</iframe>", ""), ("<svg><style>p{}</style></svg>", ""),
+    ],
+)
+def test_only_elements_without_text_are_raw(piece, text):
+    found = blocks.leaf_blocks(f"<article><p>a {piece} b</p><p>rest</p></article>")
+    assert " ".join(t for _, t, _ in found).split() == f"a {text} b rest".split()
+    assert all(p.startswith("article>p") for p, _, _ in found)
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(1)
     net = blocks.BiLstm(5, 3)
