@@ -165,12 +165,16 @@ class PieceCoder:
         return out
 
     def learn(self, fresh: list[str]) -> dict[str, list[int]]:
-        """Encode units by the agenda and hold them against the library."""
+        """Ids of units by the agenda; a unit for which the library has others is an error."""
         mine = self.by_agenda(fresh)
         theirs = self.lib.encode([u[1:].replace(MARK, " ") for u in fresh], num_threads=1)
         theirs = [a if u == MARK else b for u, a, b in zip(fresh, mine, theirs, strict=True)]  # the library adds no mark to an empty text
-        self.disagreed += mine != theirs and sum(a != b for a, b in zip(mine, theirs, strict=True))
-        return dict(zip(fresh, theirs, strict=True))
+        if mine != theirs:
+            wrong = [(u, a, b) for u, a, b in zip(fresh, mine, theirs, strict=True) if a != b]
+            self.disagreed += len(wrong)
+            u, a, b = wrong[0]
+            raise ValueError(f"agenda and library disagree on {len(wrong)} units, first {u[:80]!r}: {a[:20]} and {b[:20]}")
+        return dict(zip(fresh, mine, strict=True))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, the end id last."""

@@ -18,6 +18,14 @@ def test_agenda_equals_library(coder):
     assert coder.disagreed == 0
 
 
+def test_an_error_of_the_agenda_is_not_hidden(monkeypatch):
+    own = pieces.PieceCoder(pieces.default_model())
+    right = own.by_agenda
+    monkeypatch.setattr(own, "by_agenda", lambda units: [x[::-1] for x in right(units)])
+    with pytest.raises(ValueError, match="disagree"):
+        list(own.encode_batch(["internationalisation of it"]))
+
+
 def test_heap_and_matrix_agree(coder):
     units = ["▁" + u for u in ("internationalisation", "übergänge", "x", "aaaaaaaaaaaaaaa", "żółć", "")]
     assert coder.by_agenda(units) == [coder.unit_ids(u) for u in units]
