@@ -64,6 +64,17 @@ def usable_vector(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` reduced to one of each ``keys``: that of the text with the smallest hash, so repeated ids do not multiply a sample.
+
+    The grouped minimum holds hashes only and is combined before the shuffle; texts stay where they are until one is chosen.
+    """
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    rows = rows.withColumn("_at", F.struct("_h", F.xxhash64(F.lit(1), "text").alias("b")))
+    least = materialize(rows.groupBy(*keys).agg(F.min("_at").alias("_at")), "sample-rows")
+    return rows.join(least, [*keys, "_at"], "left_semi").dropDuplicates([*keys, "_at"]).drop("_h", "_at")
+
+
 def first_of_each(rows: DataFrame, by: str, n: int, seed: int) -> DataFrame:
     """A written sample of ``rows(doc_id, by)``: of each group the first ``n`` in hash order, with the hash as ``key``.
 

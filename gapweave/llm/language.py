@@ -163,8 +163,9 @@ def train_rows(rows: pa.Table, epochs: int = 6, rate: float = 0.5, seed: int = 3
 def train(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> LanguageModel:
     """Model from the rows of ``docs(doc_id, text, lang)`` where ``learnable`` holds: the first ``sample`` of each language in hash order."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = common.first_of_each(known.select("doc_id", "lang"), "lang", sample, 17).select("doc_id", "key").distinct()
-    return train_rows(_features(known.join(chosen, "doc_id").select("text", "lang", "key"), SPANS).toArrow())
+    chosen = common.first_of_each(known.select("doc_id", "lang").distinct(), "lang", sample, 17).select("doc_id", "lang", "key")
+    rows = common.one_row_each(known.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]), ["doc_id", "lang"])
+    return train_rows(_features(rows.select("text", "lang", "key"), SPANS).toArrow())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     """Weights of the log likelihood ratio, from the first ``sample`` labelled documents of each class in hash order."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("y"))
     chosen = common.first_of_each(known, "y", sample, 31)
-    rows = _feature_rows(docs.join(chosen, "doc_id").select("text", "y", "key"))
+    rows = _feature_rows(common.one_row_each(docs.join(chosen, "doc_id"), ["doc_id", "y"]).select("text", "y", "key"))
     order = np.lexsort((rows["y"].to_numpy(), rows["key"].to_numpy()))  # the same whatever task came first
     x = np.array(common.list_views(rows["x"]), dtype=np.float64).reshape(-1, N_FEATURES)
     return fit(x[order], rows["y"].to_numpy().astype(np.float64)[order])

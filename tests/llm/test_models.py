@@ -108,6 +108,20 @@ def test_leaf_blocks_and_other_layouts(spark):
     assert blocks.extract(df.where("false"), model).count() == 0
 
 
+def test_repeated_ids_are_one_row_of_a_sample(spark, monkeypatch):
+    docs = [(i, f"good words number {i} stand in this text here", "en" if i % 2 else "de") for i in range(8)]
+    docs += [(3, f"copy {k} of a repeated row", "en") for k in range(30)] + [docs[4]] * 30
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i > 3), int(i > 3)) for i in range(8)], EMPTY_LABELS)
+    seen = {}
+    monkeypatch.setattr(language, "train_rows", lambda rows: seen.update(language=rows["doc"].to_pylist()) or language.LanguageModel([], np.zeros((1, 0)), np.zeros(0), 1.0, 0.0))
+    monkeypatch.setattr(toxicity, "train_rows", lambda ids, *_: seen.update(toxicity=len(ids)) or toxicity.ToxicityModel(9))
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(quality=len(y)))
+    quality.train(docs, labels)
+    toxicity.train(docs, labels, F.lit(True))
+    assert seen["quality"] == seen["toxicity"] == 8 and len(seen["language"]) == 8
+
+
 @pytest.mark.parametrize(
     ("piece", "text"),
     [
