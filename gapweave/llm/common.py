@@ -86,3 +86,15 @@ def first_of_each(rows: DataFrame, by: str, n: int, seed: int) -> DataFrame:
     near = rows.join(sizes, by).where(F.col("key") / 2.0**64 + 0.5 <= 4.0 * n / F.col("_n")).drop("_n")
     order = Window.partitionBy(by).orderBy("key", "doc_id")
     return materialize(near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r"), "sample")
+
+
+#: Common table expressions: ``crc(crc_table)``, the 256 entries of the crc32 table. Needs WITH RECURSIVE.
+CRC_SQL = """bits(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i)
+        UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS crc_table FROM bits WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes as SQL over a table joined with ``crc`` (``CRC_SQL``); NULL for NULL."""
+    byte = f"[('0x' || substr(hex({text}), 2 * i - 1, 2))::BIGINT FOR i IN range(1, strlen({text}) + 1)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
