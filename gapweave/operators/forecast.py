@@ -7,9 +7,11 @@ forecasters are column expressions on that array; a user forecaster is an Arrow-
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -316,13 +318,11 @@ def case_reference_values(chosen: DataFrame, series: DataFrame, spans: DataFrame
 
 def covariate_pass(
     cells: DataFrame, snapshot: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48, bidirectional: bool = True,
-    past_only: bool = False,
 ) -> DataFrame:
     """One synchronous pass: every run re-forecast from one frozen snapshot of the estimates.
 
     ``snapshot`` (case_id, site, variable, pos, y_hat) overrides the panel inside the case's runs.
-    A run with no long enough side keeps its previous estimate. ``past_only`` withholds the
-    covariates' in-gap values (each is held at its last value before the gap).
+    A run with no long enough side keeps its previous estimate. For forecasters of the user; the built-in ridge has its own way (``moments``).
     """
     snap = snapshot.groupBy("case_id", "site", "pos").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable", "y_hat")))).alias("snap")
@@ -342,9 +342,6 @@ def covariate_pass(
         side = pdf["side"].to_numpy()
         gap, left, right = side == "G", side == "L", side == "R"
         xg = x[gap]
-        if past_only and left.any():
-            xg = xg.copy()
-            xg[:, : len(names) - 1] = x[left][-1, : len(names) - 1]
         fwd = fc(e[left, t], x[left], xg) if left.sum() >= min_side else None
         bwd = None
         if bidirectional and right.sum() >= min_side:
@@ -365,25 +362,63 @@ def covariate_pass(
     return old.join(new, keys, "left").select(*keys, F.coalesce("y_hat", "_old").alias("y_hat"))
 
 
+@dataclass(frozen=True)
+class Step:
+    """One synchronous pass of a method: ``run(snapshot, active)`` re-forecasts all ``runs(case_id, site, variable)``, or those of ``active``, and keeps the rest."""
+
+    runs: DataFrame
+    run: Callable[[DataFrame, DataFrame | None], DataFrame]
+
+    def __call__(self, snapshot: DataFrame, active: DataFrame | None = None) -> DataFrame:
+        return self.run(snapshot, active)
+
+
+def covariate_step(cells: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48, bidirectional: bool = True) -> Step:
+    """Passes of a user's covariate forecaster over the design rows of ``covariate_cells``."""
+
+    def run(snapshot: DataFrame, active: DataFrame | None = None) -> DataFrame:
+        some = cells if active is None else cells.join(active, list(CASE_VAR), "left_semi")
+        return covariate_pass(some, snapshot, variables, fc, min_side, bidirectional)
+
+    return Step(cells.select(*CASE_VAR).distinct(), run)
+
+
+def refine_rounds(init: DataFrame, step: Step, passes: int) -> list[DataFrame]:
+    """Estimates after 0, 1, ... ``passes`` synchronous passes, each written out."""
+    from gapweave.plans.storage import materialize
+
+    rounds = [materialize(init, "init")]
+    for i in range(passes):
+        rounds.append(materialize(step(rounds[-1]), f"pass{i + 1}"))
+    return rounds
+
+
+def refine_trace(init: DataFrame, step: Step, passes: int) -> DataFrame:
+    """Every round as one table: case_id, site, variable, pos, round, y_hat, before. Rounds after 0 have only the cells that changed, with their estimate ``before``."""
+    rounds = refine_rounds(init, step, passes)
+    keys, at = [*CASE_VAR, "pos"], lambda i: F.lit(i).cast("bigint").alias("round")
+    out = rounds[0].select(*keys, at(0), "y_hat", F.lit(None).cast("double").alias("before"))
+    for i, (old, new) in enumerate(zip(rounds[:-1], rounds[1:], strict=True), 1):
+        d = new.join(old.select(*keys, F.col("y_hat").alias("before")), keys).where(~F.col("y_hat").eqNullSafe(F.col("before")))
+        out = out.unionByName(d.select(*keys, at(i), "y_hat", "before"))
+    return out
+
+
 def refine_sync(
     init: DataFrame, cells: DataFrame, variables: Sequence[str], fc: CovForecaster, passes: int, min_side: int = 48, bidirectional: bool = True,
 ) -> DataFrame:
-    """``passes`` synchronous refinement passes; 0 returns the initial estimate. Each pass is written out."""
-    from gapweave.plans.storage import materialize, materialize_all
+    """``passes`` synchronous refinement passes of a user's forecaster; 0 returns the initial estimate."""
+    from gapweave.plans.storage import materialize
 
     if passes == 0:
         return init
-    cur, cells = materialize_all({"init": lambda: init, "cells": lambda: cells}, "refine")
-    for i in range(passes):
-        cur = materialize(covariate_pass(cells, cur, variables, fc, min_side, bidirectional), f"pass{i + 1}")
-    return cur
+    return refine_rounds(init, covariate_step(materialize(cells, "refine-cells"), variables, fc, min_side, bidirectional), passes)[-1]
 
 
-def refine_until_converged(
-    init: DataFrame, linear: DataFrame, cells: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48,
-    tol: float = 1e-3, var_tol: float = 5e-4, max_passes: int = 5,
+def converge(
+    init: DataFrame, linear: DataFrame, step: Step, tol: float = 1e-3, var_tol: float = 5e-4, max_passes: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
-    """Forward-only passes, for each case until its pseudo-RMSE against the linear fill stops moving.
+    """Passes for each case until its pseudo-RMSE against the linear fill stops moving.
 
     A variable of a case whose last RMS change fell below ``var_tol`` keeps its estimate and is not forecast again; a case stops when its
     relative change falls below ``tol`` or no variable moves, whatever other cases do. Only the number of moving
@@ -391,17 +426,16 @@ def refine_until_converged(
     """
     from gapweave.plans.storage import materialize, materialize_all
 
-    init, linear, cells = materialize_all({"init": lambda: init, "linear": lambda: linear, "cells": lambda: cells}, "converge")
+    init, linear = materialize_all({"init": lambda: init, "linear": lambda: linear}, "converge")
     keys = [*CASE_VAR, "pos"]
     lin = linear.select(*keys, F.col("y_hat").alias("_l"))
     rms = lambda a, b: F.sqrt(F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))))
     score = lambda d, name: d.join(lin, keys).groupBy("case_id").agg(rms("y_hat", "_l").alias(name))
-    cur, active = init, cells.select(*CASE_VAR).distinct()
+    cur, active = init, step.runs
     before = materialize(score(cur, "before"), "converge-score")
     logs = []
     for i in range(1, max_passes + 1):
-        moving = cells.join(active, list(CASE_VAR), "left_semi")
-        nxt = materialize(covariate_pass(moving, cur, variables, fc, min_side, bidirectional=False), f"round{i}")
+        nxt = materialize(step(cur, active), f"round{i}")
         delta = nxt.join(cur.select(*keys, F.col("y_hat").alias("_o")), keys).groupBy(*CASE_VAR).agg(rms("y_hat", "_o").alias("rms"))
         change = F.coalesce(F.try_divide(F.abs(F.col("after") - F.col("before")), F.col("before")), F.lit(0.0))
         case = before.join(score(nxt, "after"), "case_id").withColumn("rel_change", change)
@@ -418,38 +452,91 @@ def refine_until_converged(
     return cur, log
 
 
-def impute_covariate_once(init: DataFrame, cells: DataFrame, spans: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48) -> DataFrame:
-    """One forward covariate forecast over a univariate fill; a run starting at position 0 keeps the fill."""
-    new = covariate_pass(cells, init, variables, fc, min_side, bidirectional=False)
+def refine_until_converged(
+    init: DataFrame, linear: DataFrame, cells: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48,
+    tol: float = 1e-3, var_tol: float = 5e-4, max_passes: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """``converge`` with forward-only passes of a user's forecaster."""
+    from gapweave.plans.storage import materialize
+
+    step = covariate_step(materialize(cells, "converge-cells"), variables, fc, min_side, bidirectional=False)
+    return converge(init, linear, step, tol, var_tol, max_passes)
+
+
+def covariate_once(init: DataFrame, step: Step, spans: DataFrame) -> DataFrame:
+    """One pass over a univariate fill; a run starting at position 0 keeps the fill."""
+    new = step(init)
     keys = [*CASE_VAR, "pos"]
     lead = spans.where("run_start = 0").select(*CASE_VAR).withColumn("_lead", F.lit(True))
     d = new.join(init.select(*keys, F.col("y_hat").alias("_i")), keys, "left").join(lead, list(CASE_VAR), "left")
     return d.select(*keys, F.when(F.col("_lead"), F.col("_i")).otherwise(F.col("y_hat")).alias("y_hat"))
 
 
+def impute_covariate_once(init: DataFrame, cells: DataFrame, spans: DataFrame, variables: Sequence[str], fc: CovForecaster, min_side: int = 48) -> DataFrame:
+    """``covariate_once`` with a forward-only pass of a user's forecaster."""
+    return covariate_once(init, covariate_step(cells, variables, fc, min_side, bidirectional=False), spans)
+
+
 # ---------------------------------------------------------------- windowed overlap
 
 
-def impute_windowed_overlap(panel: DataFrame, window: int, patch: int, season: int, value: str = "value", min_bias: int = 2, size: int = CHUNK) -> DataFrame:
-    """Half-overlapping windows, phase-mean prediction, per-patch bias correction, overlaps averaged.
+#: A window's prediction from the window before it: array with NULL for missing cells -> array as long.
+WindowPredictor = Callable[[Column], Column]
+
+
+def phase_mean_window(window: int, season: int) -> WindowPredictor:
+    """Mean of the context's values in the same phase of the season."""
+
+    def predict(ctx: Column) -> Column:
+        in_phase = lambda p: F.filter(ctx, lambda x, j: x.isNotNull() & (F.pmod(j - window - p, F.lit(season)) == 0))
+        mean = lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v))
+        phases = F.transform(F.sequence(F.lit(0), F.lit(season - 1)), lambda p: mean(in_phase(p)))
+        return F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: _at(phases, i % season))
 
-    A window's prediction at a phase is the mean of the phase in the window before it (its context);
-    a patch with at least ``min_bias`` observations shifts by their mean residual. Missing cells take
-    the average over the windows covering them, the rest the linear fill.
+    return predict
+
+
+def user_window(fn: Callable[[np.ndarray, int], np.ndarray], window: int) -> WindowPredictor:
+    """Wrap a user's model ``fn(contexts, horizon) -> predictions``: the windows of many series are one matrix (a row each, NaN for missing cells) per Arrow batch.
+
+    Non-finite predictions count as none.
+    """
+
+    def run(ctx: pa.Array) -> pa.Array:
+        flat = ctx.flatten().to_numpy(zero_copy_only=False).astype(float)
+        y = np.asarray(fn(flat.reshape(len(ctx), window), window), dtype=float)
+        if y.shape != (len(ctx), window):
+            raise ValueError(f"a window model gave shape {y.shape} for {len(ctx)} windows of {window}")
+        y = y.ravel()
+        values = pa.array(y, mask=~np.isfinite(y))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ctx) + 1) * window, pa.int32()), values)
+
+    batch = F.arrow_udf(run, T.ArrayType(T.DoubleType()))
+    return lambda ctx: batch(ctx)
+
+
+def impute_windowed_overlap(panel: DataFrame, window: int, patch: int, predictor: WindowPredictor, value: str = "value", min_bias: int = 2, size: int = CHUNK) -> DataFrame:
+    """Half-overlapping windows predicted by ``predictor``, per-patch bias correction, overlaps averaged.
+
+    A window's context is the window before it, NULL where the panel is missing or has not begun. A patch with at least ``min_bias`` observations shifts by their
+    mean residual. Missing cells take the average over the windows covering them, the rest the linear fill.
     """
     from gapweave.operators.impute import impute_linear
 
     half = window // 2
+    if window % 2 or not window:
+        raise ValueError("the window must be even")
     last = F.expr(f"pos div {half}")
-    cover = panel.select(*SERIES, "pos", value).withColumn("w", F.explode(F.array(last - 1, last))).where("w >= 0")
-    ctx = (
-        panel.where(F.col(value).isNotNull())
-        .select(*SERIES, "pos", value, F.explode(F.array(last + 1, last + 2)).alias("w"))
-        .groupBy(*SERIES, "w", (F.col("pos") % season).alias("phase"))
-        .agg(F.avg(value).alias("_pm"))
-    )
-    d = cover.withColumn("phase", F.col("pos") % season).join(ctx, [*SERIES, "w", "phase"], "left")
-    d = d.withColumn("patch", F.expr(f"(pos - w * {half}) div {patch}"))
+    later = panel.where(F.col(value).isNotNull()).select(*SERIES, "pos", value, F.explode(F.array(last + 1, last + 2)).alias("w"))
+    at = F.col("pos") - (F.col("w") - 2) * half
+    seen = later.groupBy(*SERIES, "w").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("i"), F.col(value).alias("v")))).alias("_c"))
+    ctx = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.element_at("_c", i))
+    # only windows with a missing cell are predicted
+    gaps = panel.where(F.col(value).isNull()).select(*SERIES, F.explode(F.array(last - 1, last)).alias("w")).where("w >= 0").distinct()
+    made = seen.join(gaps, [*SERIES, "w"], "left_semi").select(*SERIES, "w", ctx.alias("_c"))
+    made = made.select(*SERIES, "w", F.posexplode(predictor(F.col("_c"))).alias("_i", "_pm")).withColumn("pos", F.col("w") * half + F.col("_i"))
+    d = made.where("_pm is not null").join(panel.select(*SERIES, "pos", value), [*SERIES, "pos"])
+    d = d.withColumn("patch", F.expr(f"_i div {patch}"))
     res = F.col(value) - F.col("_pm")
     bias = d.groupBy(*SERIES, "w", "patch").agg(F.when(F.count(res) >= min_bias, F.avg(res)).otherwise(F.lit(0.0)).alias("_bias"))
     p = d.where(F.col(value).isNull()).join(bias, [*SERIES, "w", "patch"])

@@ -17,27 +17,44 @@ def scenario_table(spark: SparkSession, variables: Sequence[str], group_b: Seque
     return spark.createDataFrame(rows, "scenario string, masked_vars array<string>")
 
 
+def observed_bits(panel: DataFrame, variables: Sequence[str], size: int = CHUNK) -> DataFrame:
+    """(site, pos, bits, _ck): bit ``i`` is set where ``variables[i]`` is observed. Rows are dealt by (site, chunk of positions) before they are combined, the only time that the panel moves."""
+    place = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable")) - 1
+    bit = F.when(F.col("value").isNotNull(), F.pow(F.lit(2), place).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rows = panel.where(F.col("variable").isin(list(variables))).select("site", "pos", bit.alias("bit"), F.expr(f"pos div {int(size)}").alias("_ck"))
+    return rows.repartition("site", "_ck").groupBy("site", "_ck", "pos").agg(F.bit_or("bit").alias("bits"))
+
+
 def feasible_starts(
     panel: DataFrame, combos: DataFrame, gaps: Sequence[int], ctx: int, size: int = CHUNK, extra: Column | None = None
 ) -> DataFrame:
     """Starts with ``ctx`` positions before them and every masked variable observed over the whole gap.
 
-    One pass finds the next bad position after each start; it answers every gap length at once.
+    One row a position carries the observed variables as bits; the next position at which a combination misses one is carried for all combinations at once,
+    and answers every gap length. ``combos`` (the scenario definitions) is read on the driver; at most 63 variables take part in them.
     """
-    need = combos.withColumns({"vars_key": F.array_join("masked_vars", ","), "n_vars": F.size("masked_vars")})
-    per_var = need.select("scenario", "vars_key", "n_vars", F.explode("masked_vars").alias("variable"))
-    ok = (
-        panel.join(per_var, "variable")
-        .groupBy("site", "scenario", "vars_key", "pos")
-        .agg((F.count("value") == F.max("n_vars")).alias("ok"))
-    )
+    need = [(r.scenario, r.masked_vars) for r in combos.select("scenario", "masked_vars").collect()]
+    variables = sorted({v for _, names in need for v in names})
+    if len(variables) > 63:
+        raise ValueError(f"{len(variables)} masked variables; at most 63 fit one mask")
     keys = ("site", "scenario", "vars_key")
-    d = carry(ok, keys, next={"bad": F.when(~F.col("ok"), F.col("pos"))}, size=size)
+    masks = [sum(1 << variables.index(v) for v in names) for _, names in need]
+    whole = lambda m: F.col("bits").bitwiseAND(F.lit(m).cast("bigint")) == m
+    bits = observed_bits(panel, variables, size)
+    d = carry(bits, ("site",), next={f"bad{m}": F.when(~whole(m), F.col("pos")) for m in sorted(set(masks))}, size=size)
     n = panel.groupBy("site").agg((F.max("pos") + 1).alias("n"))
-    d = d.where(F.col("ok") & (F.col("pos") >= ctx)).join(n, "site")
-    d = d.withColumn("gap_len", F.explode(F.array(*[F.lit(int(g)).cast("bigint") for g in gaps])))
-    keep = F.col("pos") + F.col("gap_len") <= F.coalesce(F.col("bad"), F.col("n"))
-    out = d.where(keep if extra is None else keep & extra)
+    d = d.where(F.col("pos") >= ctx).join(n, "site")
+    starts = [
+        F.when(
+            F.col("pos") + g <= F.coalesce(F.col(f"bad{m}"), F.col("n")),  # a bad position itself carries its own number
+            F.struct(F.lit(s).alias("scenario"), F.lit(",".join(names)).alias("vars_key"), F.lit(int(g)).cast("bigint").alias("gap_len")),
+        )
+        for (s, names), m in zip(need, masks, strict=True)
+        for g in gaps
+    ]
+    out = d.withColumn("_c", F.explode(F.array_compact(F.array(*starts)))) if starts else d.withColumn("_c", F.lit(None).cast("struct<scenario:string,vars_key:string,gap_len:bigint>")).where("false")
+    out = out.select("site", "_c.scenario", "_c.vars_key", "_c.gap_len", "pos", "n")
+    out = out if extra is None else out.where(extra)
     return out.select(*keys, "gap_len", F.col("pos").alias("start_pos"))
 
 
@@ -204,36 +221,26 @@ def block_points(block_hours: float, step_us: int) -> int:
 
 
 def mask_blocks(sites: DataFrame, rate: float, block: int, seed: int = 42, groups: int = 256) -> DataFrame:
-    """All variables hidden together in random non-overlapping blocks until round(n * rate) positions.
+    """All variables hidden together in random disjoint blocks, round(n * rate) positions a site.
 
-    ``sites`` is (site, n). Blocks are laid on a randomly shifted lattice of block-sized slots and
-    taken in hash order, so placement needs no sequential state: slots never overlap, the last block
-    taken is shortened to hit the target exactly. When full slots cannot reach the target (a dense
-    rate), the block length is halved until they can.
+    ``sites`` is (site, n). Placement by order statistics: as many numbers as there are blocks are drawn from 0 to the free length; sorted, the ``j``-th
+    plus the lengths of the blocks before it is where block ``j`` starts. Blocks may stand anywhere, touch but never overlap, at any rate up to 1 and without state from
+    one to the next. All have ``block`` positions except the last one drawn, which takes what is left of the target.
     """
-    target = F.round(F.col("n") * F.lit(float(rate))).cast("bigint")
+    target = F.least(F.col("n"), F.round(F.col("n") * F.lit(float(rate))).cast("bigint"))
     d = sites.withColumn("target", target).where("target > 0")
-    usable = lambda b: F.expr(f"((n - pmod(shift0, {b})) div {b}) * {b}")
-    d = d.withColumn("shift0", hash_order(seed, F.col("site"), F.lit("shift")))
-    sizes, b = [], int(block)
-    while b > 1:
-        sizes.append(b)
-        b //= 2
-    length = F.lit(1)
-    for b in reversed(sizes):
-        length = F.when(usable(b) >= F.col("target"), F.lit(b)).otherwise(length)
-    d = d.withColumn("len", length.cast("bigint"))
-    d = d.withColumn("off", F.expr("pmod(shift0, len)")).withColumn("slots", F.expr("(n - off) div len"))
-    d = d.withColumn("whole", F.expr("target div len")).withColumn("rest", F.expr("target % len"))
-    part = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    d = d.withColumn("_g", part).where("_g < slots")
-    slot = d.withColumn("slot", F.explode(F.expr(f"sequence(cast(_g as bigint), slots - 1, cast({groups} as bigint))")))
-    slot = slot.withColumn("_h", hash_order(seed, F.col("site"), F.col("slot")))
-    ranked = _global_rank(slot, ["site"], "_h", "slot")
-    blocks = ranked.where("rank <= whole or (rank = whole + 1 and rest > 0)")
-    start = F.col("off") + F.col("slot") * F.col("len")
-    size = F.when(F.col("rank") <= F.col("whole"), F.col("len")).otherwise(F.col("rest"))
-    return blocks.select("site", start.alias("start_pos"), (start + size - 1).alias("end_pos"), "target")
+    d = d.withColumns({"blocks": F.expr(f"(target + {block - 1}) div {block}"), "free": F.col("n") - F.col("target")})
+    d = d.withColumn("short", F.col("blocks") * block - F.col("target"))
+    d = d.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where("_g < blocks")
+    d = d.withColumn("block", F.explode(F.expr(f"sequence(cast(_g as bigint), blocks - 1, cast({groups} as bigint))")))
+    d = d.withColumn("_h", hash_order(seed, F.col("site"), F.lit("block"), F.col("block")))
+    ranked = _global_rank(d, ["site"], "_h", "block")
+    last = ranked.where("block = blocks - 1").select("site", F.col("rank").alias("_last"))
+    d = ranked.join(last, "site")
+    drawn = F.expr("(_h * (free + 1)) div 4294967296")
+    start = drawn + (F.col("rank") - 1) * block - F.when(F.col("rank") > F.col("_last"), F.col("short")).otherwise(F.lit(0))
+    size = block - F.when(F.col("rank") == F.col("_last"), F.col("short")).otherwise(F.lit(0))
+    return d.select("site", start.alias("start_pos"), (start + size - 1).alias("end_pos"), "target")
 
 
 def _global_rank(d: DataFrame, keys: Sequence[str], h: str, tie: str, shift_bits: int = 16) -> DataFrame:

@@ -2,14 +2,22 @@
 
 Statistics of a case leave out its hidden interval. They are never recomputed per case: the sums
 over the whole series are computed once and the sums inside the interval are subtracted.
+
+Pair sums are products of matrices: series are cut into blocks of time, a block of up to 256 targets and one of up to 256 references
+form a tile, and the tile's counts, sums and products of all pairs are seven small matrix products. No pair of series meets stamp by stamp.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gapweave.functions.exprs import pearson
+from gapweave.functions.exprs import micros, pearson
 from gapweave.operators.impute import CASE_VAR, impute_linear
 from gapweave.operators.series import CHUNK, SERIES
 
@@ -21,25 +29,73 @@ def _bank(panel: DataFrame, roles: DataFrame, value: str) -> DataFrame:
     return train.where(F.col(value).isNotNull()).select(F.col("site").alias("ref"), "variable", "ts", F.col(value).alias("y"))
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    s = lambda c: F.coalesce(F.sum(F.when(both, c)), F.lit(0.0))
-    x, y = F.col("x"), F.col("y")
-    vals = [F.count_if(both).cast("double"), s(x), s(y), s(x * x), s(y * y), s(x * y)]
-    return [v.alias(prefix + n) for v, n in zip(vals, _SUMS, strict=True)]
+#: Series of a tile's side; stamps of a block lie within 30 days.
+TILE, BLOCK_US = 256, 30 * 24 * 3_600_000_000
+
+
+def _dense(at: pa.ListArray, values: pa.ListArray, stamps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Series as rows over ``stamps``: which stamps they have, which have a value, and the values (0 without)."""
+    rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    cols = np.searchsorted(stamps, at.flatten().to_numpy(zero_copy_only=False))
+    flat = values.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((3, len(at), len(stamps)))
+    out[0, rows, cols] = 1
+    out[1, rows[known], cols[known]] = 1
+    out[2, rows[known], cols[known]] = flat.drop_null().to_numpy(zero_copy_only=False)
+    return out[0], out[1], out[2]
+
+
+def pair_sums(rows: DataFrame, bank: DataFrame, keys: Sequence[str], tile: int = TILE, block_us: int = BLOCK_US) -> DataFrame:
+    """Counts and sums over common stamps of every series of ``rows(*keys, ts, x)`` with every one of the same variable in ``bank(ref, variable, ts, y)``.
+
+    ``keys`` hold ``site`` and ``variable``; a site never meets itself. ``ref_finite`` counts stamps of the series at which the reference has a
+    value, ``n`` and the sums those where both have one. Pairs without a common stamp have no row.
+    """
+    cut = F.expr(f"at div {int(block_us)}").alias("_block")
+    pack = F.collect_list(F.struct("at", F.col("v").alias("v")))
+    left = rows.select(*keys, micros("ts").alias("at"), F.col("x").alias("v")).groupBy(*keys, cut).agg(pack.alias("c"))
+    right = bank.select("ref", "variable", micros("ts").alias("at"), F.col("y").alias("v")).groupBy("ref", "variable", cut).agg(pack.alias("c"))
+    count = lambda d, k: d.select(*k).distinct().groupBy("variable").count().agg(F.max("count")).first()[0] or 0
+    tiles = [max(-(-count(rows, keys) // tile), 1), max(-(-count(bank, ["ref", "variable"]) // tile), 1)]
+    deal = lambda k, n: F.pmod(F.xxhash64(*k), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ref_type = bank.schema["ref"].dataType
+    left = left.select(*keys, F.lit(None).cast(ref_type).alias("ref"), "_block", deal(keys, tiles[0]).alias("_l"), every(tiles[1]).alias("_r"), "c.at", "c.v")
+    others = [F.lit(None).cast(rows.schema[k].dataType).alias(k) if k != "variable" else F.col(k) for k in keys]
+    right = right.select(*others, "ref", "_block", every(tiles[0]).alias("_l"), deal(["ref", "variable"], tiles[1]).alias("_r"), "c.at", "c.v")
+    site, names = "site", list(keys)
+    sums = ("ref_finite", *_SUMS)
+
+    def products(t: pa.Table) -> pa.Table:
+        refs = pa.compute.is_valid(t["ref"])
+        a, b = t.filter(pa.compute.invert(refs)), t.filter(refs)
+        lists = [x[c].combine_chunks() for x in (a, b) for c in ("at", "v")]
+        stamps = np.unique(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (lists[0], lists[2])]))
+        (have, mx, x), (_, my, y) = _dense(lists[0], lists[1], stamps), _dense(lists[2], lists[3], stamps)
+        made = [have @ my.T, mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T]
+        i, j = np.nonzero(made[0])
+        apart = np.array(a[site].to_pylist(), dtype=object)[i] != np.array(b["ref"].to_pylist(), dtype=object)[j]
+        i, j = i[apart], j[apart]
+        return pa.table({**{k: a[k].take(pa.array(i)) for k in names}, "ref": b["ref"].take(pa.array(j)), **{s: pa.array(m[i, j]) for s, m in zip(sums, made, strict=True)}})
+
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("ref", ref_type), *[T.StructField(s, T.DoubleType()) for s in sums]])
+    parts = left.unionByName(right).groupBy("variable", "_block", "_l", "_r").applyInArrow(products, schema)
+    return parts.groupBy(*keys, "ref").agg(F.sum("ref_finite").cast("bigint").alias("ref_finite"), *[F.sum(c).alias(c) for c in _SUMS])
 
 
 def align_references(targets: DataFrame, panel: DataFrame, roles: DataFrame, value: str = "value", min_coverage: float = 0.8) -> DataFrame:
     """Training sites' same-variable series on each target's stamps, with pair sums.
 
-    A target is never its own reference. The join streams straight into a partial aggregation, so
-    only one row per (target, reference, variable) and task is shuffled, not the matched cells.
+    A target is never its own reference. A reference with fewer values than the shortest target needs is left out before pairs are made.
     """
     t = targets.select("site", "variable", "ts", F.col(value).alias("x"))
     n = targets.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("length"), F.count(value).alias("observed"))
-    d = t.join(_bank(panel, roles, value), ["variable", "ts"]).where("site <> ref")
-    s = d.groupBy("site", "variable", "ref").agg(F.count("y").alias("ref_finite"), *_moments())
-    s = s.join(n, list(SERIES)).withColumn("coverage", F.col("ref_finite") / F.col("length"))
+    bank = _bank(panel, roles, value)
+    least = n.groupBy("variable").agg(F.min("length").alias("_least"))
+    able = bank.groupBy("ref", "variable").agg(F.count(F.lit(1)).alias("_have")).join(least, "variable").where(F.col("_have") >= min_coverage * F.col("_least"))
+    bank = bank.join(able.select("ref", "variable"), ["ref", "variable"], "left_semi")
+    s = pair_sums(t, bank, SERIES).join(n, list(SERIES)).withColumn("coverage", F.col("ref_finite") / F.col("length"))
     return s.where(F.col("coverage") >= min_coverage)
 
 
@@ -54,12 +110,7 @@ def reference_correlations(
     """|r| of every admissible reference of every case x variable, without the hidden interval."""
     full = align_references(panel.join(spans.select(*SERIES).distinct(), list(SERIES), "left_semi"), panel, roles, value, min_coverage)
     hid = _hidden_values(spans, panel, value)
-    inside = (
-        hid.join(_bank(panel, roles, value), ["variable", "ts"])
-        .where("site <> ref")
-        .groupBy(*CASE_VAR, "ref")
-        .agg(*_moments("h_"))
-    )
+    inside = pair_sums(hid, _bank(panel, roles, value), CASE_VAR).select(*CASE_VAR, "ref", *[F.col(c).alias(f"h_{c}") for c in _SUMS])
     n_hid = hid.groupBy(*CASE_VAR).agg(F.count("x").alias("h_observed"))
     d = spans.select(*CASE_VAR).join(full, list(SERIES)).join(inside, [*CASE_VAR, "ref"], "left").join(n_hid, list(CASE_VAR), "left")
     net = {s: F.col(s) - F.coalesce(F.col(f"h_{s}"), F.lit(0.0)) for s in _SUMS}

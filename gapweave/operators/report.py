@@ -86,6 +86,26 @@ def context_curve(scores: DataFrame, setting: str, metric: str = "NMAE", by: Seq
     )
 
 
+def round_errors(trace: DataFrame, truth: DataFrame, ranges: DataFrame, passes: int) -> DataFrame:
+    """MAE and NMAE of every (case_id, site, variable) after rounds 0 to ``passes``, from a trace of changes.
+
+    ``trace`` has ``pred`` of all cells in round 0 and, of later rounds, only of cells that changed, with ``pred_before``. A cell is scored when it changes: its
+    error replaces the one before in the running sums, so a round in which nothing moves costs nothing. Cells without a true value do not count; fewer than two give NULL.
+    """
+    keys = ["case_id", "site", "variable"]
+    d = trace.join(truth.where("value is not null").select("site", "variable", "pos", "value"), ["site", "variable", "pos"])
+    first, error = F.col("round") == 0, lambda p: F.abs(F.col(p) - F.col("value"))
+    change = d.groupBy(*keys, "round").agg(F.sum(F.when(first, error("pred")).otherwise(error("pred") - error("pred_before"))).alias("_e"))
+    scored = d.where(first).groupBy(*keys).agg(F.count("pred").alias("n_eval"), (F.max("value") - F.min("value")).alias("truth_range"))
+    every = scored.withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(passes).cast("bigint"))))
+    w = Window.partitionBy(*keys).orderBy("round")
+    d = every.join(change, [*keys, "round"], "left").withColumn("_e", F.sum("_e").over(w)).join(ranges, ["site", "variable"], "left")
+    mae = F.when(F.col("n_eval") >= 2, F.col("_e") / F.col("n_eval"))
+    scale = F.when(F.col("full_range") > 1e-8, F.col("full_range")).when(F.col("truth_range") > 1e-8, F.col("truth_range"))
+    n = F.when(F.col("n_eval") >= 2, F.col("n_eval")).otherwise(F.lit(0)).cast("bigint")
+    return d.select(*keys, "round", mae.alias("mae"), ratio(mae, scale).alias("NMAE"), n.alias("n_eval"))
+
+
 def round_drift(per_round: DataFrame, unit: Sequence[str], metric: str = "mae", draws: int = 1000, seed: int = 42) -> DataFrame:
     """Error of each round relative to round 0 of the same unit (percent): mean, interval, best round."""
     from gapweave.operators.stats import bootstrap_means

@@ -31,11 +31,12 @@ def carry(
 ) -> DataFrame:
     """Attach the last / next non-NULL payload at or before / at or after each position.
 
-    ``prev`` and ``next`` map an output name to a payload expression; a NULL payload is "no mark".
+    ``prev`` and ``next`` map an output name to a payload expression; a NULL payload is "no mark". A frame that already has the chunk
+    number as ``_ck`` (of the same ``size``) and is dealt by it is not dealt again.
     """
     prev, next = dict(prev or {}), dict(next or {})
     d = df.withColumns(
-        {"_ck": _chunk(pos, size)}
+        ({} if "_ck" in df.columns else {"_ck": _chunk(pos, size)})
         | {f"_p_{k}": c for k, c in prev.items()}
         | {f"_n_{k}": c for k, c in next.items()}
     )

@@ -7,10 +7,14 @@ the Spark plans, so that agreement means something.
 from __future__ import annotations
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+KEPT: set[str] = set()
 
 
-def cte(name: str, deps: str, body: str) -> None:
+def cte(name: str, deps: str, body: str, kept: bool = False) -> None:
+    """``kept``: worked out once however often it is read."""
     CTES[name] = (tuple(deps.split()), body.strip())
+    if kept:
+        KEPT.add(name)
 
 
 def sql(needs: str, select: str) -> str:
@@ -29,7 +33,7 @@ def sql(needs: str, select: str) -> str:
     if not order:
         return select.strip()
     body = select.strip()  # a body starting with a comma adds CTEs of its own
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({CTES[n][1]})" for n in order) + "\n" + body
 
 
 def r(expr: str, alias: str, digits: int = 6) -> str:
@@ -296,6 +300,12 @@ SELECT site, variable, pos, CASE WHEN f IS NOT NULL THEN f WHEN pp IS NULL THEN
   FROM (SELECT p.site, p.variable, p.pos, coalesce(p.value, y.y) AS f FROM panel3 p LEFT JOIN wo_y y ON y.site = p.site AND y.variable = p.variable AND y.pos = p.pos)
   WINDOW a AS (PARTITION BY site, variable ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          b AS (PARTITION BY site, variable ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+cte("wu_pm", "panel3", "SELECT site, variable, w, avg(value) AS pm FROM (SELECT *, unnest([pos // 16 + 1, pos // 16 + 2]) AS w FROM panel3 WHERE value IS NOT NULL) GROUP BY 1, 2, 3")
+cte("wu_d", "wo_cover wu_pm", """
+SELECT c.site, c.variable, c.pos, c.value, c.w, p.pm, (c.pos - c.w * 16) // 8 AS patch FROM wo_cover c
+LEFT JOIN wu_pm p ON p.site = c.site AND p.variable = c.variable AND p.w = c.w WHERE c.w >= 0""")
+for name, needs in (("y", "wu_d"), ("fill", "panel3 wu_y")):
+    cte(f"wu_{name}", needs, CTES[f"wo_{name}"][1].replace("wo_", "wu_"))
 cte("mctx", "spans scaled", """
 SELECT case_id, variable, c AS context, pos, run_start, coalesce(last_value(z IGNORE NULLS) OVER a, first_value(z IGNORE NULLS) OVER b, 0) AS v FROM (
   SELECT s.case_id, s.variable, s.run_start, k.c, p.pos, p.z FROM spans s, (SELECT unnest([4, 8, 16])::BIGINT AS c) k, scaled p
@@ -315,8 +325,106 @@ SELECT model, context, case_id, site, variable, gap_len, {SCORE_COLS} FROM (
 cte("msite", "mscores", "SELECT model, context, site, sum(NMAE * n_eval) / sum(n_eval) AS NMAE FROM mscores WHERE NMAE IS NOT NULL GROUP BY 1, 2, 3")
 cte("msum", "msite", "SELECT model, context, avg(NMAE) AS mean, stddev_samp(NMAE) AS sd, count(*) AS n_sites FROM msite GROUP BY 1, 2")
 cte("mbest", "msum", "SELECT * FROM msum QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mean, 12), context) = 1")
-cte("rounds", "scores", """
-SELECT CASE model WHEN 'linear' THEN 0 WHEN 'bidir' THEN 1 WHEN 'ridge' THEN 2 ELSE 3 END AS round, site, case_id, variable, MAE AS mae, NMAE, n_eval FROM scores""")
+# refinement: every run's design from the estimates of a snapshot, centred normal equations, elimination row by row
+cte("rwin", "spans zfill", """
+SELECT s.case_id, s.site, s.variable, s.run_start, s.run_end, q.pos, q.ts, q.variable AS v, q.zf,
+       CASE WHEN q.pos < s.run_start THEN 'L' WHEN q.pos > s.run_end THEN 'R' ELSE 'G' END AS side
+FROM spans s JOIN zfill q ON q.site = s.site AND q.pos BETWEEN s.run_start - 32 AND s.run_end + 32""", True)
+cte("rref", "rwin refs refser", """
+SELECT w.case_id, w.variable, w.pos, list(q.x ORDER BY f.rank) AS xs FROM (SELECT DISTINCT case_id, site, variable, pos FROM rwin) w
+JOIN refs f ON f.case_id = w.case_id AND f.variable = w.variable JOIN refser q ON q.site = w.site AND q.variable = w.variable AND q.ref = f.ref AND q.pos = w.pos GROUP BY ALL""", True)
+cte("init2", "bidir_run", "SELECT case_id, site, variable, pos, y_hat FROM bidir_run", True)
+cte("init1", "sidefc", "SELECT case_id, site, variable, pos, CASE WHEN n_left > 0 THEN fw ELSE bw END AS y_hat FROM sidefc WHERE CASE WHEN n_left > 0 THEN fw ELSE bw END IS NOT NULL", True)
+_CAL = ["sin(2 * pi() * hour({0}) / 24)", "cos(2 * pi() * hour({0}) / 24)", "sin(2 * pi() * dayofyear({0}) / 365.25)", "cos(2 * pi() * dayofyear({0}) / 365.25)"]
+
+
+def refinement_pass(name: str, snap: str, refs: bool = True, calendar: bool = True, both_sides: bool = True) -> None:
+    """CTE ``name``: the estimates of ``snap`` after one synchronous ridge pass."""
+    cal = "[" + ", ".join(c.format("w.ts") for c in _CAL) + "]" if calendar else "[]::DOUBLE[]"
+    ref = "coalesce(any_value(g.xs), []::DOUBLE[])" if refs else "[]::DOUBLE[]"
+    join = "LEFT JOIN rref g ON g.case_id = w.case_id AND g.variable = w.variable AND g.pos = w.pos" if refs else ""
+    cte(f"{name}_x", f"rwin rref {snap}", f"""
+SELECT w.case_id, w.variable, w.pos, w.side, any_value(w.run_start) AS run_start, any_value(w.run_end) AS run_end,
+       max(coalesce(p.y_hat, w.zf)) FILTER (WHERE w.v = w.variable) AS y,
+       list_concat(list_concat(list(coalesce(p.y_hat, w.zf) ORDER BY w.v) FILTER (WHERE w.v <> w.variable), {cal}), {ref}) AS x
+FROM rwin w LEFT JOIN {snap} p ON p.case_id = w.case_id AND p.variable = w.v AND p.pos = w.pos {join} GROUP BY w.case_id, w.variable, w.pos, w.side, w.ts""", True)
+    cte(f"{name}_u", f"{name}_x", f"SELECT case_id, variable, side, pos, y, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM {name}_x WHERE side <> 'G'")
+    cte(f"{name}_c", f"{name}_u", f"""
+SELECT *, avg(v) OVER w AS mv, avg(y) OVER w AS my, count(*) OVER w AS n FROM {name}_u WINDOW w AS (PARTITION BY case_id, variable, side, i)""", True)
+    cte(f"{name}_a", f"{name}_c", f"""
+SELECT case_id, variable, side, i, n, mv, my, list_append(list(a ORDER BY j), any_value(b)) AS line FROM (
+  SELECT p.case_id, p.variable, p.side, p.i, q.i AS j, any_value(p.n) AS n, any_value(p.mv) AS mv, any_value(p.my) AS my,
+         sum((p.v - p.mv) * (q.v - q.mv)) + CASE WHEN p.i = q.i THEN 1 ELSE 0 END AS a, sum((p.v - p.mv) * (p.y - p.my)) AS b
+  FROM {name}_c p JOIN {name}_c q ON q.case_id = p.case_id AND q.variable = p.variable AND q.side = p.side AND q.pos = p.pos GROUP BY p.case_id, p.variable, p.side, p.i, q.i) GROUP BY ALL""")
+    sides = "" if both_sides else "AND side = 'L'"
+    cte(f"{name}_e", f"{name}_a", f"""
+SELECT case_id, variable, side, 1 AS p, list(line ORDER BY i) AS m, list(mv ORDER BY i) AS mx, any_value(my) AS my FROM {name}_a WHERE n >= 8 {sides} GROUP BY case_id, variable, side
+UNION ALL SELECT case_id, variable, side, p + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = p THEN list_transform(m[p], lambda v: v / m[p][p])
+  ELSE list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][p] * m[p][j] / m[p][p]) END), mx, my FROM {name}_e WHERE p <= len(m)""")
+    cte(f"{name}_b", f"{name}_e", f"SELECT case_id, variable, side, mx, my, list_transform(m, lambda r: r[len(r)]) AS beta FROM {name}_e WHERE p > len(m)", True)
+    fit = "b.my + list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - b.mx[i]) * b.beta[i]))"
+    cte(f"{name}_y", f"{name}_x {name}_b", f"""
+SELECT x.case_id, x.variable, x.pos, any_value(CASE WHEN x.run_end > x.run_start THEN 1 - CAST(x.pos - x.run_start AS DOUBLE) / (x.run_end - x.run_start) ELSE 0.5 END) AS wt,
+       max({fit}) FILTER (WHERE b.side = 'L') AS f, max({fit}) FILTER (WHERE b.side = 'R') AS g
+FROM {name}_x x JOIN {name}_b b ON b.case_id = x.case_id AND b.variable = x.variable WHERE x.side = 'G' GROUP BY x.case_id, x.variable, x.pos""")
+    cte(name, f"{snap} {name}_y", f"""
+SELECT s.case_id, s.site, s.variable, s.pos, coalesce(wt * f + (1 - wt) * g, f, g, s.y_hat) AS y_hat
+FROM {snap} s LEFT JOIN {name}_y y ON y.case_id = s.case_id AND y.variable = s.variable AND y.pos = s.pos""", True)
+
+
+refinement_pass("pass1", "init2")
+refinement_pass("pass2", "pass1")
+refinement_pass("noref1", "init2", refs=False)
+refinement_pass("nocal1", "init2", calendar=False)
+refinement_pass("once0", "init1", both_sides=False)
+cte("once1", "once0 init1 spans", """
+SELECT o.case_id, o.site, o.variable, o.pos, CASE WHEN s.run_start = 0 THEN i.y_hat ELSE o.y_hat END AS y_hat FROM once0 o
+JOIN init1 i ON i.case_id = o.case_id AND i.variable = o.variable AND i.pos = o.pos JOIN spans s ON s.case_id = o.case_id AND s.variable = o.variable""")
+# rounds until a case settles: pairs (case, variable) go on while the case's distance to the linear fill and their own estimate still move
+cte("conv0", "init1", "SELECT * FROM init1", True)
+cte("act0", "spans", "SELECT case_id, variable FROM spans", True)
+for i in range(1, 6):
+    refinement_pass(f"try{i}", f"conv{i - 1}", refs=False, both_sides=False)
+    cte(f"conv{i}", f"try{i} conv{i - 1} act{i - 1}", f"""
+SELECT o.case_id, o.site, o.variable, o.pos, CASE WHEN a.case_id IS NULL THEN o.y_hat ELSE t.y_hat END AS y_hat FROM conv{i - 1} o
+JOIN try{i} t ON t.case_id = o.case_id AND t.variable = o.variable AND t.pos = o.pos LEFT JOIN act{i - 1} a ON a.case_id = o.case_id AND a.variable = o.variable""", True)
+    cte(f"act{i}", f"act{i - 1} conv{i} conv{i - 1} p_linear", f"""
+SELECT a.case_id, a.variable FROM act{i - 1} a JOIN (SELECT case_id, coalesce(abs(after - before) / nullif(before, 0), 0) AS rel FROM (
+  SELECT l.case_id, sqrt(avg((n.y_hat - l.y_hat) ** 2)) AS after, sqrt(avg((o.y_hat - l.y_hat) ** 2)) AS before FROM p_linear l
+  JOIN conv{i} n ON n.case_id = l.case_id AND n.variable = l.variable AND n.pos = l.pos JOIN conv{i - 1} o ON o.case_id = l.case_id AND o.variable = l.variable AND o.pos = l.pos GROUP BY 1)) c USING (case_id)
+JOIN (SELECT n.case_id, n.variable, sqrt(avg((n.y_hat - o.y_hat) ** 2)) AS rms FROM conv{i} n JOIN conv{i - 1} o ON o.case_id = n.case_id AND o.variable = n.variable AND o.pos = n.pos GROUP BY 1, 2) d
+ON d.case_id = a.case_id AND d.variable = a.variable WHERE rel >= 1e-3 AND rms >= 5e-4""", True)
+cte("rounds", "init2 pass1 pass2 spans scaled scaler ranges", """
+SELECT round, site, case_id, variable, CASE WHEN n >= 2 THEN e END AS mae, CASE WHEN n >= 2 THEN e / CASE WHEN full_range > 1e-8 THEN full_range WHEN truth_range > 1e-8 THEN truth_range END END AS NMAE, CASE WHEN n >= 2 THEN n ELSE 0 END AS n_eval FROM (
+  SELECT p.round, p.site, p.case_id, p.variable, avg(abs(p.y_hat * (CASE WHEN c.hi = c.lo THEN 1 ELSE c.hi - c.lo END) + c.lo - t.value)) AS e, count(*) AS n, max(t.value) - min(t.value) AS truth_range
+  FROM (SELECT 0 AS round, * FROM init2 UNION ALL SELECT 1, * FROM pass1 UNION ALL SELECT 2, * FROM pass2) p
+  JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos
+  JOIN scaled t ON t.site = p.site AND t.variable = p.variable AND t.pos = p.pos AND t.value IS NOT NULL JOIN scaler c ON c.variable = p.variable GROUP BY ALL) JOIN ranges USING (site, variable)""", True)
+# vector autoregression of lag 1 on the past of all variables, filled inside the context only
+cte("vctx", "spans scaled", """
+SELECT case_id, variable, pos, list(z ORDER BY v) AS z FROM (
+  SELECT case_id, variable, v, pos, coalesce(last_value(z IGNORE NULLS) OVER (PARTITION BY case_id, variable, v ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(z IGNORE NULLS) OVER (PARTITION BY case_id, variable, v ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS z
+  FROM (SELECT s.case_id, s.variable, q.variable AS v, q.pos, q.z FROM spans s JOIN scaled q ON q.site = s.site AND q.pos BETWEEN s.run_start - 32 AND s.run_start - 1)) GROUP BY ALL""", True)
+cte("vpair", "vctx", "SELECT a.case_id, a.variable, a.pos, b.z AS x, a.z AS y FROM vctx a JOIN vctx b ON b.case_id = a.case_id AND b.variable = a.variable AND b.pos = a.pos - 1", True)
+cte("vlong", "vpair", "SELECT case_id, variable, pos, unnest(x) AS x, unnest(y) AS y, unnest(range(1, len(x) + 1)) AS i FROM vpair")
+cte("vcen", "vlong", "SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, count(*) OVER w AS n FROM vlong WINDOW w AS (PARTITION BY case_id, variable, i)", True)
+cte("vsys", "vcen", """
+SELECT case_id, variable, i, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, list_concat(list(a ORDER BY j), list(b ORDER BY j)) AS line FROM (
+  SELECT p.case_id, p.variable, p.i, q.i AS j, any_value(p.n) AS n, any_value(p.mx) AS mx, any_value(p.my) AS my, sum((p.x - p.mx) * (q.x - q.mx)) + CASE WHEN p.i = q.i THEN 1 ELSE 0 END AS a, sum((p.x - p.mx) * (q.y - q.my)) AS b
+  FROM vcen p JOIN vcen q ON q.case_id = p.case_id AND q.variable = p.variable AND q.pos = p.pos GROUP BY p.case_id, p.variable, p.i, q.i) GROUP BY case_id, variable, i""")
+cte("velim", "vsys", """
+SELECT case_id, variable, 1 AS p, list(line ORDER BY i) AS m, list(mx ORDER BY i) AS mx, list(my ORDER BY i) AS my FROM vsys WHERE n + 1 >= 8 GROUP BY 1, 2
+UNION ALL SELECT case_id, variable, p + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = p THEN list_transform(m[p], lambda v: v / m[p][p])
+  ELSE list_transform(range(1, len(m[1]) + 1), lambda j: m[i][j] - m[i][p] * m[p][j] / m[p][p]) END), mx, my FROM velim WHERE p <= len(m)""")
+cte("vroll", "velim vctx spans", """
+SELECT s.case_id, s.variable, s.run_start - 1 AS pos, s.run_end, c.z, e.m, e.mx, e.my FROM spans s JOIN vctx c ON c.case_id = s.case_id AND c.variable = s.variable AND c.pos = s.run_start - 1
+JOIN (SELECT * FROM velim WHERE p > len(m)) e ON e.case_id = s.case_id AND e.variable = s.variable
+UNION ALL SELECT case_id, variable, pos + 1, run_end, list_transform(range(1, len(z) + 1), lambda j: my[j] + list_sum(list_transform(range(1, len(z) + 1), lambda i: (z[i] - mx[i]) * m[i][len(z) + j]))), m, mx, my FROM vroll WHERE pos < run_end""")
+cte("var_fill", "p_linear init1 vroll scaled", """
+SELECT l.case_id, l.site, l.variable, l.pos, coalesce(v.z[o.i], i.y_hat, l.y_hat) AS y_hat FROM p_linear l
+JOIN (SELECT variable, row_number() OVER (ORDER BY variable) AS i FROM (SELECT DISTINCT variable FROM scaled)) o ON o.variable = l.variable
+LEFT JOIN vroll v ON v.case_id = l.case_id AND v.variable = l.variable AND v.pos = l.pos LEFT JOIN init1 i ON i.case_id = l.case_id AND i.variable = l.variable AND i.pos = l.pos""")
 cte("coarse6", "panel6", "SELECT site, variable, pos, floor(value / 40) * 40 AS value FROM panel6")
 cte("const6", "coarse6", """
 SELECT * FROM (SELECT site, variable, min(pos) AS a, max(pos) AS b, count(*) AS c FROM (

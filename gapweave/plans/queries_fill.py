@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.operators import forecast, impute, references, tabular
+from gapweave.operators import autoregress, forecast, impute, references, tabular
 from gapweave.operators.masking import centered_window
 from gapweave.plans import stages as st
 from gapweave.plans.ctes import r, sql
@@ -114,31 +115,14 @@ def _(s: Stages) -> DataFrame:
     return rounded(impute.final_fill(p, impute.case_linear(s.spans)))
 
 
-def _init(s: Stages, bidirectional: bool = True, spans: DataFrame | None = None) -> DataFrame:
-    sp = s.spans if spans is None else spans
-    p = forecast.bidirectional_init(sp, s.filled, forecast.seasonal_mean(st.SEASON), st.CONTEXT, st.MIN_SIDE, "zf", bidirectional, whole_run=True)
-    return p.select("case_id", "site", "variable", "pos", "y_hat")
-
-
-def _cells(s: Stages, use_refs: bool = True, use_calendar: bool = True) -> DataFrame:
-    vals = None
-    if use_refs:
-        series = references.reference_series(s.references, s.scaled, "z")
-        vals = forecast.case_reference_values(s.references, series, s.spans, st.CONTEXT)
-    return forecast.covariate_cells(s.spans, s.filled, st.CONTEXT, "zf", vals, use_calendar)
-
-
-RIDGE = forecast.ridge_forecaster(1.0)
-
-
 def _hidden(s: Stages, p: DataFrame) -> DataFrame:
     b = s.manifest.select("case_id", "start_pos", "end_pos")
     return p.join(b, "case_id").where("pos between start_pos and end_pos").select("case_id", "site", "variable", "pos", "y_hat")
 
 
-@query("G10_refine_sync")
+@query("G10_refine_sync", sql("pass2 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM pass2 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, forecast.refine_sync(_init(s), _cells(s), st.VARIABLES, RIDGE, 2, st.MIN_SIDE)))
+    return rounded(_hidden(s, forecast.refine_rounds(s.initial(), s.ridge_step(), 2)[-1]))
 
 
 @query(
@@ -147,7 +131,7 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     """Depth 0 is the initial estimate itself."""
-    return rounded(_hidden(s, forecast.refine_sync(_init(s), _cells(s), st.VARIABLES, RIDGE, 0, st.MIN_SIDE)))
+    return rounded(_hidden(s, forecast.refine_rounds(s.initial(), s.ridge_step(), 0)[-1]))
 
 
 @query(
@@ -160,33 +144,40 @@ def _(s: Stages) -> DataFrame:
     return rounded(impute.final_fill(p, impute.case_linear(s.spans)))
 
 
-@query("G11_refine_without_references")
+@query("G11_refine_without_references", sql("noref1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM noref1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, forecast.refine_sync(_init(s), _cells(s, use_refs=False), st.VARIABLES, RIDGE, 1, st.MIN_SIDE)))
+    return rounded(_hidden(s, s.ridge_step(use_refs=False)(s.initial())))
 
 
-@query("G11_refine_without_calendar")
+@query("G11_refine_without_calendar", sql("nocal1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM nocal1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, forecast.refine_sync(_init(s), _cells(s, use_calendar=False), st.VARIABLES, RIDGE, 1, st.MIN_SIDE)))
+    return rounded(_hidden(s, s.ridge_step(use_calendar=False)(s.initial())))
 
 
-@query("G12_refine_until_converged")
+@query("G12_refine_until_converged", sql("conv5 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM conv5 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    lin = impute.case_linear(s.spans)
-    cur, _ = forecast.refine_until_converged(_init(s, False), lin, _cells(s, False), st.VARIABLES, RIDGE, st.MIN_SIDE)
+    cur, _ = forecast.converge(s.initial(False), impute.case_linear(s.spans), s.ridge_step(use_refs=False, bidirectional=False))
     return rounded(_hidden(s, cur))
 
 
-@query("G13_impute_covariate_once")
+@query("G13_impute_covariate_once", sql("once1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM once1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    p = forecast.impute_covariate_once(_init(s, False), _cells(s), s.spans, st.VARIABLES, RIDGE, st.MIN_SIDE)
+    p = forecast.covariate_once(s.initial(False), s.ridge_step(bidirectional=False), s.spans)
     return rounded(_hidden(s, p))
 
 
-@query("G14_impute_multivariate_past")
+@query("G14_impute_multivariate_past", sql("var_fill", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM var_fill"))
 def _(s: Stages) -> DataFrame:
-    p = forecast.covariate_pass(_cells(s, False, False), _init(s, False), st.VARIABLES, RIDGE, st.MIN_SIDE, bidirectional=False, past_only=True)
-    return rounded(_hidden(s, p))
+    """Vector autoregression of lag 1; runs without a long enough past take the forward-only estimate, then the linear fill."""
+    p = autoregress.impute_multivariate_past(s.spans, s.scaled, st.CONTEXT, "z", st.VARIABLES, 1, 1.0, st.MIN_SIDE)
+    p = impute.final_fill(p, impute.final_fill(_hidden(s, s.initial(False)), impute.case_linear(s.spans)))
+    return rounded(p)
+
+
+@query("G14_multivariate_past_lags")
+def _(s: Stages) -> DataFrame:
+    """Three lags of every variable."""
+    return rounded(autoregress.impute_multivariate_past(s.spans, s.scaled, st.CONTEXT, "z", st.VARIABLES, 3, 1.0, st.MIN_SIDE))
 
 
 def _tabular(s: Stages, kind: str) -> DataFrame:
@@ -224,9 +215,10 @@ def _(s: Stages) -> DataFrame:
     return rounded(forecast.impute_forecast(s.spans, s.scaled, forecast.drift, 16, value="z"))
 
 
-@query("G17_covariate_forecaster")
+@query("G17_covariate_forecaster", sql("pass1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM pass1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    p = forecast.covariate_pass(_cells(s), _init(s), st.VARIABLES, RIDGE, st.MIN_SIDE)
+    """One pass of a user's forecaster, here the ridge as a NumPy function."""
+    p = forecast.covariate_pass(forecast.covariate_cells(s.spans, s.filled, st.CONTEXT, "zf", s.reference_values()), s.initial(), st.VARIABLES, forecast.ridge_forecaster(1.0), st.MIN_SIDE)
     return rounded(_hidden(s, p))
 
 
@@ -263,6 +255,16 @@ def _(s: Stages) -> DataFrame:
 
 @query("G20_windowed_overlap", sql("wo_fill", f"SELECT site, variable, pos, {r('filled', 'filled')} FROM wo_fill"))
 def _(s: Stages) -> DataFrame:
-    return rounded(forecast.impute_windowed_overlap(s.panel3, 32, 8, 8).select("site", "variable", "pos", "filled"))
+    return rounded(forecast.impute_windowed_overlap(s.panel3, 32, 8, forecast.phase_mean_window(32, 8)).select("site", "variable", "pos", "filled"))
+
 
+def _row_means(contexts, horizon):
+    """A window model a user would plug in: the mean of each context."""
+    mean = np.where(np.isnan(contexts), 0.0, contexts).sum(axis=1) / np.maximum((~np.isnan(contexts)).sum(axis=1), 1)
+    return np.repeat(mean[:, None], horizon, axis=1)
+
+
+@query("G20_windowed_overlap_user_function", sql("wu_fill", f"SELECT site, variable, pos, {r('filled', 'filled')} FROM wu_fill"))
+def _(s: Stages) -> DataFrame:
+    return rounded(forecast.impute_windowed_overlap(s.panel3, 32, 8, forecast.user_window(_row_means, 32)).select("site", "variable", "pos", "filled"))
 

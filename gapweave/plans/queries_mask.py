@@ -57,20 +57,28 @@ def _(s: Stages) -> DataFrame:
     return masking.mask_individual(s.panel3, 0.15, st.SEED).select("site", "variable", "pos", "hidden")
 
 
-@query(
-    "F7_mask_blocks",
-    sql("span3", f"""SELECT site, offs + slot * len AS start_pos, offs + slot * len + CASE WHEN rk <= target // len THEN len ELSE target % len END - 1 AS end_pos, target FROM (
-SELECT *, row_number() OVER (PARTITION BY site ORDER BY {hsh('42', 'site', 'slot')}, slot) AS rk FROM (
-SELECT *, unnest(range((n - offs) // len)) AS slot FROM (SELECT *, sh % len AS offs FROM (
-SELECT *, CASE WHEN (n - sh % 8) // 8 * 8 >= target THEN 8 WHEN (n - sh % 4) // 4 * 4 >= target THEN 4 WHEN (n - sh % 2) // 2 * 2 >= target THEN 2 ELSE 1 END AS len FROM (
-SELECT site, n, CAST(round(n * 0.2::DOUBLE) AS BIGINT) AS target, {hsh('42', 'site', "'shift'")} AS sh FROM span3)))))
-WHERE rk <= target // len OR (rk = target // len + 1 AND target % len > 0)"""),
-)
+def _blocks_sql(rate: float, block: int) -> str:
+    return f"""SELECT site, u + (rk - 1) * {block} - CASE WHEN rk > lastrk THEN short ELSE 0 END AS start_pos,
+u + rk * {block} - CASE WHEN rk >= lastrk THEN short ELSE 0 END - 1 AS end_pos, target FROM (
+SELECT *, max(rk) FILTER (WHERE b = blocks - 1) OVER (PARTITION BY site) AS lastrk FROM (
+SELECT *, row_number() OVER (PARTITION BY site ORDER BY h, b) AS rk, (h * (n - target + 1)) // 4294967296 AS u FROM (
+SELECT *, blocks * {block} - target AS short, {hsh('42', 'site', "'block'", 'b')} AS h FROM (
+SELECT *, unnest(range(blocks)) AS b FROM (SELECT *, (target + {block - 1}) // {block} AS blocks FROM (SELECT site, n, CAST(round(n * {rate}::DOUBLE) AS BIGINT) AS target FROM span3)))))) """
+
+
+@query("F7_mask_blocks", sql("span3", _blocks_sql(0.2, 8)))
 def _(s: Stages) -> DataFrame:
     sites = s.panel3.groupBy("site").agg((F.max("pos") + 1).alias("n"))
     return masking.mask_blocks(sites, 0.2, masking.block_points(24, st.STEP3), st.SEED)
 
 
+@query("F7_mask_blocks_dense", sql("span3", _blocks_sql(0.9, 7)))
+def _(s: Stages) -> DataFrame:
+    """Nine tenths hidden: blocks keep their length, only the last one drawn is shorter."""
+    sites = s.panel3.groupBy("site").agg((F.max("pos") + 1).alias("n"))
+    return masking.mask_blocks(sites, 0.9, 7, st.SEED)
+
+
 def _windows(s: Stages, length: int) -> DataFrame:
     wid = F.concat_ws(":", "site", F.expr(f"pos div {length}"))
     return s.scaled.select(wid.alias("window_id"), (F.col("pos") % length).alias("pos_in"), "variable", F.col("z").alias("value"))

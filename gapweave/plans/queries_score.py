@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators import masking, metrics, quality, references, report, stats
-from gapweave.operators.forecast import refine_sync
 from gapweave.plans import queries_fill as fill
 from gapweave.plans import stages as st
 from gapweave.plans.ctes import METRICS, POLY, SCORE_COLS, boot, holm_sql, paired, r, sql
@@ -172,33 +171,17 @@ def _(s: Stages) -> DataFrame:
 _DEPTH = "SELECT round AS refinements, avg(v) AS mean, stddev_samp(v) AS sd, count(*) AS n_sites FROM (SELECT round, site, sum(NMAE * n_eval) / sum(n_eval) AS v FROM rounds GROUP BY 1, 2) GROUP BY 1"
 
 
-def _rounds(s: Stages) -> DataFrame:
-    """Successively better informed fills as rounds 0-3 (linear, bidirectional, ridge, seasonal)."""
-    rnd = F.when(F.col("model") == "linear", 0).when(F.col("model") == "bidir", 1).when(F.col("model") == "ridge", 2).otherwise(3)
-    return s.scores.select(rnd.alias("round"), "site", "case_id", "variable", F.col("MAE").alias("mae"), "NMAE", "n_eval")
-
-
 @query("H14_select_depth", sql("rounds", f"SELECT refinements, {rr('mean', 'sd')}, n_sites FROM ({_DEPTH}) ORDER BY round(mean, 12), refinements LIMIT 1"))
 def _(s: Stages) -> DataFrame:
-    d = _rounds(s).withColumnRenamed("round", "refinements")
+    d = s.round_scores.withColumnRenamed("round", "refinements")
     return rounded(report.select_setting(d, "refinements", by=())[1])
 
 
-@query("H14_refinement_depths")
+@query("H14_refinement_depths", sql("rounds", f"""SELECT refinements, {r('mean', 'mean')}, n_sites, refinements = (SELECT refinements FROM d ORDER BY round(mean, 12), refinements LIMIT 1) AS is_minimum,
+{r('100 * (mean / (SELECT mean FROM d ORDER BY round(mean, 12), refinements LIMIT 1) - 1)', 'relative_percent')} FROM d""".replace("SELECT refinements,", f", d AS ({_DEPTH}) SELECT refinements,", 1)))
 def _(s: Stages) -> DataFrame:
-    """Scores of real refinement passes 0-2 and the chosen depth flagged."""
-    init, cells = fill._init(s), fill._cells(s)
-    truth = s.scaled.where("value is not null").select("site", "variable", "pos", "value")
-    from gapweave.operators.scaling import inverse_minmax
-
-    out, cur = None, init
-    for depth in range(3):
-        cur = init if depth == 0 else refine_sync(cur, cells, st.VARIABLES, fill.RIDGE, 1, st.MIN_SIDE)
-        p = fill._hidden(s, cur).withColumn("refinements", F.lit(depth).cast("bigint"))
-        out = p if out is None else out.unionByName(p)
-    d = inverse_minmax(out.join(truth, ["site", "variable", "pos"]), s.scaler, "y_hat", "pred").withColumn("model", F.lit("refined"))
-    sc = metrics.case_scores(d, s.ranges, ("model", "refinements", "case_id", "site", "variable"))
-    return rounded(report.context_curve(sc, "refinements", by=()))
+    """Scores of refinement passes 0-2, the chosen depth flagged."""
+    return rounded(report.context_curve(s.round_scores.withColumnRenamed("round", "refinements"), "refinements", by=()))
 
 
 @query("H15_context_curve", sql("msum mbest", f"SELECT s.model, s.context, {r('s.mean', 'mean')}, s.n_sites, s.context = b.context AS is_minimum, {r('100 * (s.mean / b.mean - 1)', 'relative_percent')} FROM msum s JOIN mbest b ON b.model = s.model"))
@@ -215,7 +198,7 @@ c AS (SELECT round, quantile_cont(drift, 0.025) AS low, quantile_cont(drift, 0.9
 SELECT round, {rr('mean_drift', 'low', 'high')}, n_units, round = (SELECT round FROM g ORDER BY round(mean_drift, 9), round LIMIT 1) AS is_best FROM g JOIN c USING (round)"""),
 )
 def _(s: Stages) -> DataFrame:
-    return rounded(report.round_drift(_rounds(s), ["site", "case_id", "variable"], "mae", 200))
+    return rounded(report.round_drift(s.round_scores, ["site", "case_id", "variable"], "mae", 200))
 
 
 @query(
@@ -223,7 +206,7 @@ def _(s: Stages) -> DataFrame:
     sql("rounds", f"SELECT scope, {r('b', 'before')}, {r('a', 'after')}, {r('100 * (1 - a / b)', 'drop_percent')} FROM (SELECT scope, avg(mae) FILTER (WHERE round = 0) AS b, avg(mae) FILTER (WHERE round = 1) AS a FROM (SELECT *, unnest(['ALL', variable]) AS scope FROM rounds) GROUP BY 1)"),
 )
 def _(s: Stages) -> DataFrame:
-    return rounded(report.ablation_steps(_rounds(s)))
+    return rounded(report.ablation_steps(s.round_scores))
 
 
 def _final_cols(col: str, values, cast: str = "") -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.operators import grid, impute, masking, scaling
+from gapweave.operators.forecast import Step
 from gapweave.plans.storage import materialize, materialize_all
 from gapweave.sources.events import event_observations
 
@@ -146,6 +147,44 @@ class Stages:
         case = self.manifest.select("case_id", "scenario", "vars_key", "gap_len", "repeat", "start_pos", "end_pos")
         return materialize(d.join(case, "case_id"), "cells", ("model",))
 
+    def initial(self, bidirectional: bool = True, spans: DataFrame | None = None) -> DataFrame:
+        """Estimate of round 0 over whole merged runs."""
+        from gapweave.operators import forecast
+
+        sp = self.spans if spans is None else spans
+        p = forecast.bidirectional_init(sp, self.filled, forecast.seasonal_mean(SEASON), CONTEXT, MIN_SIDE, "zf", bidirectional, whole_run=True)
+        return p.select("case_id", "site", "variable", "pos", "y_hat")
+
+    def reference_values(self) -> DataFrame:
+        from gapweave.operators import forecast, references as refs
+
+        return forecast.case_reference_values(self.references, refs.reference_series(self.references, self.scaled, "z"), self.spans, CONTEXT)
+
+    def ridge_step(self, use_refs: bool = True, use_calendar: bool = True, bidirectional: bool = True) -> Step:
+        """One refinement pass: ridge on the other variables, the calendar and three references."""
+        from gapweave.operators import moments
+
+        vals = self.reference_values() if use_refs else None
+        design = moments.run_design(self.spans, self.filled, CONTEXT, "zf", VARIABLES, vals, 3, use_calendar)
+        return design.step(1.0, MIN_SIDE, bidirectional)
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        """Estimates of refinement rounds 0-2; after round 0 the cells that changed, with what they were before."""
+        from gapweave.operators import forecast
+
+        return materialize(forecast.refine_trace(self.initial(), self.ridge_step(), 2), "trace")
+
+    @cached_property
+    def round_scores(self) -> DataFrame:
+        """MAE and NMAE of every case and variable after every round, physical units, hidden cells."""
+        from gapweave.operators.report import round_errors
+
+        bounds = self.manifest.select("case_id", "start_pos", "end_pos")
+        d = self.trace.join(bounds, "case_id").where("pos between start_pos and end_pos")
+        d = scaling.inverse_minmax(scaling.inverse_minmax(d, self.scaler, "y_hat", "pred"), self.scaler, "before", "pred_before")
+        return materialize(round_errors(d, self.panel6, self.ranges, 2), "round-scores")
+
     @cached_property
     def ranges(self) -> DataFrame:
         return self.panel6.groupBy("site", "variable").agg((F.max("value") - F.min("value")).alias("full_range"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,26 @@ def append_results(df: DataFrame, path: str, key: Sequence[str] = RESULT_KEY) ->
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(jpath) else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def reset_models(spark: SparkSession, path: str, backup: str, models: Sequence[str]) -> DataFrame:
-    """Copy the results to ``backup`` and rewrite them without the named models."""
-    spark.read.parquet(path).write.mode("errorifexists").partitionBy("model").parquet(backup)
-    kept = spark.read.parquet(backup).where(~F.col("model").isin(list(models)))
-    kept.write.mode("overwrite").partitionBy("model").parquet(path)
-    return spark.read.schema(kept.schema).parquet(path)
+    """Copy the named models' results to ``backup``, then empty their partitions and no others.
+
+    A partition is overwritten by a file without rows only after its rows are in the backup; partitions of other models are neither read in full nor written.
+    """
+    live = spark.read.parquet(path)
+    named = live.where(F.col("model").isin(list(models)))
+    named.write.mode("errorifexists").partitionBy("model").parquet(backup)
+    folders = named.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("at")).distinct().collect()
+    for folder in folders:  # one per model and rewritten part
+        live.drop("model").limit(0).write.mode("overwrite").parquet(unquote(folder.at))
+    return spark.read.schema(live.schema).parquet(path)
 
 
 def shard(df: DataFrame, n: int, i: int, key: str = "case_id") -> DataFrame:

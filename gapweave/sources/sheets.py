@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Header fragments that mark the date column.
 DATE_MARKS = ("수집일", "date", "time")
@@ -41,40 +44,38 @@ def list_sites(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
     return files.select(_site_of(F.col("path")).alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("files")).orderBy("site")
 
 
-def read_site_sheets(spark: SparkSession, path: str, pattern: str = "*.csv", mode: str = "strict") -> DataFrame:
-    """All sheets in one scan -> (site, variable, ts, value); bad numbers become NULL.
+def sheet_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(file, header): the first line of every sheet, found by one aggregation over the files' first blocks."""
+    reader = spark.read.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    heads = lines.where("_at = 0").groupBy("file").agg(F.min_by("value", "_i").alias("header"))
+    return heads.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+
 
-    Sheets may differ in columns and order, so lines are split by each file's own header. The
-    header of a file is its line at byte 0; it is found by one aggregation per file and joined back.
+def read_site_sheets(spark: SparkSession, path: str, pattern: str = "*.csv", mode: str = "strict", multi_line: bool = True) -> DataFrame:
+    """All sheets -> (site, variable, ts, value); bad numbers become NULL.
+
+    Sheets may differ in columns and order. Files with the same header line form a group that is read with its own CSV schema, so quoted commas, quotes
+    ("" inside quotes) and line breaks belong to their cell. A file with line breaks in cells cannot be cut; ``multi_line=False`` lets large sheets without them be read in
+    parts. Header lines and file names reach the driver, as they do for any reader's listing; cells never do. The date column is the first whose name holds a date mark, else the first.
     """
-    reader = spark.read.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    lines = reader.load(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        (F.col("_metadata.file_block_start") == 0).alias("_first"),
-        F.monotonically_increasing_id().alias("_i"),
-    )
-    heads = lines.where("_first").groupBy("_file").agg(F.min_by("value", "_i").alias("_header"), F.min("_i").alias("_hi"))
-    split = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
-    heads = heads.withColumn("_names", split(F.regexp_replace("_header", "^\ufeff", "")))
-    marks = F.filter(F.col("_names"), lambda n: _is_date(n))
-    heads = heads.withColumn("_date", F.coalesce(F.get(marks, F.lit(0)), F.get("_names", F.lit(0)))).drop("_header")
-    body = lines.join(heads, "_file").where("value <> '' and not (_first and _i = _hi)")
-    cells = body.select(
-        _site_of(F.col("_file")).alias("site"), "_date", F.map_from_arrays("_names", F.slice(split(F.col("value")), F.lit(1), F.size("_names"))).alias("_m")
-    )
-    cells = parse_timestamps(cells.withColumn("_raw", F.element_at("_m", F.col("_date"))), "_raw", mode)
-    long = cells.select("site", "ts", "_date", F.explode("_m").alias("variable", "_text")).where("variable <> _date")
-    num = F.col("_text").try_cast("double")
-    return long.select("site", "variable", "ts", F.when(~F.isnan(num), num).alias("value"))
-
-
-def _is_date(name: Column) -> Column:
-    low = F.lower(name)
-    hit = F.lit(False)
-    for m in DATE_MARKS:
-        hit = hit | low.contains(m)
-    return hit
+    groups: dict[str, list[str]] = {}
+    for r in sheet_headers(spark, path, pattern).collect():
+        groups.setdefault(r.header, []).append(r.file)
+    out = None
+    for header, files in sorted(groups.items()):
+        names = [n.strip() for n in next(csv.reader([header]), [""])]
+        cols = [f"_c{i}" for i in range(len(names))]
+        date = next((i for i, n in enumerate(names) if any(m in n.lower() for m in DATE_MARKS)), 0)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+        rows = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(sorted(files)).select(*cols, _site_of(F.col("_metadata.file_path")).alias("site"))
+        rows = parse_timestamps(rows.withColumnRenamed(cols[date], "_raw"), "_raw", mode)
+        cells = [F.struct(F.lit(n).alias("variable"), F.col(c).try_cast("double").alias("num")) for i, (n, c) in enumerate(zip(names, cols, strict=True)) if i != date]
+        if cells:
+            long = rows.select("site", "ts", F.inline(F.array(*cells))).select("site", "variable", "ts", F.when(~F.isnan("num"), F.col("num")).alias("value"))
+            out = long if out is None else out.unionByName(long)
+    return spark.createDataFrame([], "site string, variable string, ts timestamp_ntz, value double") if out is None else out
 
 
 def write_site_sheets(wide: DataFrame, path: str, date_column: str = "date") -> None:

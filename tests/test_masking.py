@@ -71,6 +71,16 @@ def test_blocks_are_disjoint_and_hit_the_target(spark):
         for s, n in (("a", 103), ("b", 40), ("c", 7)):
             hit = [t for r in d[d.site == s].itertuples() for t in range(r.start_pos, r.end_pos + 1)]
             assert len(hit) == len(set(hit)) == round(n * rate) and all(0 <= t < n for t in hit)
+            sizes = sorted(r.end_pos - r.start_pos + 1 for r in d[d.site == s].itertuples())
+            assert sizes[1:] == [8] * (len(sizes) - 1) and (sizes[0] == 8 or sizes[0] == round(n * rate) % 8)
+
+
+def test_blocks_stand_anywhere(spark):
+    """Over many sites every start is used and none is favoured, so there is no lattice."""
+    d = masking.mask_blocks(spark.range(4000).selectExpr("'s' || id AS site", "20L AS n"), 0.25, 5).toPandas()
+    assert (d.end_pos - d.start_pos == 4).all() and len(d) == 4000
+    counts = d.start_pos.value_counts()
+    assert set(counts.index) == set(range(16)) and counts.min() > 180 and counts.max() < 330
 
 
 def test_two_phases_cover_everything(spark):
