@@ -286,7 +286,7 @@ def covariate_cells(
 
     ``max_horizon`` is for a forecaster that cannot go further: longer runs then get no rows and keep the estimate they came with.
 
-    Columns: case_id, site, variable, pos, side (L, G, R), y, others (map variable -> value), fixed
+    Columns: case_id, site, variable, run_start, run_end, pos, side (L, G, R), vals (map variable -> value), fixed
     (calendar and reference values).
     """
     wide = panel.groupBy("site", "pos", "ts").agg(
@@ -299,7 +299,7 @@ def covariate_cells(
     d = interval_join(iv, wide, "_lo", "_hi", ("site",))
     side = F.when(F.col("pos") < F.col("run_start"), "L").when(F.col("pos") > F.col("run_end"), "R").otherwise("G")
     cal = list(calendar("ts").values()) if use_calendar else []
-    d = d.select(*CASE_VAR, "pos", side.alias("side"), "vals", F.array(*cal).cast("array<double>").alias("fixed"))
+    d = d.select(*CASE_VAR, "run_start", "run_end", "pos", side.alias("side"), "vals", F.array(*cal).cast("array<double>").alias("fixed"))
     if refs is not None:
         r = refs.groupBy("case_id", "site", "variable", "pos").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref_value"))), lambda s: s["ref_value"]).alias("_r")
@@ -383,19 +383,19 @@ def covariate_step(cells: DataFrame, variables: Sequence[str], fc: CovForecaster
     return Step(cells.select(*CASE_VAR).distinct(), run)
 
 
-def refine_rounds(init: DataFrame, step: Step, passes: int) -> list[DataFrame]:
-    """Estimates after 0, 1, ... ``passes`` synchronous passes, each written out."""
+def refine_rounds(init: DataFrame, step: Step, passes: int, written: bool = False) -> list[DataFrame]:
+    """Estimates after 0, 1, ... ``passes`` synchronous passes, each written out; ``written`` says that ``init`` is a table already."""
     from gapweave.plans.storage import materialize
 
-    rounds = [materialize(init, "init")]
+    rounds = [init if written else materialize(init, "init")]
     for i in range(passes):
         rounds.append(materialize(step(rounds[-1]), f"pass{i + 1}"))
     return rounds
 
 
-def refine_trace(init: DataFrame, step: Step, passes: int) -> DataFrame:
+def refine_trace(init: DataFrame, step: Step, passes: int, written: bool = False) -> DataFrame:
     """Every round as one table: case_id, site, variable, pos, round, y_hat, before. Rounds after 0 have only the cells that changed, with their estimate ``before``."""
-    rounds = refine_rounds(init, step, passes)
+    rounds = refine_rounds(init, step, passes, written)
     keys, at = [*CASE_VAR, "pos"], lambda i: F.lit(i).cast("bigint").alias("round")
     out = rounds[0].select(*keys, at(0), "y_hat", F.lit(None).cast("double").alias("before"))
     for i, (old, new) in enumerate(zip(rounds[:-1], rounds[1:], strict=True), 1):

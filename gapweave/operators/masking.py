@@ -14,7 +14,9 @@ from gapweave.operators.series import CHUNK, SERIES, carry, lowest_per_group, pr
 def scenario_table(spark: SparkSession, variables: Sequence[str], group_b: Sequence[str]) -> DataFrame:
     """Scenario A hides each variable alone, B the indoor group, C all variables."""
     rows = [("A", [v]) for v in sorted(variables)] + [("B", sorted(group_b)), ("C", sorted(variables))]
-    return spark.createDataFrame(rows, "scenario string, masked_vars array<string>")
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({text(s)}, array({', '.join(map(text, names))}))" for s, names in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(scenario, masked_vars)")  # a local relation: reading it starts no job
 
 
 def observed_bits(panel: DataFrame, variables: Sequence[str], size: int = CHUNK) -> DataFrame:

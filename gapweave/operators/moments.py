@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from gapweave.operators.forecast import Step, covariate_cells, fuse_cell
 from gapweave.operators.impute import CASE_VAR
-from gapweave.operators.masking import interval_join
 
 
 @dataclass(frozen=True)
@@ -85,28 +84,22 @@ def run_design(
     spans: DataFrame, panel: DataFrame, ctx: int, value: str, variables: Sequence[str], refs: DataFrame | None = None, n_refs: int = 3, use_calendar: bool = True,
 ) -> RunDesign:
     """Design of every run of ``spans``: other variables, calendar and at most ``n_refs`` references; written once, read by every pass."""
-    from gapweave.plans.storage import materialize, materialize_all
+    from gapweave.plans.storage import materialize
 
     width = (4 if use_calendar else 0) + (n_refs if refs is not None else 0)
     cells = covariate_cells(spans, panel, ctx, value, refs, use_calendar)
     est = F.array(*[F.element_at("vals", F.lit(v)) for v in variables])
     fixed = F.expr(f"slice(concat(transform(fixed, v -> coalesce(v, 0D)), array_repeat(0D, {width})), 1, {width})")
     target = (F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable")) - 1).cast("int")
-    cells = materialize(cells.select(*CASE_VAR, "pos", "side", target.alias("target"), est.alias("est"), fixed.alias("fixed")), "design")
-    k = len(variables) + width
-
-    def sums() -> DataFrame:
-        rows = cells.where("side <> 'G'").select(*CASE_VAR, "side", F.expr(_vectors("est", variables)).alias("x"), F.expr("est[target]").alias("y")).where("y is not null")
-        return rows.groupBy(*CASE_VAR, "side").agg(moment_sums("x", "y", k).alias("s"))
-
-    def live() -> DataFrame:
-        runs = spans.select("case_id", "site", "run_start", "run_end")
-        read = interval_join(runs, panel.select("site", "pos").distinct(), "run_start", "run_end").select("case_id", "site", "pos").distinct()
-        bounds = spans.select(*CASE_VAR, "run_start", (F.col("run_end") - F.col("run_start") + 1).alias("n"))
-        return cells.join(read, ["case_id", "site", "pos"], "left_semi").join(bounds, list(CASE_VAR)).withColumn("i", F.col("pos") - F.col("run_start")).drop("run_start")
-
-    made = materialize_all({"sums": sums, "live": live}, "design")
-    return RunDesign(made[0], made[1], tuple(variables), width)
+    runs = spans.groupBy("case_id", "site").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))  # one a variable
+    cells = cells.join(runs, ["case_id", "site"]).select(
+        *CASE_VAR, "pos", "side", (F.col("pos") - F.col("run_start")).alias("i"), (F.col("run_end") - F.col("run_start") + 1).alias("n"),
+        target.alias("target"), est.alias("est"), fixed.alias("fixed"), F.exists("runs", lambda r: F.col("pos").between(r["run_start"], r["run_end"])).alias("live"),
+    )
+    cells = materialize(cells, "design")
+    rows = cells.where("side <> 'G'").select(*CASE_VAR, "side", F.expr(_vectors("est", variables)).alias("x"), F.expr("est[target]").alias("y")).where("y is not null")
+    sums = rows.groupBy(*CASE_VAR, "side").agg(moment_sums("x", "y", len(variables) + width).alias("s"))
+    return RunDesign(materialize(sums, "design-sums"), cells.where("live").drop("live"), tuple(variables), width)
 
 
 def _ridge_pass(design: RunDesign, snapshot: DataFrame, alpha: float, min_side: int, bidirectional: bool) -> DataFrame:

@@ -56,8 +56,10 @@ def pair_sums(rows: DataFrame, bank: DataFrame, keys: Sequence[str], tile: int =
     pack = F.collect_list(F.struct("at", F.col("v").alias("v")))
     left = rows.select(*keys, micros("ts").alias("at"), F.col("x").alias("v")).groupBy(*keys, cut).agg(pack.alias("c"))
     right = bank.select("ref", "variable", micros("ts").alias("at"), F.col("y").alias("v")).groupBy("ref", "variable", cut).agg(pack.alias("c"))
-    count = lambda d, k: d.select(*k).distinct().groupBy("variable").count().agg(F.max("count")).first()[0] or 0
-    tiles = [max(-(-count(rows, keys) // tile), 1), max(-(-count(bank, ["ref", "variable"]) // tile), 1)]
+    names_of = lambda d, side, k: d.select(F.lit(side).alias("side"), "variable", F.xxhash64(*k).alias("h"))
+    both = names_of(rows, 0, keys).unionByName(names_of(bank, 1, ["ref", "variable"]))
+    most = dict(both.groupBy("side", "variable").agg(F.approx_count_distinct("h").alias("c")).groupBy("side").agg(F.max("c")).collect())  # how many series; only the size of tiles follows
+    tiles = [max(-(-most.get(side, 0) // tile), 1) for side in (0, 1)]
     deal = lambda k, n: F.pmod(F.xxhash64(*k), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     ref_type = bank.schema["ref"].dataType

@@ -120,9 +120,14 @@ def _hidden(s: Stages, p: DataFrame) -> DataFrame:
     return p.join(b, "case_id").where("pos between start_pos and end_pos").select("case_id", "site", "variable", "pos", "y_hat")
 
 
+def _one_pass(s: Stages, **design: bool) -> DataFrame:
+    init, step = s.refinement(**design)
+    return _hidden(s, step(init))
+
+
 @query("G10_refine_sync", sql("pass2 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM pass2 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, forecast.refine_rounds(s.initial(), s.ridge_step(), 2)[-1]))
+    return rounded(_hidden(s, forecast.refine_rounds(*s.refinement(), 2, written=True)[-1]))
 
 
 @query(
@@ -146,23 +151,24 @@ def _(s: Stages) -> DataFrame:
 
 @query("G11_refine_without_references", sql("noref1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM noref1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, s.ridge_step(use_refs=False)(s.initial())))
+    return rounded(_one_pass(s, use_refs=False))
 
 
 @query("G11_refine_without_calendar", sql("nocal1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM nocal1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    return rounded(_hidden(s, s.ridge_step(use_calendar=False)(s.initial())))
+    return rounded(_one_pass(s, use_calendar=False))
 
 
 @query("G12_refine_until_converged", sql("conv5 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM conv5 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    cur, _ = forecast.converge(s.initial(False), impute.case_linear(s.spans), s.ridge_step(use_refs=False, bidirectional=False))
+    init, step = s.refinement(False, use_refs=False)
+    cur, _ = forecast.converge(init, impute.case_linear(s.spans), step)
     return rounded(_hidden(s, cur))
 
 
 @query("G13_impute_covariate_once", sql("once1 spans", f"SELECT {CV}, {r('y_hat', 'y_hat')} FROM (SELECT p.* FROM once1 p JOIN spans s ON s.case_id = p.case_id AND s.variable = p.variable AND p.pos BETWEEN s.start_pos AND s.end_pos)"))
 def _(s: Stages) -> DataFrame:
-    p = forecast.covariate_once(s.initial(False), s.ridge_step(bidirectional=False), s.spans)
+    p = forecast.covariate_once(*s.refinement(False), s.spans)
     return rounded(_hidden(s, p))
 
 

@@ -168,12 +168,20 @@ class Stages:
         design = moments.run_design(self.spans, self.filled, CONTEXT, "zf", VARIABLES, vals, 3, use_calendar)
         return design.step(1.0, MIN_SIDE, bidirectional)
 
+    def refinement(self, both_sides: bool = True, **design: bool) -> tuple[DataFrame, Step]:
+        """The written estimate of round 0 and the pass that follows, prepared side by side."""
+        self.filled, self.references  # noqa: B018
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            init = pool.submit(lambda: materialize(self.initial(both_sides), "init"))
+            step = pool.submit(lambda: self.ridge_step(bidirectional=both_sides, **design))
+            return init.result(), step.result()
+
     @cached_property
     def trace(self) -> DataFrame:
         """Estimates of refinement rounds 0-2; after round 0 the cells that changed, with what they were before."""
         from gapweave.operators import forecast
 
-        return materialize(forecast.refine_trace(self.initial(), self.ridge_step(), 2), "trace")
+        return materialize(forecast.refine_trace(*self.refinement(), 2, written=True), "trace")
 
     @cached_property
     def round_scores(self) -> DataFrame:
