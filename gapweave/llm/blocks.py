@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapweave.llm import common
+from gapweave.plans.storage import materialize
 
-#: Pages that training reads at most, blocks of a training page at most, re-arranged copies of each, sizes of the vectors and of the hidden state.
-SAMPLE, TRAIN_BLOCKS, COPIES, PATH_DIM, WORD_DIM, HIDDEN = 100, 80, 8, 192, 16, 16
+#: Pages that training reads at most, blocks of a stretch (training reads a long page stretch by stretch, all of it), re-arranged copies of each, sizes of the vectors and of the hidden state.
+SAMPLE, STRETCH, COPIES, PATH_DIM, WORD_DIM, HIDDEN = 100, 80, 8, 192, 16, 16
 #: Cells (pages x blocks) that the network reads at a time.
 CELLS = 65_536
 
@@ -38,13 +40,14 @@ BREAKOUT = frozenset(
 PHRASING = frozenset("noscript object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Names of page parts that are not main text, and of those that hold it.
+# Names of page parts that are not main text.
 OTHER = frozenset(
     "nav menu menubar navbar navigation header masthead footer aside sidebar ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies "
     "consent notice alert popup modal dialog newsletter subscribe signup form button select search login comment comments reply replies respond disqus share sharing social related "
     "recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal".split()
 )
-MAIN = frozenset("article main content post entry story body text page".split())
+# Beginnings of class names that say what a page has or lacks, not what an element is.
+ABOUT_PAGE = ("has-", "no-", "with-", "without-", "is-", "hide-", "show-")
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>""", re.S | re.I)
@@ -54,15 +57,29 @@ NAME_PART = re.compile(r"[a-z]+")
 
 
 def _tokens(tag: str, attributes: str) -> str:
-    if "=" not in attributes:
+    """The element's name and the words of its class, id and role; those of the whole page and of what it has or lacks do not count."""
+    if "=" not in attributes or tag in ("html", "body"):
         return tag
-    parts = [p for m in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall((m[2] or m[3] or m[4] or "").lower())]
+    names = [n for m in ATTRIBUTE.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().replace("_", "-").split() if not n.startswith(ABOUT_PAGE)]
+    parts = [p for n in names for p in NAME_PART.findall(n)]
     return " ".join([tag, *("." + p for p in parts)])
 
 
+def _path(stack: list[tuple[str, str, str]]) -> str:
+    if not stack:
+        return ""
+    _, element, above = stack[-1]
+    return above if above == element or above.endswith(">" + element) else above + ">" + element
+
+
 def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
-    """(path, text, share of its characters inside links) of every non-blank leaf block; elements of the path are joined by ``>``."""
-    stack: list[tuple[str, str]] = []
+    """(path, text, share of its characters inside links) of every non-blank leaf block; elements of the path are joined by ``>``.
+
+    Of like elements inside each other the path names one, and the last element always; so it does not grow with the nesting of a page.
+    """
+    stack: list[tuple[str, str, str]] = []  # tag, element, elements above and here
+    open_tags: Counter[str] = Counter()
+    open_elements: Counter[str] = Counter()
     out: list[tuple[str, str, float]] = []
     text: list[str] = []
     linked = in_link = pos = foreign = 0
@@ -72,10 +89,16 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                out.append((">".join(t for _, t in stack), words, min(1.0, linked / len(words))))
+                out.append((_path(stack), words, min(1.0, linked / len(words))))
             text.clear()
             linked = 0
 
+    def leave(k: int) -> None:
+        for tag, element, _ in stack[k:]:
+            open_tags[tag] -= 1
+            open_elements[element] -= 1
+        del stack[k:]
+
     def add(piece: str) -> None:
         nonlocal linked
         if piece:
@@ -95,7 +118,7 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
         if tag in FOREIGN:
             foreign = max(foreign - 1, 0) if closing else foreign + (not m[4].endswith("/"))
             continue
-        if foreign and not (any(t == tag for t, _ in stack) if closing else tag in BREAKOUT):
+        if foreign and not (open_tags[tag] if closing else tag in BREAKOUT):
             continue
         foreign = 0
         if tag == "br":
@@ -107,18 +130,19 @@ def leaf_blocks(page: str) -> list[tuple[str, str, float]]:
         elif closing:
             flush()
             in_link = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
         else:
             flush()
             in_link = 0
             inside = tag in PHRASING or "-" in tag
             if stack and (stack[-1][0] == "p" and not inside or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
+                leave(len(stack) - 1)
             if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, _tokens(tag, m[4])))
+                element, above = _tokens(tag, m[4]), stack[-1][2] if stack else ""
+                stack.append((tag, element, above if open_elements[element] else (above + ">" + element if above else element)))
+                open_tags[tag] += 1
+                open_elements[element] += 1
     add(page[pos:])
     flush()
     return out
@@ -281,10 +305,11 @@ def rearranged(blocks: list[tuple[str, str, float]], strangers: list[str], rng:
 def train_pages(pages: list[str], epochs: int = 16, rate: float = 0.01, seed: int = 6) -> BiLstm:
     rng, feats = np.random.default_rng(seed), Features()
     model = BiLstm(PATH_DIM + WORD_DIM + 3)
-    cut = [b[:TRAIN_BLOCKS] for p in pages if (b := leaf_blocks(p))]
-    strangers = [t for b in cut for _, t, _ in b] or ["text"]
-    labelled = [[(*x, named_part(x[0])) for x in b] for b in cut]
-    labelled += [rearranged(b, strangers, rng)[:TRAIN_BLOCKS] for b in cut for _ in range(COPIES)]
+    whole = [b for p in pages if (b := leaf_blocks(p))]
+    strangers = [t for b in whole for _, t, _ in b] or ["text"]
+    labelled = [[(*x, named_part(x[0])) for x in b] for b in whole]
+    labelled += [rearranged(b, strangers, rng) for b in whole for _ in range(COPIES)]
+    labelled = [b[at : at + STRETCH] for b in labelled for at in range(0, len(b), STRETCH)]
     rows = [(feats.of([x[:3] for x in b]), np.array([x[3] for x in b], np.float32)) for b in labelled]
     m, v, step = {k: np.zeros_like(p) for k, p in model.p.items()}, {k: np.zeros_like(p) for k, p in model.p.items()}, 0
     for e in range(epochs):
@@ -304,9 +329,13 @@ def train_pages(pages: list[str], epochs: int = 16, rate: float = 0.01, seed: in
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> BiLstm:
-    """Model from the first ``sample`` pages in hash order (each cut to its first blocks on the executors)."""
-    src = pages.where(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("key")).orderBy("key", "html").limit(sample)
-    return train_pages([r["html"] for r in src.select("html").toLocalIterator()])
+    """Model from the first ``sample`` pages in hash order. Only pages whose hash lies below four times the wanted share are ordered, by their hashes; html is fetched for the chosen ones."""
+    src = pages.where(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("key"), F.xxhash64("html").alias("text"))
+    n = src.count()
+    near = src.where(F.col("key") / 2.0**64 + 0.5 <= 4.0 * sample / max(n, 1)) if n > 4 * sample else src
+    chosen = materialize(near.select("key", "text").distinct().orderBy("key", "text").limit(sample), "training-pages")
+    rows = near.join(chosen, ["key", "text"], "left_semi").dropDuplicates(["key", "text"]).orderBy("key", "text")
+    return train_pages([r["html"] for r in rows.select("html").toLocalIterator()])
 
 
 def label(model: BiLstm, feats: Features, pages: list[list[tuple[str, str, float]]]) -> list[np.ndarray]:

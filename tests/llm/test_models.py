@@ -98,6 +98,11 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a
 <form><button>Go</button></form><section id="comments"><p>Nice post, thanks a lot for it.</p></section><footer>&copy; me</footer>"""
 
 
+@pytest.fixture(scope="module")
+def layouts(spark):
+    return blocks.train(common.table(spark, SF, "pages"))
+
+
 def test_leaf_blocks_and_other_layouts(spark):
     assert [t for p, t, _ in blocks.leaf_blocks(PAGE) if "main" in p] == ["Big & bold", "One word, two. Three", "item"]
     assert blocks.leaf_blocks("") == [] and blocks.leaf_blocks("<p>a <!-- b") == [("p", "a", 0.0)] and blocks.leaf_blocks("1 < 2 <p")[0][1].startswith("1 < 2")
@@ -156,3 +161,37 @@ def test_lstm_gradients():
         down = loss()
         v[at] += 1e-3
         assert abs((up - down) / 2e-3 - grads[k][at]) < 2e-3
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    deep = blocks.leaf_blocks("<div>" * 8000 + "text<p>x</p>" * 8000 + "</span>" * 8000)
+    closed = blocks.leaf_blocks("<div class='a'>" * 4000 + "</section>" * 8000 + "<p>y")
+    assert time.perf_counter() - t < 4 and len(deep) == 16000 and {p for p, _, _ in deep} == {"div", "div>p"}
+    assert closed == [("div .a>p", "y", 0.0)]
+
+
+@pytest.mark.parametrize("before,after", [("<body class='home no-sidebar'><div class='post'>", "</div></body>"), ("<div class='post has-comments'>", "</div>"), ("<article>", "</article>")])
+def test_classes_that_describe_the_page_do_not_hide_the_article(spark, layouts, before, after):
+    body = "<h1>Heading here</h1><p>First words of it, long enough.</p><p>Second words of it, long enough.</p><ul><li>one item</li><li>two items</li></ul>"
+    page = f"<html>{before}{body}{after}<footer>Copyright</footer></html>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert blocks.extract(df, layouts).first().text == "Heading here First words of it, long enough. Second words of it, long enough. one item two items"
+
+
+def test_all_of_a_long_page_is_trained_on():
+    seen = []
+
+    class Spy(blocks.BiLstm):
+        def gradients(self, x, n, y):
+            seen.extend(n.tolist())
+            return super().gradients(x, n, y)
+
+    real, blocks.BiLstm = blocks.BiLstm, Spy
+    try:
+        blocks.train_pages(["<p>a</p>" * 200], epochs=1)
+    finally:
+        blocks.BiLstm = real
+    assert max(seen) <= blocks.STRETCH and sum(seen) >= 200 * (1 + blocks.COPIES)
