@@ -1,7 +1,7 @@
 """Forecast-based fills: context arrays, built-in forecasters, bidirectional fusion and refinement.
 
-A run's context is at most ``ctx`` positions per side, so it travels as a bounded array. Built-in
-forecasters are column expressions on that array; a user forecaster is an Arrow-batched function.
+A run's context is at most ``ctx`` positions per side. Built-in forecasters have a closed form: a context is summed up by run and phase, and every cell of the run, however
+long, is an expression of those few numbers and its distance from the run's edge. A user forecaster is an Arrow-batched function and gets the context as an array.
 """
 
 from __future__ import annotations
@@ -34,31 +34,50 @@ def _at(arr: Column, i0: Column) -> Column:
     return F.get(arr, i0.cast("int"))
 
 
-def last_value(ctx: Column, h: Column) -> Column:
-    return F.array_repeat(F.element_at(ctx, -1), h.cast("int"))
+@dataclass(frozen=True)
+class ClosedForm:
+    """A built-in forecaster. ``value(state, i)`` is the value of step ``i`` (from 0) by the state of a context (``context_states``); ``arrays`` the same over a context array.
+
+    A state has ``n`` (cells), ``last`` and ``first`` (nearest to the run and farthest from it), and by phase of ``season``, 0 being that of step 0, the ``mean`` and the ``nearest`` value.
+    """
+
+    season: int
+    value: Callable[[dict[str, Column], Column], Column]
+    arrays: Forecaster
 
+    def __call__(self, ctx: Column, h: Column) -> Column:
+        return self.arrays(ctx, h)
 
-def drift(ctx: Column, h: Column) -> Column:
-    """Last value plus the average step of the context."""
-    n = F.size(ctx)
-    slope = F.when(n > 1, F.try_divide(F.element_at(ctx, -1) - _at(ctx, F.lit(0)), (n - 1).cast("double"))).otherwise(F.lit(0.0))
+
+def _slope(n: Column, last: Column, first: Column) -> Column:
+    return F.when(n > 1, F.try_divide(last - first, (n - 1).cast("double"))).otherwise(F.lit(0.0))
+
+
+def _drift_array(ctx: Column, h: Column) -> Column:
+    slope = _slope(F.size(ctx), F.element_at(ctx, -1), _at(ctx, F.lit(0)))
     return F.transform(_steps(h), lambda i: F.element_at(ctx, -1) + slope * (i + 1))
 
 
-def seasonal_last(m: int) -> Forecaster:
+last_value = ClosedForm(1, lambda s, i: s["last"], lambda ctx, h: F.array_repeat(F.element_at(ctx, -1), h.cast("int")))
+
+#: Last value plus the average step of the context.
+drift = ClosedForm(1, lambda s, i: s["last"] + _slope(s["n"], s["last"], s["first"]) * (i + 1), _drift_array)
+
+
+def seasonal_last(m: int) -> ClosedForm:
     """The value one season (or the needed multiple) back; short contexts repeat the last value."""
 
-    def fc(ctx: Column, h: Column) -> Column:
+    def arrays(ctx: Column, h: Column) -> Column:
         n = F.size(ctx)
         return F.transform(_steps(h), lambda i: F.when(n >= m, _at(ctx, n - m + i % m)).otherwise(F.element_at(ctx, -1)))
 
-    return fc
+    return ClosedForm(m, lambda s, i: F.when(s["n"] >= m, F.element_at(s["nearest"], (i % m).cast("int"))).otherwise(s["last"]), arrays)
 
 
-def seasonal_mean(m: int) -> Forecaster:
+def seasonal_mean(m: int) -> ClosedForm:
     """Mean of the context values in the same phase; a phase without values takes the last value."""
 
-    def fc(ctx: Column, h: Column) -> Column:
+    def arrays(ctx: Column, h: Column) -> Column:
         n = F.size(ctx)
         phases = F.transform(
             F.sequence(F.lit(0), F.lit(m - 1)),
@@ -71,7 +90,7 @@ def seasonal_mean(m: int) -> Forecaster:
         )
         return F.transform(_steps(h), lambda i: _at(phases, i % m))
 
-    return fc
+    return ClosedForm(m, lambda s, i: F.coalesce(F.element_at(s["mean"], (i % m).cast("int")), s["last"]), arrays)
 
 
 def user_forecaster(fn: Callable[[np.ndarray, int], np.ndarray], on_error: str = "null") -> Forecaster:
@@ -102,15 +121,14 @@ def user_forecaster(fn: Callable[[np.ndarray, int], np.ndarray], on_error: str =
 # ---------------------------------------------------------------- contexts
 
 
-def context_arrays(spans: DataFrame, panel: DataFrame, ctx: int, value: str = "value", size: int = CHUNK, runs: Sequence[str] = CASE_VAR) -> DataFrame:
-    """Attach ``left`` (oldest first) and ``right`` (nearest first) context arrays of every run.
+def _context_rows(spans: DataFrame, panel: DataFrame, ctx: int, value: str, size: int, runs: Sequence[str]) -> DataFrame:
+    """Cells of the two contexts of every run: ``runs``, ``_side`` (L, R), ``away`` (1 next to the run) and the value ``v``.
 
     Missing cells take the previous observation inside the context, else the next, else zero.
     """
     d = observed_neighbours(panel, SERIES, value, size).select(*SERIES, "pos", "prev_pos", "prev_val", "next_pos", "next_val")
-    iv = spans.select(*runs, "run_start", "run_end").withColumn(
-        "_side", F.explode(F.array(F.lit("L"), F.lit("R")))
-    )
+    iv = spans.select(*runs, "run_start", "run_end") if "run_start" not in runs else spans.select(*runs)
+    iv = iv.withColumn("_side", F.explode(F.array(F.lit("L"), F.lit("R"))))
     is_left = F.col("_side") == "L"
     iv = iv.withColumns(
         {
@@ -124,9 +142,54 @@ def context_arrays(spans: DataFrame, panel: DataFrame, ctx: int, value: str = "v
         .when(F.col("next_pos") <= F.col("_hi"), F.col("next_val"))
         .otherwise(F.lit(0.0))
     )
-    rows = rows.withColumn("_v", F.struct(F.when(is_left, F.col("pos")).otherwise(-F.col("pos")).alias("o"), clean.alias("v")))
+    away = F.when(is_left, F.col("run_start") - F.col("pos")).otherwise(F.col("pos") - F.col("run_end"))
+    return rows.select(*runs, "_side", away.alias("away"), clean.alias("v"))
+
+
+STATE = ("n", "last", "first", "mean", "nearest")
+
+
+def context_states(spans: DataFrame, panel: DataFrame, ctx: int, season: int, value: str = "value", size: int = CHUNK, runs: Sequence[str] = CASE_VAR) -> DataFrame:
+    """``spans`` with the states of their contexts for closed-form forecasters, as columns ``left_n``, ``left_last``, ... ``right_nearest``; NULL for a context without cells."""
+    rows = _context_rows(spans, panel, ctx, value, size, runs).withColumn("phase", F.pmod(-F.col("away"), F.lit(season)).cast("int"))
+    by_phase = rows.groupBy(*runs, "_side", "phase").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.min(F.struct("away", "v")).alias("near"), F.max(F.struct("away", "v")).alias("far")
+    )
+    entries = lambda v: F.map_from_entries(F.collect_list(F.struct("phase", v)))
+    state = by_phase.groupBy(*runs, "_side").agg(
+        F.sum("c").alias("n"), F.min("near").alias("near"), F.max("far").alias("far"), entries(F.col("s") / F.col("c")).alias("mean"), entries(F.col("near.v")).alias("nearest")
+    )
+    state = state.select(*runs, "_side", "n", F.col("near.v").alias("last"), F.col("far.v").alias("first"), "mean", "nearest")
+    one = lambda side, c: F.first(F.when(F.col("_side") == side, F.col(c)), ignorenulls=True)
+    both = state.groupBy(*runs).agg(*[one(side, c).alias(f"{name}_{c}") for side, name in (("L", "left"), ("R", "right")) for c in STATE])
+    return spans.drop(*[f"{name}_{c}" for name in ("left", "right") for c in STATE]).join(both, list(runs), "left")
+
+
+def _state(side: str) -> dict[str, Column]:
+    return {c: F.col(f"{side}_{c}") for c in STATE}
+
+
+def _cells_of(d: DataFrame, lo: Column, hi: Column, size: int = CHUNK) -> DataFrame:
+    """One row per position from ``lo`` to ``hi``, made in pieces of ``size`` so that no array is as long as a run."""
+    d = d.withColumns({"_lo": lo, "_hi": hi}).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_hi - _lo) div {size}"))))
+    first = F.col("_lo") + F.col("_piece") * size
+    return d.withColumn("pos", F.explode(F.sequence(first, F.least(first + size - 1, F.col("_hi"))))).drop("_lo", "_hi", "_piece")
+
+
+def _closed_cells(d: DataFrame, fc: ClosedForm, use_left: Column, use_right: Column, whole_run: bool, keys: Sequence[str] = CASE_VAR) -> DataFrame:
+    """Forward and reversed closed-form forecasts of a run's cells (of the hidden ones unless ``whole_run``), fused by position; no row where neither side is used."""
+    d = d.withColumns({"_l": use_left, "_r": use_right}).where("_l or _r")
+    cells = _cells_of(d, F.col("run_start") if whole_run else F.col("start_pos"), F.col("run_end") if whole_run else F.col("end_pos"))
+    ahead, behind = F.col("pos") - F.col("run_start"), F.col("run_end") - F.col("pos")
+    y = fuse_cell(F.when(F.col("_l"), fc.value(_state("left"), ahead)), F.when(F.col("_r"), fc.value(_state("right"), behind)), ahead, ahead + behind + 1)
+    keep = [c for c in ("start_pos", "end_pos") if c in d.columns and whole_run]
+    return cells.select(*keys, "pos", *keep, y.alias("y_hat"))
+
+
+def context_arrays(spans: DataFrame, panel: DataFrame, ctx: int, value: str = "value", size: int = CHUNK, runs: Sequence[str] = CASE_VAR) -> DataFrame:
+    """Attach ``left`` and ``right`` context arrays of every run, the cell next to the run last ("most recent")."""
+    rows = _context_rows(spans, panel, ctx, value, size, runs).withColumn("_v", F.struct((-F.col("away")).alias("o"), "v"))
     pack = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == side, F.col("_v")))), lambda s: s["v"])
-    # both sides are sorted so that the cell next to the run comes last (the "most recent" one)
     arrays = rows.groupBy(*runs).agg(pack("L").alias("left"), pack("R").alias("right"))
     empty = F.array().cast("array<double>")
     d = spans.join(arrays, list(runs), "left")
@@ -183,6 +246,9 @@ def impute_forecast(
     whole_run: bool = False, size: int = CHUNK,
 ) -> DataFrame:
     """Forecast each merged run from its left context, or from the reversed right one if there is none."""
+    if mode == "full_gap" and isinstance(fc, ClosedForm):
+        d = context_states(spans, panel, ctx, fc.season, value, size)
+        return _closed_cells(d, fc, F.col("left_n").isNotNull(), F.col("left_n").isNull() & F.col("right_n").isNotNull(), whole_run)
     d = context_arrays(spans, panel, ctx, value, size)
     src = F.when(F.size("left") > 0, F.col("left")).when(F.size("right") > 0, F.col("right"))
     h = _horizon()
@@ -198,8 +264,11 @@ def natural_forecast(panel: DataFrame, fc: Forecaster, ctx: int, value: str = "v
     from gapweave.operators.quality import find_gaps
 
     runs = find_gaps(panel, value, size).withColumnsRenamed({"start_pos": "run_start", "end_pos": "run_end"})
-    keys = (*SERIES, "run_start")
-    d = context_arrays(runs, panel, ctx, value, size, (*keys, "run_end"))
+    keys = (*SERIES, "run_start", "run_end")
+    if isinstance(fc, ClosedForm):
+        d = context_states(runs, panel, ctx, fc.season, value, size, keys)
+        return _closed_cells(d, fc, F.col("left_n").isNotNull(), F.col("left_n").isNull() & F.col("right_n").isNotNull(), True, SERIES)
+    d = context_arrays(runs, panel, ctx, value, size, keys)
     src = F.when(F.size("left") > 0, F.col("left")).when(F.size("right") > 0, F.col("right"))
     y = fc(src, _horizon())
     y = F.when(F.size("left") > 0, y).otherwise(F.reverse(y))
@@ -248,6 +317,13 @@ def bidirectional_init(
     If neither side is long enough, whichever is not empty is used (left first). ``max_horizon`` is for a forecaster
     that cannot go further: longer runs then give no rows and are left to the caller's fill.
     """
+    if isinstance(fc, ClosedForm):
+        d = context_states(spans, panel, ctx, fc.season, value, size)
+        d = d if max_horizon is None else d.where(_horizon() <= max_horizon)
+        cells = lambda side: F.coalesce(f"{side}_n", F.lit(0))
+        left_ok, right_ok = cells("left") >= min_side, (cells("right") >= min_side) & F.lit(bidirectional)
+        none = ~left_ok & ~right_ok
+        return _closed_cells(d, fc, left_ok | (none & (cells("left") > 0)), right_ok | (none & (cells("left") == 0) & (cells("right") > 0)), whole_run)
     d = context_arrays(spans, panel, ctx, value, size)
     h = _horizon()
     left_ok, right_ok = F.size("left") >= min_side, (F.size("right") >= min_side) & F.lit(bidirectional)

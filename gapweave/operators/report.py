@@ -319,10 +319,7 @@ def area_bins(area: Column) -> Column:
 
 def metadata_strata(site: DataFrame, meta: DataFrame, metric: str = "NMAE") -> DataFrame:
     """Mean score by area bin, area tertile (median split when the cut points tie) and structure type."""
-    q = meta.agg(
-        F.percentile("area", F.lit(1 / 3)).alias("q1"), F.percentile("area", F.lit(2 / 3)).alias("q2"), F.percentile("area", F.lit(0.5)).alias("med"),
-        F.min("area").alias("mn"), F.max("area").alias("mx"),
-    )
+    q = exact_quantiles(meta.withColumn("_all", F.lit(0)), ["_all"], F.col("area"), {"q1": 1 / 3, "q2": 2 / 3, "med": 0.5, "mn": 0.0, "mx": 1.0}).drop("_all", "_n")
     a = F.col("area")
     tied = (F.col("q1") <= F.col("mn")) | (F.col("q2") >= F.col("mx")) | (F.col("q1") == F.col("q2"))
     tertile = (

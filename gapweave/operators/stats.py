@@ -135,8 +135,8 @@ def pair_sites(s: DataFrame, pairs: DataFrame, metric: str = "NMAE", extra: Sequ
     return pairs.join(a, "model").join(b, ["reference", unit, *extra]).where("x is not null and y is not null")
 
 
-def paired_compare(s: DataFrame, pairs: DataFrame, metric: str = "NMAE", extra: Sequence[str] = (), draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Reduction 100 (1 - mean a / mean b) with a paired bootstrap interval, Wilcoxon p and Holm p."""
+def paired_compare(s: DataFrame, pairs: DataFrame, metric: str = "NMAE", extra: Sequence[str] = (), draws: int = 10_000, seed: int = 42, method: str = "auto") -> DataFrame:
+    """Reduction 100 (1 - mean a / mean b) with a paired bootstrap interval, Wilcoxon p (``p_method`` says by which test, see ``wilcoxon_p``) and Holm p."""
     keys = ["model", "reference", *extra]
     xy = pair_sites(s, pairs, metric, extra)
     reduction = lambda x, y: 100.0 * (1.0 - ratio(x, y))
@@ -149,29 +149,33 @@ def paired_compare(s: DataFrame, pairs: DataFrame, metric: str = "NMAE", extra:
     base = base.withColumn("reduction", reduction(F.col("mean_model"), F.col("mean_reference")))
     boots = bootstrap_means(xy, keys, ["x", "y"], draws, seed).withColumn("_r", reduction(F.col("x"), F.col("y")))
     ci = boots.groupBy(*keys).agg(F.percentile("_r", F.lit(0.025)).alias("low"), F.percentile("_r", F.lit(0.975)).alias("high"))
-    p = wilcoxon_p(xy.withColumn("diff", F.col("x") - F.col("y")), keys).drop("method")
+    p = wilcoxon_p(xy.withColumn("diff", F.col("x") - F.col("y")), keys, method).withColumnRenamed("method", "p_method")
     d = base.join(ci, keys).join(p, keys)
     d = holm(d, family=extra)
-    return d.select(*keys, "reduction", "low", "high", "p", "holm_p", "n_sites", "sites_improved", "mean_model", "mean_reference")
+    return d.select(*keys, "reduction", "low", "high", "p", "p_method", "holm_p", "n_sites", "sites_improved", "mean_model", "mean_reference")
 
 
-def cell_level_compare(cells: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("case_id", "variable", "pos")) -> DataFrame:
-    """On identical cells: n, mean absolute-error difference, win rate and Wilcoxon p."""
-    e = cells.withColumn("err", F.abs(F.col("pred") - F.col("value")))
-    a = e.select("model", *keys, F.col("err").alias("x"))
-    b = e.select(F.col("model").alias("reference"), *keys, F.col("err").alias("y"))
-    xy = pairs.join(a, "model").join(b, ["reference", *keys]).withColumn("diff", F.col("x") - F.col("y"))
+def cell_level_compare(cells: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("case_id", "variable", "pos"), method: str = "auto") -> DataFrame:
+    """On identical cells: n, mean absolute-error difference, win rate and Wilcoxon p with its ``p_method``.
+
+    Cells are grouped once into a map of errors by model; pairs are read off it, so no table of cells is joined to itself. A model's cells are unique by ``keys``.
+    """
+    e = F.struct("model", F.abs(F.col("pred") - F.col("value")).alias("err"))
+    named = pairs.select("model", "reference").distinct().agg(F.collect_list(F.struct("model", "reference")).alias("_p"))  # one row: the comparisons asked for
+    cell = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(e)).alias("_e")).join(named)
+    xy = cell.select(*keys, "_e", F.inline("_p")).select(*keys, "model", "reference", F.element_at("_e", F.col("model")).alias("x"), F.element_at("_e", F.col("reference")).alias("y"))
+    xy = xy.where("x is not null and y is not null").withColumn("diff", F.col("x") - F.col("y"))
     g = xy.groupBy("model", "reference").agg(
         F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_difference"), F.avg(F.when(F.col("diff") < 0, 1.0).otherwise(0.0)).alias("win_rate")
     )
-    return g.join(wilcoxon_p(xy, ["model", "reference"]).drop("method"), ["model", "reference"])
+    return g.join(wilcoxon_p(xy, ["model", "reference"], method).withColumnRenamed("method", "p_method"), ["model", "reference"])
 
 
 def average_rank(d: DataFrame, col: str, keys: Sequence[str], out: str) -> DataFrame:
-    """Average rank of ``col`` in its group (rank plus half the ties)."""
-    w = Window.partitionBy(*keys).orderBy(col)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col))
-    return d.withColumn(out, F.rank().over(w) + (ties - 1) / 2.0)
+    """Average rank of ``col`` (without NULLs) in its group: running counts of the distinct values, slice by slice, so no group is ordered in one task."""
+    counts = d.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = running_counts(counts, keys, col, "_c", "_upto").select(*keys, col, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out))
+    return d.join(ranks, [*keys, col])
 
 
 def spearman(d: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:

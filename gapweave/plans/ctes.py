@@ -49,10 +49,11 @@ def unit(*parts: str) -> str:
     return f"({hsh(*parts)} / 4294967296.0::DOUBLE)"
 
 
+cte("nsites", "", "SELECT greatest(8, (count(*) + 1249) // 1250) AS k FROM events", True)
 for n, h in (("6", 6), ("3", 3)):
     us = h * 3600
-    cte(f"obs{n}", "", f"""
-SELECT 's' || CAST(user_id % 8 AS VARCHAR) AS site, event_type AS variable, time_bucket(INTERVAL '{h} hours', ts) AS ts,
+    cte(f"obs{n}", "nsites", f"""
+SELECT 's' || CAST(user_id % (SELECT k FROM nsites) AS VARCHAR) AS site, event_type AS variable, time_bucket(INTERVAL '{h} hours', ts) AS ts,
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS value
 FROM events GROUP BY 1, 2, 3""")
     cte(f"span{n}", f"obs{n}", f"SELECT site, min(ts) AS lo, max(ts) AS hi, CAST(epoch(max(ts) - min(ts)) / {us} AS BIGINT) + 1 AS n FROM obs{n} GROUP BY 1")
@@ -76,7 +77,7 @@ LEFT JOIN panel{n} q ON q.site = b.site AND q.variable = b.variable AND q.pos =
     cte(f"runs{n}", f"nb{n}", f"""
 SELECT site, variable, coalesce(prev_pos, -1) + 1 AS start_pos, coalesce(next_pos, n) - 1 AS end_pos, n
 FROM nb{n} WHERE value IS NULL GROUP BY ALL""")
-    cte(f"roles{n}", f"panel{n}", f"SELECT DISTINCT site, CASE WHEN site IN ('s0', 's1', 's2', 's3') THEN 'train' ELSE 'test' END AS role FROM panel{n}")
+    cte(f"roles{n}", f"panel{n} nsites", f"SELECT DISTINCT site, CASE WHEN CAST(substr(site, 2) AS BIGINT) < (SELECT k FROM nsites) // 2 THEN 'train' ELSE 'test' END AS role FROM panel{n}")
     cte(f"cut{n}", f"span{n}", f"SELECT site, n, CAST(floor(0.8::DOUBLE * n) AS BIGINT) AS cut FROM span{n}")
 
 cte("scaler", "panel6 roles6 cut6", """

@@ -172,6 +172,13 @@ def _(s: Stages) -> DataFrame:
     return rounded(integrity.check_scalers(s.scaler, scaling.fit_minmax(s.panel6, "pooled_prefix", 0.8, s.roles)))
 
 
+@query("J2_check_scalers_altered", sql("scaler", f"SELECT variable, {r("CASE WHEN variable = 'error' THEN lo + 1 ELSE lo END", 'lo')}, {r('hi', 'hi')}, n_obs, variable <> 'error' AND variable <> 'view' AS identical FROM scaler WHERE variable <> 'view' UNION ALL SELECT variable, NULL, NULL, NULL, false FROM scaler WHERE variable = 'view'"))
+def _(s: Stages) -> DataFrame:
+    """A stored scaler with one bound moved and one variable lost: both are told."""
+    stored = s.scaler.where("variable <> 'view'").withColumn("lo", F.when(F.col("variable") == "error", F.col("lo") + 1).otherwise(F.col("lo")))
+    return rounded(integrity.check_scalers(stored, scaling.fit_minmax(s.panel6, "pooled_prefix", 0.8, s.roles)))
+
+
 @query(
     "J3_check_split",
     sql("roles6", "SELECT count(*) FILTER (WHERE role = 'train') AS train_sites, count(*) FILTER (WHERE role = 'test') AS test_sites, count(*) - count(DISTINCT site) AS shared_ids, 0::BIGINT AS shared_content FROM roles6"),
@@ -189,6 +196,25 @@ def _(s: Stages) -> DataFrame:
     return integrity.check_coverage(s.scores, s.manifest)
 
 
+@query(
+    "J4_check_coverage_altered",
+    sql("scores cv", """SELECT model, count(*) FILTER (WHERE case_id % 7 = 0 AND model = 'ridge') AS missing_keys, count(*) FILTER (WHERE case_id % 11 = 1 AND model = 'linear') AS unexpected_keys,
+count(*) FILTER (WHERE case_id % 5 = 2 AND model = 'seasonal') AS duplicate_keys, count(*) FILTER (WHERE case_id % 3 = 1 AND model = 'bidir') * 1 + count(*) FILTER (WHERE MAE IS NULL AND NOT (case_id % 7 = 0 AND model = 'ridge') AND NOT (case_id % 3 = 1 AND model = 'bidir'))
++ count(*) FILTER (WHERE MAE IS NULL AND ((case_id % 11 = 1 AND model = 'linear') OR (case_id % 5 = 2 AND model = 'seasonal'))) AS null_scores, count(*) FILTER (WHERE case_id % 13 = 4) AS uneven_n_eval,
+count(*) FILTER (WHERE NOT (case_id % 7 = 0 AND model = 'ridge')) + count(*) FILTER (WHERE case_id % 11 = 1 AND model = 'linear') AS keys
+FROM (SELECT * FROM scores) GROUP BY 1""".replace("count(*) FILTER (WHERE case_id % 13 = 4)", "count(*) FILTER (WHERE case_id % 13 = 4 AND NOT (case_id % 7 = 0 AND model = 'ridge'))")),
+)
+def _(s: Stages) -> DataFrame:
+    """Scores with keys lost, made up and repeated, errors lost and counts changed: each is counted under its own name."""
+    d = s.scores
+    lost = (F.col("case_id") % 7 == 0) & (F.col("model") == "ridge")
+    made_up = d.where("case_id % 11 = 1 and model = 'linear'").withColumn("case_id", -F.col("case_id") - 1)
+    twice = d.where("case_id % 5 = 2 and model = 'seasonal'")
+    d = d.where(~lost).withColumn("MAE", F.when((F.col("case_id") % 3 == 1) & (F.col("model") == "bidir"), F.lit(None)).otherwise(F.col("MAE")))
+    d = d.withColumn("n_eval", F.when((F.col("case_id") % 13 == 4) & (F.col("model") == "linear"), F.col("n_eval") + 1).otherwise(F.col("n_eval")))
+    return integrity.check_coverage(d.unionByName(made_up).unionByName(twice), s.manifest)
+
+
 def _runs(s: Stages) -> dict:
     def spans_of(cases: DataFrame, panel: DataFrame) -> DataFrame:
         return materialize(impute.merged_spans(cases, panel, "z"), "check_spans")
@@ -226,8 +252,12 @@ _INV = "SELECT m.model, (SELECT count(*) FROM hid JOIN manifest USING (case_id)
 @query("J5_poison_invariance", sql("hid manifest", _INV.format(w="true")))
 def _(s: Stages) -> DataFrame:
     """The hidden truth is replaced in the panel the fill reads; nothing may move."""
-    d = _union_checks(s, lambda run: integrity.poison_invariance(s.manifest, s.scaled, run, "z", 1e3))
-    return rounded(d)
+    reach = {"linear": 1, "seasonal": st.SEASON_CTX + st.SEASON, "bidir": st.CONTEXT, "ridge": None}
+    out = None
+    for name, run in _runs(s).items():
+        d = integrity.poison_invariance(s.manifest, s.scaled, run, "z", 1e3, reach[name]).withColumn("model", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return rounded(out)
 
 
 @query("J6_order_invariance", sql("hid manifest", _INV.format(w="true")))
@@ -259,3 +289,14 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     return integrity.rescore(s.cells, s.scores, s.ranges)
+
+
+@query(
+    "J9_rescore_altered",
+    sql("scores cellsx ranges", """SELECT model, count(*) AS variable_cases, count(*) FILTER (WHERE model = 'ridge' AND case_id % 4 = 1) AS n_eval_mismatches, model <> 'linear' AS mae_reconciled, model <> 'seasonal' AS nmae_reconciled FROM scores GROUP BY 1"""),
+)
+def _(s: Stages) -> DataFrame:
+    """Stored scores with one column moved a model: the check must name it."""
+    move = lambda c, m, by: F.when(F.col("model") == m, F.col(c) + by).otherwise(F.col(c))
+    n = F.when((F.col("model") == "ridge") & (F.col("case_id") % 4 == 1), F.col("n_eval") + 1).otherwise(F.col("n_eval"))
+    return integrity.rescore(s.cells, s.scores.withColumns({"MAE": move("MAE", "linear", 0.01), "NMAE": move("NMAE", "seasonal", 0.001), "n_eval": n}), s.ranges)

@@ -60,6 +60,17 @@ def _(s: Stages) -> DataFrame:
     )
 
 
+@query(
+    "A2_parse_strict",
+    "SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS parsed, min(date_trunc('second', ts)) AS first_ts, max(date_trunc('second', ts)) AS last_ts FROM events GROUP BY 1",
+)
+def _(s: Stages) -> DataFrame:
+    """Every stamp, in one of the two forms; an unparseable one would fail the job."""
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HHmmss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    d = sheets.parse_timestamps(s.table("events").select(text.alias("stamp")), "stamp", "strict")
+    return d.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("parsed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 @query("A3_list_sites", sql("obs3", "SELECT DISTINCT site FROM obs3"))
 def _(s: Stages) -> DataFrame:
     return sheets.list_sites(s.spark, _sheets(s)).select("site")

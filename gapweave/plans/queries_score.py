@@ -86,10 +86,16 @@ def _(s: Stages) -> DataFrame:
     return rounded(stats.summary(s.scores, "NMAE", ["scenario", "gap_len"]))
 
 
-_PAIRCOLS = rr("reduction", "low", "high", "p", "holm_p") + ", n_sites, sites_improved"
+_PAIRCOLS = rr("reduction", "low", "high", "p", "holm_p") + ", n_sites, sites_improved, p_method"
 
 
-@query("H7_paired_compare", sql("xy null_w", f"SELECT model, reference, {_PAIRCOLS} FROM ({holm_sql(paired('xy', 'model, reference'))})"))
+def _with_method(xy: str, keys: str) -> str:
+    """The test behind each p: exact up to 50 differences without ties."""
+    d = "round(abs(x - y), 12)) FILTER (WHERE x <> y)"
+    return f""" JOIN (SELECT {keys}, CASE WHEN count({d} = 0 THEN 'none' WHEN count({d} <= 50 AND count(DISTINCT {d} = count({d} THEN 'exact' ELSE 'approx' END AS p_method FROM {xy} GROUP BY {keys}) USING ({keys})"""
+
+
+@query("H7_paired_compare", sql("xy null_w", f"SELECT model, reference, {_PAIRCOLS} FROM ({holm_sql(paired('xy', 'model, reference'))}){_with_method('xy', 'model, reference')}"))
 def _(s: Stages) -> DataFrame:
     d = stats.paired_compare(stats.site_scores(s.scores), pairs(s))
     return rounded(d.drop("mean_model", "mean_reference"))
@@ -104,7 +110,7 @@ m AS (SELECT *, sum(c) OVER (PARTITION BY model, reference ORDER BY a) - (c - 1)
 w AS (SELECT model, reference, CAST(sum(c) AS DOUBLE) AS n, sum(rk * pc) AS wp, sum(CAST(c AS DOUBLE) ** 3 - c) AS ties FROM m GROUP BY 1, 2),
 z AS (SELECT model, reference, -(least(wp, n * (n + 1) / 2 - wp) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS a FROM w),
 p AS (SELECT model, reference, least(1.0, 2 * exp(-a * a / 2) * 0.3989422804014327 * {POLY}) AS p FROM (SELECT *, 1 / (1 + 0.2316419 * a) AS t FROM z))
-SELECT model, reference, n, {rr('mean_difference', 'win_rate', 'p')} FROM (SELECT model, reference, count(*) AS n, avg(d) AS mean_difference, avg(CASE WHEN d < 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate FROM x GROUP BY 1, 2) JOIN p USING (model, reference)"""),
+SELECT model, reference, n, {rr('mean_difference', 'win_rate', 'p')}, 'approx' AS p_method FROM (SELECT model, reference, count(*) AS n, avg(d) AS mean_difference, avg(CASE WHEN d < 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate FROM x GROUP BY 1, 2) JOIN p USING (model, reference)"""),
 )
 def _(s: Stages) -> DataFrame:
     return rounded(stats.cell_level_compare(s.cells, pairs(s)))
@@ -264,7 +270,7 @@ def _(s: Stages) -> DataFrame:
     "H21_normalizer_effects",
     sql("nscores pairs null_w", f""", q AS ({site_sql('model, site, normalizer, scope', 'score', "(SELECT *, unnest(['all', variable]) AS scope FROM nscores)")}),
 xz AS (SELECT p.model, p.reference, a.normalizer, a.scope, a.site, a.score AS x, b.score AS y FROM pairs p JOIN q a ON a.model = p.model JOIN q b ON b.model = p.reference AND b.site = a.site AND b.normalizer = a.normalizer AND b.scope = a.scope)
-SELECT model, reference, normalizer, scope, {_PAIRCOLS}, {r('mx', 'mean_model')}, {r('my', 'mean_reference')} FROM ({holm_sql(paired('xz', 'model, reference, normalizer, scope'), 'normalizer, scope')})"""),
+SELECT model, reference, normalizer, scope, {_PAIRCOLS}, {r('mx', 'mean_model')}, {r('my', 'mean_reference')} FROM ({holm_sql(paired('xz', 'model, reference, normalizer, scope'), 'normalizer, scope')}){_with_method('xz', 'model, reference, normalizer, scope')}"""),
 )
 def _(s: Stages) -> DataFrame:
     return rounded(report.normalizer_effects(s.scores, metrics.norm_ranges(s.panel6), pairs(s)))
@@ -484,7 +490,7 @@ def _(s: Stages) -> DataFrame:
     "H38_scoped_compare",
     sql("scores pairs null_w", f""", q AS ({site_sql('model, site, scope', src=_SCOPED)}),
 xz AS (SELECT p.model, p.reference, a.scope, a.site, a.NMAE AS x, b.NMAE AS y FROM pairs p JOIN q a ON a.model = p.model JOIN q b ON b.model = p.reference AND b.site = a.site AND b.scope = a.scope)
-SELECT model, reference, scope, {_PAIRCOLS}, {r('mx', 'mean_model')}, {r('my', 'mean_reference')} FROM ({holm_sql(paired('xz', 'model, reference, scope'), 'scope')})"""),
+SELECT model, reference, scope, {_PAIRCOLS}, {r('mx', 'mean_model')}, {r('my', 'mean_reference')} FROM ({holm_sql(paired('xz', 'model, reference, scope'), 'scope')}){_with_method('xz', 'model, reference, scope')}"""),
 )
 def _(s: Stages) -> DataFrame:
     return rounded(report.scoped_compare(s.scores, pairs(s), 8, 4))

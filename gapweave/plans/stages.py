@@ -21,8 +21,8 @@ from gapweave.sources.events import event_observations
 VARIABLES = ("click", "error", "purchase", "signup", "view")
 GROUP_B = ("click", "error", "view")
 BOUNDS = {v: (0.5, 250.0) for v in VARIABLES}
-SITES = 8
-TRAIN_SITES = ("s0", "s1", "s2", "s3")
+#: Events of a site on average; there are as many sites as the events give, eight at least. The first half of them trains.
+EVENTS_PER_SITE, LEAST_SITES = 1250, 8
 STEP6 = 6 * grid.HOUR
 STEP3 = 3 * grid.HOUR
 GAPS = (2, 4, 8)
@@ -48,14 +48,19 @@ class Stages:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def n_sites(self) -> int:
+        """Sites grow with the events, so the panel does, and natural gaps stay as frequent as they are."""
+        return max(LEAST_SITES, -(-self.table("events").count() // EVENTS_PER_SITE))
+
     @cached_property
     def obs6(self) -> DataFrame:
         """Step means per site and variable: the one pass over the raw events, pre-aggregated map-side."""
-        return materialize(event_observations(self.table("events"), SITES, STEP6), "obs6")
+        return materialize(event_observations(self.table("events"), self.n_sites, STEP6), "obs6")
 
     @cached_property
     def obs3(self) -> DataFrame:
-        return materialize(event_observations(self.table("events"), SITES, STEP3), "obs3")
+        return materialize(event_observations(self.table("events"), self.n_sites, STEP3), "obs3")
 
     @cached_property
     def panel6(self) -> DataFrame:
@@ -67,7 +72,7 @@ class Stages:
 
     @property
     def roles(self) -> DataFrame:
-        return masking.roles_by_name(self.panel6, TRAIN_SITES)
+        return masking.roles_by_name(self.panel6, F.substring("site", 2, 10).cast("int") < self.n_sites // 2)
 
     @cached_property
     def scaler(self) -> DataFrame:

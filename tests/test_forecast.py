@@ -202,3 +202,50 @@ def test_tree_forecasts_roll_to_the_end_of_a_run(spark):
             want.append(y)
             hist = [*hist[1:], y]
         np.testing.assert_allclose(got[got.case_id == case].y_hat, want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("name,fc", [("last", forecast.last_value), ("drift", forecast.drift), ("seasonal_last", forecast.seasonal_last(7)), ("seasonal_mean", forecast.seasonal_mean(7))])
+def test_closed_forms_equal_their_arrays(spark, site, name, fc):
+    """Both ways, contexts shorter than a season and runs at the ends included."""
+    p, filled, _, _ = site
+    spans = impute.merged_spans(cases(spark, [(0, "s", VARS, A, B), (1, "s", ["flow"], 0, 11), (2, "s", ["temp"], 5, 30), (3, "s", ["power"], 420, N - 1)]), p)
+    plain = lambda ctx, h: fc.arrays(ctx, h)
+    keys = ("case_id", "variable", "pos")
+    for a, b in (
+        (forecast.impute_forecast(spans, p, fc, CTX), forecast.impute_forecast(spans, p, plain, CTX)),
+        (forecast.bidirectional_init(spans, filled, fc, CTX, SIDE, "zf"), forecast.bidirectional_init(spans, filled, plain, CTX, SIDE, "zf")),
+        (forecast.bidirectional_init(spans, filled, fc, CTX, SIDE, "zf", False, whole_run=True), forecast.bidirectional_init(spans, filled, plain, CTX, SIDE, "zf", False, whole_run=True)),
+    ):
+        pd.testing.assert_frame_equal(table(a, *keys), table(b, *keys), check_exact=False, rtol=1e-12)
+
+
+def test_a_long_empty_run_needs_no_long_array(spark):
+    n = 300_000
+    p = spark.range(n).selectExpr("'s' AS site", "'v' AS variable", "id AS pos", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts", f"CASE WHEN id < 48 OR id >= {n} - 48 THEN id % 24 + 0D END AS value")
+    spans = impute.merged_spans(cases(spark, [(0, "s", ["v"], 1000, 1009)]), p)
+    d = forecast.bidirectional_init(spans, p, forecast.seasonal_mean(24), 48, 24, "value", whole_run=True)
+    got = d.agg(F.count("y_hat"), F.max(F.abs(F.col("y_hat") - F.col("pos") % 24))).first()
+    assert got[0] == n - 96 and got[1] < 1e-9
+
+
+def test_window_models_share_one_hook(spark):
+    rng = np.random.default_rng(2)
+    x = {("s", v): np.where(rng.random(97) < 0.3, np.nan, rng.normal(size=97)) for v in ("a", "b")}
+    p = panel(spark, x)
+    sizes = []
+
+    def phase_means(contexts, horizon):
+        sizes.append(contexts.shape)
+        out = np.full((len(contexts), horizon), np.nan)
+        for r, c in enumerate(contexts):
+            for i in range(horizon):
+                same = c[(np.arange(horizon) - i) % 4 == 0]
+                out[r, i] = np.nan if np.isnan(same).all() else np.nanmean(same)
+        return out
+
+    built_in = table(forecast.impute_windowed_overlap(p, 16, 4, forecast.phase_mean_window(16, 4)), "variable", "pos")
+    own = table(forecast.impute_windowed_overlap(p, 16, 4, forecast.user_window(phase_means, 16)), "variable", "pos")
+    pd.testing.assert_frame_equal(built_in, own, check_exact=False, rtol=1e-12)
+    assert built_in.filled.notna().all()
+    with pytest.raises(Exception, match="shape"):
+        forecast.impute_windowed_overlap(p, 16, 4, forecast.user_window(lambda c, h: c[:, :3], 16)).collect()

@@ -96,3 +96,30 @@ def test_metadata_rejects_two_groups_for_a_name(spark):
 def test_range_bounds_are_inclusive_and_unlisted_variables_untouched(spark):
     d = spark.createDataFrame([("s", "RH", 0.0), ("s", "RH", 100.0), ("s", "RH", 100.1), ("s", "x", -9e9)], "site string, variable string, value double")
     assert table(shape.range_screen(d), "variable", "value").value.isna().sum() == 1
+
+
+def test_quoted_cells_and_groups_of_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('date,"Tin, inside",note\n2024-01-01 000000,1.5,"two\nlines, ""quoted"""\n2024-01-01 010000,,x\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('﻿date,"Tin, inside",note\n2024-01-02 000000,7,8\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("RH,time\n50, 2024-01-03 000000\n\nnan,2024-01-03 010000\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text("date\n2024-01-03 000000\n", encoding="utf-8")  # no sensor: no rows
+    d = sheets.read_site_sheets(spark, str(tmp_path))
+    got = sorted((r.site, r.variable, str(r.ts), r.value) for r in d.where("value is not null").collect())
+    assert got == [
+        ("a", "Tin, inside", "2024-01-01 00:00:00", 1.5), ("b", "Tin, inside", "2024-01-02 00:00:00", 7.0), ("b", "note", "2024-01-02 00:00:00", 8.0), ("c", "RH", "2024-01-03 00:00:00", 50.0),
+    ]
+    assert d.where("value is null").count() == 4
+
+
+def test_reset_touches_the_named_partitions_alone(spark, tmp_path):
+    path, backup = str(tmp_path / "r"), str(tmp_path / "b")
+    rows = spark.createDataFrame([(m, i, float(i)) for m in ("x y", "z") for i in range(5)], "model string, case_id long, MAE double")
+    rows.write.partitionBy("model").parquet(path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "r" / "model=z").glob("*.parquet")}
+    left = results.reset_models(spark, path, backup, ["x y", "never"])
+    assert {r.model for r in left.collect()} == {"z"} and left.count() == 5
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "r" / "model=z").glob("*.parquet")} == before
+    assert spark.read.parquet(backup).count() == 5
+    again = results.append_results(rows.where("model = 'x y'"), path, ("model", "case_id"))
+    assert again.count() == 10
+    assert results.append_results(rows, str(tmp_path / "new"), ("model", "case_id")).count() == 10
