@@ -172,11 +172,12 @@ def _(s: Stages) -> DataFrame:
     return rounded(integrity.check_scalers(s.scaler, scaling.fit_minmax(s.panel6, "pooled_prefix", 0.8, s.roles)))
 
 
-@query("J2_check_scalers_altered", sql("scaler", f"SELECT variable, {r("CASE WHEN variable = 'error' THEN lo + 1 ELSE lo END", 'lo')}, {r('hi', 'hi')}, n_obs, variable <> 'error' AND variable <> 'view' AS identical FROM scaler WHERE variable <> 'view' UNION ALL SELECT variable, NULL, NULL, NULL, false FROM scaler WHERE variable = 'view'"))
+@query("J2_check_scalers_altered", sql("scaler", f"SELECT variable, {r("CASE WHEN variable = 'error' THEN lo + 1 ELSE lo END", 'lo')}, {r('hi', 'hi')}, n_obs, variable <> 'error' AND variable <> 'view' AS identical FROM scaler WHERE variable <> 'view' UNION ALL SELECT variable, NULL, NULL, 0, false FROM scaler WHERE variable = 'view'"))
 def _(s: Stages) -> DataFrame:
     """A stored scaler with one bound moved and one variable lost: both are told."""
     stored = s.scaler.where("variable <> 'view'").withColumn("lo", F.when(F.col("variable") == "error", F.col("lo") + 1).otherwise(F.col("lo")))
-    return rounded(integrity.check_scalers(stored, scaling.fit_minmax(s.panel6, "pooled_prefix", 0.8, s.roles)))
+    d = integrity.check_scalers(stored, scaling.fit_minmax(s.panel6, "pooled_prefix", 0.8, s.roles))
+    return rounded(d.withColumn("n_obs", F.coalesce("n_obs", F.lit(0))))
 
 
 @query(

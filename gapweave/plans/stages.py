@@ -72,7 +72,7 @@ class Stages:
 
     @property
     def roles(self) -> DataFrame:
-        return masking.roles_by_name(self.panel6, F.substring("site", 2, 10).cast("int") < self.n_sites // 2)
+        return masking.roles_by_name(self.panel6, F.substring("site", 2, 10).try_cast("int") < self.n_sites // 2)
 
     @cached_property
     def scaler(self) -> DataFrame:
