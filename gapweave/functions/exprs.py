@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def hash_order(*parts) -> Column:
     """Deterministic 32-bit order key: the first 8 hex digits of md5 over '|'-joined parts."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

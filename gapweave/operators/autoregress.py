@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapweave.functions.exprs import literal
 from gapweave.operators.impute import CASE_VAR
 from gapweave.operators.masking import interval_join
 from gapweave.operators.moments import solve_sql
@@ -89,5 +90,5 @@ def impute_multivariate_past(
     cells = d.withColumn("pos", F.explode(F.sequence("start_pos", "end_pos"))).withColumn("h", F.col("pos") - F.col("run_start") + 1)
     step = f"CASE WHEN getbit(h, b) = 1 THEN transform(powers[b], row -> {_dot('row', 'acc')}) ELSE acc END"
     state = f"aggregate(sequence(0, length(bin(h)) - 1), s, (acc, b) -> {step})"
-    place = "CASE variable " + " ".join(f"WHEN '{v}' THEN {i + 1}" for i, v in enumerate(variables)) + " END"
+    place = "CASE variable " + " ".join(f"WHEN {literal(v)} THEN {i + 1}" for i, v in enumerate(variables)) + " END"
     return cells.select(*CASE_VAR, "pos", F.expr(f"({state})[{place}]").alias("y_hat"))

@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gapweave.functions.exprs import from_micros, hash_order, hash_unit, micros
+from gapweave.functions.exprs import from_micros, hash_order, hash_unit, literal, micros
 from gapweave.operators.series import CHUNK, SERIES, carry, lowest_per_group, prefix_sums
 
 
 def scenario_table(spark: SparkSession, variables: Sequence[str], group_b: Sequence[str]) -> DataFrame:
     """Scenario A hides each variable alone, B the indoor group, C all variables."""
     rows = [("A", [v]) for v in sorted(variables)] + [("B", sorted(group_b)), ("C", sorted(variables))]
-    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({text(s)}, array({', '.join(map(text, names))}))" for s, names in rows)
+    values = ", ".join(f"({literal(s)}, array({', '.join(map(literal, names))}))" for s, names in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(scenario, masked_vars)")  # a local relation: reading it starts no job
 
 

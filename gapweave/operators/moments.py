@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.functions.exprs import literal
 from gapweave.operators.forecast import Step, covariate_cells, fuse_cell
 from gapweave.operators.impute import CASE_VAR
 
@@ -106,7 +107,7 @@ def _ridge_pass(design: RunDesign, snapshot: DataFrame, alpha: float, min_side:
     """Every run forecast from both contexts as one frozen snapshot of estimates has them; a run without a long enough side keeps its estimate."""
     names, k = design.variables, len(design.variables) + design.width
     snap = snapshot.groupBy("case_id", "site", "pos").agg(F.expr("map_from_entries(collect_list(struct(variable, y_hat)))").alias("snap"))
-    now = ", ".join(f"coalesce(snap['{v}'], est[{i}])" for i, v in enumerate(names))
+    now = ", ".join(f"coalesce(snap[{literal(v)}], est[{i}])" for i, v in enumerate(names))
     d = design.live.join(snap, ["case_id", "site", "pos"], "left").withColumn("now", F.expr(f"array({now})"))
     side = "side = 'L'" if not bidirectional else "side <> 'G'"
     # a context cell that moved counts once with its estimate and once, taken away, with the panel's value

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators import masking, metrics, quality, references, report, stats
-from gapweave.plans import queries_fill as fill
 from gapweave.plans import stages as st
 from gapweave.plans.ctes import METRICS, POLY, SCORE_COLS, boot, holm_sql, paired, r, sql
 from gapweave.plans.queries_prepare import _SEASON, _TOD, rounded
