@@ -65,3 +65,41 @@ def test_ridge_equals_numpy(spark, fixture):
 def test_too_few_pairs_gives_no_reference(fixture):
     p, roles, spans, _ = fixture
     assert references.select_references(spans, p, roles, "value", 3, 0.6, 500).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"refs": 1, "rows": 1, "block_us": 36 * 3_600_000_000}])
+def test_a_tile_hands_on_the_best_alone(spark, fixture, sizes):
+    """Cases x references never leave the tiles: the choice reads ``k`` rows a case and tile, whatever the tiles' sizes."""
+    p, roles, spans, series = fixture
+    every = table(references.reference_correlations(spans, p, roles, "value", 0.6, 40, **sizes), "case_id", "ref")
+    assert every.groupby("case_id").ref.apply(list).tolist() == [["r1", "r2", "r3", "r4"]] * 2
+    best = table(references.reference_correlations(spans, p, roles, "value", 0.6, 40, k=2), "case_id", "ref")
+    assert best.groupby("case_id").size().tolist() == [2, 2]
+    got = table(references.select_references(spans, p, roles, "value", 2, 0.6, 40, **sizes), "case_id", "rank")
+    x = series[("t0", "v")]
+    for c, a, b in ((0, 20, 27), (1, 100, 130)):
+        want = sorted(((naive_r(x, series[(r, "v")], a, b), r) for r in ("r1", "r2", "r3", "r4")), reverse=True)[:2]
+        g = got[got.case_id == c]
+        assert g.ref.tolist() == [r for _, r in want]
+        np.testing.assert_allclose(g.abs_r, [v[0] for v, _ in want], atol=1e-9)
+
+
+def test_names_settle_ties_in_a_tile(spark, fixture):
+    p, roles, spans, series = fixture
+    copies = panel(spark, series | {(f"c{i}", "v"): series[("r1", "v")] for i in range(4)})
+    more = roles.union(spark.createDataFrame([(f"c{i}", "train") for i in range(4)], "site string, role string"))
+    for sizes in ({}, {"refs": 2}):
+        got = table(references.select_references(spans, copies, more, "value", 2, 0.6, 40, **sizes), "case_id", "rank")
+        assert got.ref.tolist() == ["r1", "c3"] * 2
+
+
+def test_aligned_pairs_are_counted_over_blocks(spark, fixture, monkeypatch):
+    p, roles, _, series = fixture
+    monkeypatch.setattr(references._tiles, "__defaults__", (1, 1, 36 * 3_600_000_000))
+    got = table(references.align_references(p, p, roles, "value", 0.6), "site", "ref").set_index(["site", "ref"])
+    assert len(got) == 6 * 4 - 4  # r5 has too few values to be a reference, nobody is its own
+    for (site, ref), row in got.iterrows():
+        x, y = series[(site, "v")], series[(ref, "v")]
+        both = np.isfinite(x) & np.isfinite(y)
+        assert (row.length, row.observed, row.ref_finite, row.n) == (N, np.isfinite(x).sum(), np.isfinite(y).sum(), both.sum())
+        np.testing.assert_allclose(row.sxy, (x[both] * y[both]).sum(), atol=1e-9)
