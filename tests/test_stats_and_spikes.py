@@ -107,3 +107,33 @@ def test_stateless_operators_on_a_stream(spark, tmp_path):
     q.stop()
     batch = prepare_stream(p, {"v": (40.0, 60.0)}, scaler)
     assert spark.table("live").exceptAll(batch).count() == 0 and spark.table("live").where(F.col("z").isNull()).count() > 0
+
+
+def test_paired_sql_states_the_tests_of_the_query(spark):
+    """Signed-rank p of more than eight differences, with ties and beyond fifty, in SQL as in the query."""
+    from itertools import product
+
+    import duckdb
+
+    from gapweave.plans.ctes import CTES, paired
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for m, n, digits in (("a", 6, 6), ("b", 40, 6), ("c", 40, 2), ("d", 70, 6), ("e", 3, None)):
+        x = rng.random(n)
+        y = x.copy() if digits is None else x + np.round(rng.normal(0.05, 0.2, n), digits)
+        rows += [(m, "r", f"s{i:02}", float(u), float(v)) for i, (u, v) in enumerate(zip(x, y, strict=True))]
+        if m == "a":  # every pattern of signs
+            rank = np.argsort(np.argsort(np.abs(x - y))) + 1
+            low = min(rank[x > y].sum(), rank[x < y].sum())
+            exact = min(1.0, 2 * np.mean([np.dot(q, rank) <= low for q in product((0, 1), repeat=n)]))
+    xy = pd.DataFrame(rows, columns=["model", "reference", "site", "x", "y"])
+    con = duckdb.connect()
+    con.register("xy", xy)
+    want = con.execute(f"WITH RECURSIVE null_w AS ({CTES['null_w'][1]}) SELECT model, p FROM ({paired('xy', 'model, reference')})").fetch_df().set_index("model").p
+    s = spark.createDataFrame(xy).withColumn("diff", F.col("x") - F.col("y"))
+    got = table(stats.wilcoxon_p(s, ["model"]), "model").set_index("model")
+    assert got.method.to_dict() == {"a": "exact", "b": "exact", "c": "approx", "d": "approx", "e": "none"}
+    for m in "abcde":
+        assert want[m] == pytest.approx(got.p[m], abs=1e-9)
+    assert want["a"] == pytest.approx(exact, abs=1e-9)
