@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from gapweave.operators import impute, quality
+from gapweave.operators import grid, impute, quality
 from gapweave.operators.series import lowest_per_group, observed_neighbours, prefix_sums, shift
 from helpers import gappy, panel, table
 
@@ -78,3 +78,13 @@ def test_quantiles_are_exact_for_skewed_and_tied_groups(spark):
     counts = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     upto = running_counts(counts, ["g"], "v", "c", slices=7).where("g = 'hot'").toPandas()
     assert all(r.upto == (pdf.v[:3000] <= r.v).sum() for r in upto.itertuples())
+
+
+def test_chunks_are_not_merged_into_one_task(spark):
+    """Few small rows become many cells: adaptive execution must not put them together by their size on the wire."""
+    p = panel(spark, {(f"s{i}", "v"): [1.0] * 3 + [None] * 200 + [2.0] for i in range(40)})
+    obs = p.where("value is not null").select("site", "variable", "ts", "value")
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert grid.grid_slots(obs, grid.HOUR, 16).rdd.getNumPartitions() == least
+    assert shift(p, {"prev": ("value", -1)}).rdd.getNumPartitions() == least
+    assert observed_neighbours(p).rdd.getNumPartitions() == least
