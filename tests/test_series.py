@@ -88,3 +88,16 @@ def test_chunks_are_not_merged_into_one_task(spark):
     assert grid.grid_slots(obs, grid.HOUR, 16).rdd.getNumPartitions() == least
     assert shift(p, {"prev": ("value", -1)}).rdd.getNumPartitions() == least
     assert observed_neighbours(p).rdd.getNumPartitions() == least
+
+
+def test_small_groups_are_ranked_without_a_sketch(spark):
+    """Groups of a few values are one slice each; a group of more distinct values than ``whole`` is still cut, with the same ranks."""
+    from gapweave.functions.ranks import exact_quantiles
+
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 200}", float(v)) for i, v in enumerate(rng.integers(0, 50, 2000))] + [("hot", float(v)) for v in rng.integers(0, 900, 3000)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    for whole in (10_000, 100, 0):
+        got = exact_quantiles(d, ["g"], F.col("v"), {"p50": 0.5, "p9": 0.9}, slices=8, whole=whole).toPandas().set_index("g")
+        want = pd.DataFrame(rows, columns=["g", "v"]).groupby("g").v.quantile([0.5, 0.9]).unstack()
+        np.testing.assert_allclose(got.loc[want.index, ["p50", "p9"]].to_numpy(), want.to_numpy(), atol=1e-9)
