@@ -123,3 +123,12 @@ def test_reset_touches_the_named_partitions_alone(spark, tmp_path):
     again = results.append_results(rows.where("model = 'x y'"), path, ("model", "case_id"))
     assert again.count() == 10
     assert results.append_results(rows, str(tmp_path / "new"), ("model", "case_id")).count() == 10
+
+
+def test_a_site_has_one_sheet(spark, tmp_path):
+    """Rows of a site that lie in many tasks still make one file."""
+    rows = [(f"s{i % 5}", f"2024-01-01 {i // 5:02}:00:00", float(i)) for i in range(100)]
+    wide = spark.createDataFrame(rows, "site string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(8)
+    sheets.write_site_sheets(wide, str(tmp_path / "sheets"))
+    assert {r.site: r.files for r in sheets.list_sites(spark, str(tmp_path / "sheets")).collect()} == {f"s{i}": 1 for i in range(5)}
+    assert sheets.read_site_sheets(spark, str(tmp_path / "sheets")).count() == 100
