@@ -103,3 +103,41 @@ def test_aligned_pairs_are_counted_over_blocks(spark, fixture, monkeypatch):
         both = np.isfinite(x) & np.isfinite(y)
         assert (row.length, row.observed, row.ref_finite, row.n) == (N, np.isfinite(x).sum(), np.isfinite(y).sum(), both.sum())
         np.testing.assert_allclose(row.sxy, (x[both] * y[both]).sum(), atol=1e-9)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_us": 36 * 3_600_000_000}])
+def test_windows_of_references_are_filled_over_the_whole_series(spark, fixture, monkeypatch, sizes):
+    """Blocks of a day and a half, slices of one case: fills reach over blocks, and cases with different sets share what they read."""
+    p, roles, spans, series = fixture
+    chosen = references.select_references(spans, p, roles, "value", 3, 0.6, 40)
+    long = series[("r2", "v")].copy()
+    long[30:90] = np.nan  # whole blocks without an observation
+    long[150:] = np.nan
+    q = p.where("site <> 'r2'").unionByName(panel(spark, {("r2", "v"): long}))
+    names = table(chosen, "case_id", "rank").groupby("case_id").ref.apply(list)
+    if sizes:
+        monkeypatch.setattr(references, "SLICE", 1)
+    got = references.reference_windows(spans.selectExpr("*", "start_pos - 15 as _lo", "end_pos + 60 as _hi"), chosen, q, "value", "_lo", "_hi", **sizes).collect()
+    for c, a, b in ((0, 5, 87), (1, 85, 159)):
+        parts = sorted((r.first, r["values"]) for r in got if r.case_id == c)
+        assert (len(parts) > 1) == bool(sizes)
+        values = np.concatenate([np.array(v, dtype=float) for _, v in parts], axis=1)
+        want = [pd.Series(long if r == "r2" else series[(r, "v")]).interpolate(limit_direction="both")[a : b + 1] for r in names[c]]
+        assert parts[0][0] == a
+        np.testing.assert_allclose(values, want, atol=1e-12)
+    ridge = [table(references.case_ridge(spans, chosen, q, "value", 1.0, 40, **s), "case_id", "pos") for s in ({}, sizes)]
+    pd.testing.assert_frame_equal(*ridge, check_exact=False, rtol=1e-9)
+    assert len(ridge[0]) == 8 + 31
+
+
+def test_ridge_never_widens_sets_by_positions(spark, fixture):
+    """What is dealt to the ridge grows with targets x references, not with sets of references: 40 cases of one set deal what one case does."""
+    p, roles, _, _ = fixture
+    rows = []
+    for n in (1, 40):
+        spans = impute.merged_spans(cases(spark, [(i, "t0", ["v"], 20 + i, 27 + i) for i in range(n)]), p)
+        chosen = spark.createDataFrame([(i, "t0", "v", r, k) for i in range(n) for k, r in enumerate(("r1", "r2", "r3")[i % 3 :] + ("r1", "r2", "r3")[: i % 3], 1)], "case_id long, site string, variable string, ref string, rank long")
+        plan = references.case_ridge(spans, chosen, p, "value", 1.0, 40)
+        assert plan.count() == 8 * n
+        rows.append(references.reference_windows(spans, chosen, p, "value", "start_pos", "end_pos").count())
+    assert rows == [1, 40]
