@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from gapweave.operators import grid, impute, quality
+from gapweave.operators import grid, impute, quality, series
 from gapweave.operators.series import lowest_per_group, observed_neighbours, prefix_sums, shift
 from helpers import gappy, panel, table
 
@@ -101,3 +101,13 @@ def test_small_groups_are_ranked_without_a_sketch(spark):
         got = exact_quantiles(d, ["g"], F.col("v"), {"p50": 0.5, "p9": 0.9}, slices=8, whole=whole).toPandas().set_index("g")
         want = pd.DataFrame(rows, columns=["g", "v"]).groupby("g").v.quantile([0.5, 0.9]).unstack()
         np.testing.assert_allclose(got.loc[want.index, ["p50", "p9"]].to_numpy(), want.to_numpy(), atol=1e-9)
+
+
+def test_tasks_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
+    """A frame on files is spread to more tasks as its files hold more rows; one without files keeps the plain number."""
+    spark.range(1000).selectExpr("id as pos", "'a' as site").write.parquet(f"{tmp_path}/a")
+    d = spark.read.parquet(f"{tmp_path}/a")
+    plain = series.spread(d, "pos").rdd.getNumPartitions()
+    monkeypatch.setattr(series, "TASK_ROWS", 10)
+    assert series.spread(d.where("pos > 3"), "pos").rdd.getNumPartitions() == max(plain, 100)
+    assert series.spread(spark.range(1000).withColumnRenamed("id", "pos"), "pos").rdd.getNumPartitions() == plain
