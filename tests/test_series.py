@@ -110,4 +110,7 @@ def test_tasks_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
     plain = series.spread(d, "pos").rdd.getNumPartitions()
     monkeypatch.setattr(series, "TASK_ROWS", 10)
     assert series.spread(d.where("pos > 3"), "pos").rdd.getNumPartitions() == max(plain, 100)
+    d.write.csv(f"{tmp_path}/b")
+    text = spark.read.schema("pos long, site string").csv(f"{tmp_path}/b")
+    assert series.spread(text, "pos").rdd.getNumPartitions() == plain
     assert series.spread(spark.range(1000).withColumnRenamed("id", "pos"), "pos").rdd.getNumPartitions() == plain
