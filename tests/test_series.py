@@ -114,3 +114,15 @@ def test_tasks_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
     text = spark.read.schema("pos long, site string").csv(f"{tmp_path}/b")
     assert series.spread(text, "pos").rdd.getNumPartitions() == plain
     assert series.spread(spark.range(1000).withColumnRenamed("id", "pos"), "pos").rdd.getNumPartitions() == plain
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from gapweave.plans.storage import materialize
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in blocks.getAllFiles().mkString("|").split("|") if "shuffle_" in n}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "dropped")
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert kept.count() == 7
