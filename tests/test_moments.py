@@ -181,3 +181,23 @@ def test_solve_is_the_inverse(spark):
         a, b = a @ a.T + np.eye(k), rng.normal(size=k)
         df = spark.createDataFrame([([[*map(float, r), float(y)] for r, y in zip(a, b)],)], "m array<array<double>>")
         np.testing.assert_allclose(df.select(F.expr(moments.solve_sql("m"))).first()[0], np.linalg.solve(a, b), atol=1e-9)
+
+
+def test_forward_design_has_no_right_contexts(spark, site):
+    p, filled, spans, x = site
+    forward = moments.run_design(spans, filled, CTX, "zf", VARS, both_sides=False)
+    assert {r.side for r in forward.sums.select("side").collect()} == {"L"}
+    both = moments.run_design(spans, filled, CTX, "zf", VARS)
+    keys = ("case_id", "variable", "pos")
+    a, b = (table(d.step(1.0, SIDE, False)(start_of(spans)), *keys) for d in (forward, both))
+    assert len(a) == len(b) and np.allclose(a["y_hat"], b["y_hat"], atol=1e-9)
+    with pytest.raises(ValueError):
+        forward.step(1.0, SIDE)
+
+
+def test_context_sums_are_made_where_rows_meet_the_panel(spark, site):
+    """Neither design rows nor sums of a context are shuffled: nothing is dealt by case, variable and side."""
+    _, filled, spans, _ = site
+    sums = moments.run_design(spans, filled, CTX, "zf", VARS).sums
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "side#" in line]
