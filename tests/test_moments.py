@@ -201,3 +201,16 @@ def test_context_sums_are_made_where_rows_meet_the_panel(spark, site):
     sums = moments.run_design(spans, filled, CTX, "zf", VARS).sums
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "side#" in line]
+
+
+def test_runs_that_begin_together_share_a_past(spark, site):
+    """Fits belong to starts of runs, not to cases and variables; a run far longer than a batch of cells is told to its end."""
+    p, _, _, x = site
+    spans = impute.merged_spans(cases(spark, [(i, "s", VARS, 150, 150 + 3 * i) for i in range(4)]), p)
+    assert autoregress.past_vectors(spans, p, CTX, "value", VARS).count() == 1
+    got = table(autoregress.impute_multivariate_past(spans, p, CTX, "value", VARS, 2, 1.0, SIDE), "case_id", "variable", "pos")
+    assert got.groupby("case_id").size().to_dict() == {i: 3 * (3 * i + 1) for i in range(4)}
+    far = spans.where("case_id = 3").withColumn("end_pos", F.lit(150 + 1500).cast("long"))
+    long = table(autoregress.impute_multivariate_past(far, p, CTX, "value", VARS, 2, 1.0, SIDE), "variable", "pos")
+    assert len(long) == 3 * 1501
+    np.testing.assert_allclose(long[long.pos < 160].y_hat, got[got.case_id == 3].y_hat, atol=1e-9)
