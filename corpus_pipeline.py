@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import common, mixing, overlap, pieces, quality, secret_scan
+from gapweave.llm import common, mixing, overlap, pieces, quality, secret_scan, simhash
 from gapweave.plans.storage import materialize
 
 
@@ -24,10 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate component: that of the smallest doc_id; of rows that share it, one.
 
-    Near-duplicates share four fifths or more of their five-word shingles; op2's digests (three words, three bits) are too narrow for that.
+    Documents whose SimHash fingerprints differ in three bits or fewer (operator 2) are near-duplicates. So are those that share four fifths
+    or more of their five-word shingles: fingerprints are too narrow to find most of these, and a component follows links of both kinds.
     Documents without an id name no component: of a component in which no document has an id, one row stays.
     """
-    return overlap.one_of_each(docs)
+    return overlap.one_of_each(docs, lambda rows: simhash.near_duplicates(rows).select("row", F.col("root").alias("group")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ again, each of them once; tiles of bounded size compare them exactly and return
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,11 +138,19 @@ def links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return tiles.scan(dealt, ["loose", "_a", "_b"], tile, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def _joined(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Roots of ``named(row, item, root)`` after every group of ``groups(row, group)`` has made one component of the components it meets: (root, joined) of those that change."""
+    met = materialize(named.join(groups, "row").select("group", "root").distinct(), "overlap-met")
+    low = met.groupBy("group").agg(F.min("root").alias("v"), F.max("root").alias("_most")).where("v <> _most").drop("_most")
+    links = met.join(materialize(low, "overlap-met-low"), "group").select(F.col("root").alias("u"), "v")
+    return connected(links).withColumnsRenamed({"node": "root", "component": "joined"})
+
+
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each component of near copies (five-word shingles, similarity 0.8 or more): the smallest doc_id; among rows of that id the smallest digest of the row, once.
 
-    Texts without words are copies of each other. A component whose ids are all NULL keeps one row too. Columns stay as they are; an empty table
-    gives an empty result.
+    ``groups`` maps ``(row, doc_id, text)`` to ``(row, group)``; rows of a group are near copies too. Texts without words are copies of each
+    other. A component whose ids are all NULL keeps one row too. Columns stay as they are; an empty table gives an empty result.
     """
     same = common.unique_name(docs, "_digest")
     whole = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
@@ -159,5 +167,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = rows.select(same, "text").join(materialize(wanted, "overlap-wanted"), same)
     comps = connected(links(materialize(_sets(found).dropDuplicates(["item"]), "overlap-sets")))
     named = items.join(comps.withColumnsRenamed({"node": "item", "component": "root"}), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    if groups is not None:
+        named = materialize(named.select("item", "first", "root"), "overlap-named")
+        of_row = cut.select(F.col(same).alias("row"), "item").distinct().join(named.select("item", "root"), "item")
+        more = _joined(of_row, groups(rows.select(F.col(same).alias("row"), "doc_id", "text")).distinct())
+        named = named.join(more, "root", "left").withColumn("root", F.coalesce("joined", "root"))
     chosen = materialize(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias(same)), "overlap-kept")
     return rows.join(chosen, same, "left_semi").dropDuplicates([same]).drop(same)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gapweave.llm import overlap
+from gapweave.llm import overlap, simhash
 
 
 def slow_set(text):
@@ -39,6 +39,21 @@ def test_stage_keeps_one_of_every_component_at_0_8(spark, planted):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(label))
 
 
+def test_stage_follows_fingerprints_and_overlaps(spark):
+    """Of a chain of three, the first two have one SimHash fingerprint but few common sets of words, the others overlap but differ in fingerprints."""
+    rng = np.random.default_rng(4)
+    tail = lambda n: " ".join("w" + str(k) for k in rng.integers(0, 10**6, n))
+    first, end = "a b c " * 300 + tail(20), tail(60)
+    texts = [first, "a b c " * 300 + end, "a b c " + end, tail(40)]
+    fp = [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts]
+    sets = [slow_set(t) for t in texts]
+    assert (fp[0] ^ fp[1]).bit_count() <= 3 < (fp[1] ^ fp[2]).bit_count()
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1]) and len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2])
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [0, 3]
+    assert sorted(r.doc_id for r in overlap.one_of_each(docs).collect()) == [0, 1, 3]
+
+
 def test_pairs_at_the_level():
     sets = [np.arange(10), np.arange(8), np.arange(7), np.arange(20, 29), np.zeros(0, np.int64)]
     i = np.arange(5)
