@@ -2,9 +2,10 @@
 
 Words (runs of letters, lower case) are hashed to buckets with learned vectors, a word's own plus those of its beginnings and
 its end, so that an inflected form is known by its stem; filters of several widths slide over the sequence,
-each keeps its maximum over the whole text, and a logistic unit reads the maxima. Everything is trained in numpy on a bounded sample of
-labelled documents; words are dropped at random in training so that a document is not remembered by a rare word. The threshold is
-calibrated for each language, as the language identifier reads it off the text, on documents that training did not see,
+each keeps its maximum over the whole text, and a logistic unit reads the maxima. Training starts in numpy on a bounded sample of
+labelled documents. Where there are more, every labelled document is read: chunks of them go on from the common model inside tasks,
+and what they changed is averaged by Spark. Words are dropped at random in training so that a document is not remembered by a rare word. The threshold is
+calibrated for each language, as the language identifier reads it off the text, on all labelled documents that training did not see,
 and folded into the score: 0.5 is the threshold. For scoring, vectors and filters fold into one table of filter
 responses per bucket and place, and whole texts are read.
 """
@@ -22,11 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapweave.llm import common, language
+from gapweave.plans.storage import materialize
 
-#: Labelled documents of a class that training reads at most (whole texts), buckets, vector size, filter widths, filters of each.
+#: Labelled documents of a class with which training starts at most (whole texts), buckets, vector size, filter widths, filters of each.
 SAMPLE, BITS, WIDTH, SIZES, FILTERS = 2000, 16, 16, (1, 2, 3), 8
 #: Words read at a time, calibration documents with which a language's own threshold weighs as much as the common one.
 PIECE, SHRINK = 1 << 16, 20
+#: Times that all labelled documents are read after the start, documents of a chunk on average, rate of learning at first.
+ROUNDS, CHUNK, RATE = 2, 4096, 0.02
+#: Share of words that are read in training.
+KEEP = 0.7
+#: Changes are added up as whole multiples of 1 / UNIT, so no order of tasks shows; logits are counted in steps of 1 / STEPS, up to FAR.
+UNIT, STEPS, FAR = 1 << 40, 256, 1 << 10
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -96,14 +104,27 @@ class ToxicityModel:
         self.w -= rate * d * top.ravel()
         self.b -= rate * d
         for r, k in enumerate(SIZES):
-            for q in np.flatnonzero(top[r] > 0):
-                p, gq = at[r, q], g[r, q]
-                self.c[r, q] -= rate * gq
-                for j in range(k):
-                    if p + j < len(ids):
-                        v = self.e[ids[p + j]].sum(axis=0)
-                        self.e[ids[p + j]] -= 3 * rate * gq * self.f[r][j, :, q]
-                        self.f[r][j, :, q] -= rate * gq * v
+            q = np.flatnonzero(top[r] > 0)
+            self.c[r, q] -= rate * g[r, q]
+            for j in range(k):
+                at_j = at[r, q] + j
+                live, words = q[at_j < len(ids)], ids[at_j[at_j < len(ids)]]
+                gq, v = rate * g[r, live], self.e[words].sum(axis=1)
+                np.subtract.at(self.e, words, (3 * gq[:, None] * self.f[r][j, :, live])[:, None, :])
+                self.f[r][j, :, live] -= gq[:, None] * v
+
+    def flat(self) -> np.ndarray:
+        """All parameters as rows of ``WIDTH`` numbers: the vectors, then the rest."""
+        rest = np.concatenate([*[f.ravel() for f in self.f], self.c.ravel(), self.w, [self.b]]).astype(np.float32)
+        return np.concatenate([self.e, np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)])
+
+    def load(self, flat: np.ndarray) -> None:
+        """Parameters from rows as ``flat`` gives them."""
+        self.e, rest, at = flat[: len(self.e)].copy(), flat[len(self.e) :].ravel(), 0
+        for k, f in enumerate(self.f):
+            self.f[k], at = rest[at : at + f.size].reshape(f.shape).copy(), at + f.size
+        self.c, at = rest[at : at + self.c.size].reshape(self.c.shape).copy(), at + self.c.size
+        self.w, self.b = rest[at : at + self.w.size].copy(), rest[at + self.w.size]
 
     def responses(self, parts: np.ndarray) -> np.ndarray:
         """Answer of every filter and place to words given by their parts (words x parts), one column each."""
@@ -133,23 +154,25 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap at which the two classes' error rates add up to the least (the widest such gap); of the only class's far side if there is one."""
+def _best_threshold(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Middle of the gap at which the two classes' error rates add up to the least (the widest such gap); of the only class's far side if there is one. A logit counts ``n`` times."""
     if not len(z):
         return 0.0
     if y.all() or not y.any():
         return float(z.min() - 1) if y.all() else float(z.max() + 1)
     order = np.argsort(z)
     z, y = z[order], y[order]
-    miss = np.concatenate([[0], np.cumsum(y)]) / y.sum() + (len(y) - y.sum() - np.concatenate([[0], np.cumsum(1 - y)])) / (len(y) - y.sum())
+    n = np.ones(len(z), np.int64) if n is None else n[order]
+    bad, good = np.cumsum(n * y), np.cumsum(n * (1 - y))
+    miss = np.concatenate([[0], bad]) / bad[-1] + (good[-1] - np.concatenate([[0], good])) / good[-1]
     ends = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     gap = np.diff(ends)
-    best = np.flatnonzero(miss <= miss.min() + 1e-12)
+    best = np.flatnonzero((gap > 0) & (miss <= miss[gap > 0].min() + 1e-12))
     k = best[gap[best].argmax()]
     return float((ends[k] + ends[k + 1]) / 2)
 
 
-def train_rows(ids: list[np.ndarray], y: np.ndarray, held: np.ndarray, langs: list[str], epochs: int = 8, rate: float = 0.05, keep: float = 0.7, seed: int = 9) -> ToxicityModel:
+def train_rows(ids: list[np.ndarray], y: np.ndarray, held: np.ndarray, langs: list[str], epochs: int = 8, rate: float = 0.05, keep: float = KEEP, seed: int = 9) -> ToxicityModel:
     model, rng = ToxicityModel(seed), np.random.default_rng(seed)
     train = np.flatnonzero(~held)
     if len(train) and 0 < y[train].sum() < len(train):
@@ -161,14 +184,20 @@ def train_rows(ids: list[np.ndarray], y: np.ndarray, held: np.ndarray, langs: li
                     model.step(words, int(y[i]), rate * (1 - k / epochs), weigh[int(y[i])])
     check = np.flatnonzero(held) if held.any() and 0 < y[held].sum() < held.sum() else train
     z = np.array([model.of_ids(ids[i]) for i in check])
-    own, tag = y[check], np.array([langs[i] for i in check])
-    model.common = _best_threshold(z, own)
-    model.scale = float(max(np.std(z) / 2, 1e-3)) if len(z) else 1.0
+    calibrate(model, z, y[check], np.array([langs[i] for i in check]), np.ones(len(check), np.int64))
+    return model
+
+
+def calibrate(model: ToxicityModel, z: np.ndarray, y: np.ndarray, tag: np.ndarray, n: np.ndarray) -> None:
+    """Sets the thresholds and the scale of ``model`` from logits ``z`` that count ``n`` times, their labels and languages."""
+    model.threshold, model.common, model.scale = {}, _best_threshold(z, y, n), 1.0
+    if len(z):
+        mean = np.average(z, weights=n)
+        model.scale = float(max(np.sqrt(np.average((z - mean) ** 2, weights=n)) / 2, 1e-3))
     for lang in sorted(set(tag)):
         of = tag == lang
-        n = min(own[of].sum(), (1 - own[of]).sum())
-        model.threshold[lang] = float((n * _best_threshold(z[of], own[of]) + SHRINK * model.common) / (n + SHRINK))
-    return model
+        m = min((n * y)[of].sum(), (n * (1 - y))[of].sum())
+        model.threshold[lang] = float((m * _best_threshold(z[of], y[of], n[of]) + SHRINK * model.common) / (m + SHRINK))
 
 
 class Scorer:
@@ -178,7 +207,8 @@ class Scorer:
         self.model, self.words, self.letters = model, Words(), language.Letters()
         self.known, self.begun, self.table = 0, 0, np.zeros((MEMO, sum(SIZES) * FILTERS), np.float32)
 
-    def score(self, text: str | None) -> float:
+    def read(self, text: str | None) -> tuple[float, int]:
+        """Logit of a text and the index of its language."""
         words = self.words.of(text)
         n = len(self.words)
         if self.begun != self.words.begun:
@@ -190,7 +220,11 @@ class Scorer:
             self.known = n
         self.table[-1] = 0
         i, _ = self.model.languages.scores(text, self.letters)
-        return self.model.probability(self.model.logit(self.table, words), self.model.languages.langs[i] if i >= 0 else language.UNKNOWN)
+        return self.model.logit(self.table, words), i
+
+    def score(self, text: str | None) -> float:
+        z, i = self.read(text)
+        return self.model.probability(z, self.model.languages.langs[i] if i >= 0 else language.UNKNOWN)
 
 
 def _ids(docs: DataFrame, lang: language.LanguageModel) -> pa.Table:
@@ -208,10 +242,73 @@ def _ids(docs: DataFrame, lang: language.LanguageModel) -> pa.Table:
     return docs.mapInArrow(run, "y int, key long, lang string, ids array<int>").toArrow()
 
 
+def _go_on(rows: DataFrame, model: ToxicityModel, chunks: int, weigh: dict[int, float], rate: float, number: int) -> None:
+    """One reading of ``rows(doc_id, key, y, text)``: each chunk of documents goes on from ``model`` by itself; a parameter then moves by the mean of the chunks that moved it.
+
+    Chunks are dealt by the hash of the id and read in hash order, of rows of one id only the first; a task holds one Arrow batch and one model.
+    """
+    hashed = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(chunks)).alias("chunk"), "key", "doc_id", F.xxhash64("text").alias("h"), "y", "text")
+    dealt = hashed.repartition("chunk").sortWithinPartitions("chunk", "key", "doc_id", "h")
+    names = [f"d{i}" for i in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start, own, now, last, rng = Words(), model.flat(), ToxicityModel(), None, None, None
+
+        def moved() -> pa.RecordBatch:
+            d = np.rint((own.flat() - start).astype(np.float64) * UNIT).astype(np.int64)
+            hit = np.flatnonzero(d.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *[pa.array(np.ascontiguousarray(d[hit, i])) for i in range(WIDTH)]], names=["row", *names])
+
+        for b in batches:
+            for chunk, _, doc, _, y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield moved()
+                    own.load(start)
+                    now, rng = chunk, np.random.default_rng([number, chunk])
+                if (chunk, doc) == last:
+                    continue
+                last, at = (chunk, doc), words.of(text)
+                at = at[rng.random(len(at)) < KEEP] if len(at) > 3 else at
+                if len(at):
+                    own.step(words.parts[at], y, rate, weigh[y])
+        if now is not None:
+            yield moved()
+
+    found = dealt.mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in names))
+    found = materialize(found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]), "toxicity-moves").toArrow()  # a row for each bucket at most
+    flat, row, n = model.flat(), found["row"].to_numpy(), found["n"].to_numpy()
+    flat[row] += (np.stack([found[c].to_numpy() for c in names], axis=1) / n[:, None] / UNIT).astype(np.float32)
+    model.load(flat)
+
+
+def _calibration(rows: DataFrame, model: ToxicityModel) -> pa.Table:
+    """``(y, lang, z, n)``: how often ``rows(doc_id, y, text)`` have a logit, in steps; of rows of one id the first by the hash of its text counts."""
+    lang = model.languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            found = [scorer.read(t) for t in b.column(3).to_pylist()]
+            z = np.rint(np.clip([z for z, _ in found], -FAR, FAR) * STEPS).astype(np.int64)
+            tags = pa.array([lang.langs[i] if i >= 0 else language.UNKNOWN for _, i in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z), tags], names=["doc_id", "y", "h", "z", "lang"])
+
+    src = rows.select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
+    read = src.mapInArrow(run, T.StructType([*src.schema.fields[:3], T.StructField("z", T.LongType()), T.StructField("lang", T.StringType())]))
+    each = read.groupBy("doc_id", "y").agg(F.min(F.struct("h", "z", "lang")).alias("one"))
+    return materialize(each.groupBy("y", F.col("one.lang").alias("lang"), F.col("one.z").alias("z")).agg(F.count(F.lit(1)).alias("n")), "toxicity-logits").toArrow()
+
+
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> ToxicityModel:
-    """Model from ``labels(doc_id, toxic)`` of rows where ``learnable`` (on doc_id) holds: the first ``sample`` documents of each class in hash order."""
+    """Model from all of ``labels(doc_id, toxic)`` of rows where ``learnable`` (on doc_id) holds.
+
+    It starts with the first ``sample`` documents of each class in hash order. If there are more, ``ROUNDS`` readings of all of them
+    follow, and thresholds come from all of the fifth that training leaves out (from the others, if that fifth lacks a class).
+    """
     known = labels.where(learnable & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    chosen = common.first_of_each(known, "y", sample, 23)
+    known = materialize(known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("key", F.xxhash64("doc_id", F.lit(23))), "toxicity-labels")
+    chosen = common.first_of_each(known.drop("key"), "y", sample, 23)
     lang = language.train(docs.select("doc_id", "text", "lang"), learnable, language.SAMPLE)
     rows = _ids(common.one_row_each(docs.join(chosen, "doc_id"), ["doc_id", "y"]).select(F.coalesce("text", F.lit("")).alias("text"), "y", "key"), lang)
     key, y, ids = rows["key"].to_numpy(), rows["y"].to_numpy(), common.list_views(rows["ids"])
@@ -219,6 +316,20 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     tags = rows["lang"].to_pylist()
     model = train_rows([ids[i].reshape(-1, len(PARTS)) for i in order], y[order].astype(np.int64), key[order] % 5 == 0, [tags[i] for i in order])
     model.languages = lang
+    held = F.pmod("key", F.lit(5)) == 0
+    count = {(r.y, r.held): r["count"] for r in known.groupBy("y", held.alias("held")).count().collect()}
+    if sum(count.values()) <= len(y):
+        return model
+    texts = docs.where(learnable).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    everything = materialize(texts.join(known.hint("merge"), "doc_id"), "toxicity-texts")  # labels grow with the texts: the same plan at any size
+    own = {k: count.get((k, False), 0) for k in (0, 1)}
+    if min(own.values()):
+        weigh = {k: sum(own.values()) / (2 * n) for k, n in own.items()}
+        for k in range(ROUNDS):
+            _go_on(everything.where(~held), model, -(-sum(own.values()) // CHUNK), weigh, RATE * (1 - k / ROUNDS), k)
+    both = count.get((0, True)) and count.get((1, True))
+    seen = _calibration(everything.where(held if both else ~held), model)
+    calibrate(model, seen["z"].to_numpy() / STEPS, seen["y"].to_numpy().astype(np.int64), np.array(seen["lang"].to_pylist(), dtype=object), seen["n"].to_numpy())
     return model
 
 

@@ -75,6 +75,31 @@ def test_toxicity_on_made_labels(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    """Thresholds and weights follow documents that the sample leaves out; the order and number of tasks do not show; a repeated id counts once."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(1200):
+        text = rng.choice(words, 30).tolist()
+        if bad := i % 3 == 0:
+            text[int(rng.integers(30))] = f"zwok{i % 40}x"
+        docs.append((i, " ".join(text), "en"))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, EMPTY_LABELS)
+    part, seen = common.fold(F.col("doc_id"), 5), []
+    monkeypatch.setattr(toxicity, "CHUNK", 200)
+    keep = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, z, y, tag, n: seen.append(int(n.sum())) or keep(model, z, y, tag, n))
+    one = toxicity.train(docs, labels, part != 0, 20)
+    two = toxicity.train(docs.union(docs).repartition(7), labels, part != 0, 20)
+    learnable = labels.where(part != 0)
+    held = learnable.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)) == 0).count()
+    assert seen[1] == seen[3] == held > seen[0] and np.array_equal(one.flat(), two.flat()) and one.threshold == two.threshold
+    got = toxicity.score(docs, one).join(labels, "doc_id").where(part == 0).collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
+
+
 def test_toxicity_odd_rows(rows, spark):
     model = toxicity.train(rows, spark.createDataFrame([], EMPTY_LABELS), F.lit(True))
     got = toxicity.score(rows.withColumnRenamed("size", "score"), model).collect()
