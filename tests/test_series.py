@@ -126,3 +126,25 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not files() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
     assert kept.count() == 7
+
+
+def test_ranks_do_not_depend_on_the_order_of_arrival(spark):
+    """Every reading of the counts gives the rows in another order; the cuts of the slices must not follow it."""
+    import pyarrow as pa
+
+    from gapweave.functions.ranks import running_counts
+
+    def shuffled(batches):
+        rows = pa.Table.from_batches(list(batches))
+        yield from rows.take(pa.array(np.random.default_rng().permutation(rows.num_rows))).to_batches(max_chunksize=1000)
+
+    n = 120_000  # more than a sketch keeps as it comes
+    d = spark.range(n, numPartitions=1).select(F.lit("v").alias("k"), (F.col("id") * 1.5).alias("x"), F.lit(2).cast("long").alias("c"))
+    counts = d.mapInArrow(shuffled, d.schema)
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        r = running_counts(counts, ["k"], "x", "c", whole=100).toPandas().sort_values("x")
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert r.upto.tolist() == list(range(2, 2 * n + 1, 2))
