@@ -45,3 +45,24 @@ def test_peeking_is_caught_on_shared_copies(spark):
         bad = integrity.poison_invariance(m, p, peeking, "value", 1e6, reach).first()
         assert good.cells == bad.cells > 0 and good.unmatched == 0 and good.max_abs_difference == 0
         assert np.isfinite(bad.max_abs_difference) and bad.max_abs_difference > 100
+
+
+def test_fills_are_checked_on_the_same_copies(spark):
+    """Copies are made once for all fills: what each case hides is poisoned in its own copy and nowhere else."""
+    p, m = site(spark)
+    copies = integrity.poisoned(m, p, "value", 1e6)
+    hidden = {(f"{r.site}#{r.case_id}", v, q) for r in m.collect() for v in r.masked_vars for q in range(r.start_pos, r.end_pos + 1)}
+    assert {(r.site, r.variable, r.pos) for r in copies[1].where("value = 1e6").collect()} == hidden
+    assert copies[1].where("instr(site, '#') = 0").exceptAll(p).count() == 0
+    for run, moves in ((linear, False), (peeking, True)):
+        d = integrity.poison_invariance(m, p, run, copies=copies).first()
+        assert d.cells > 0 and d.unmatched == 0 and (d.max_abs_difference > 100) == moves
+
+
+def test_roles_bring_no_cast_to_the_panel_they_meet(spark):
+    """A panel with copies of sites meets roles without a try_cast of their names, which throws for every row of a copy."""
+    from gapweave.plans.stages import Stages
+
+    s = Stages(spark, "/root/testdata/sf0.001")
+    d = s.panel6.join(s.roles.where("role = 'train'").select("site"), "site", "left_semi")
+    assert "try_cast" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
